@@ -1,0 +1,187 @@
+"""Copies of expired rows in every destination.
+
+Each destination is one write job that scans the source with the age filter pushed
+down; nothing is cached or shuffled, because re-reading the filtered source costs
+less than keeping it. The jobs of several destinations overlap. While rows are
+written, Spark counts and fingerprints them in the same pass; a copy is good only
+if reading it back gives the same numbers.
+"""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# How a numeric level is spelled for the writers' zlib codec.
+ZLIB_LEVELS = {
+    1: "BEST_SPEED",
+    2: "TWO",
+    3: "THREE",
+    4: "FOUR",
+    5: "FIVE",
+    6: "SIX",
+    7: "SEVEN",
+    8: "EIGHT",
+    9: "BEST_COMPRESSION",
+}
+DEFAULT_LEVEL = 6
+
+OUTCOME_SCHEMA = (
+    "run_id STRING, phase STRING, destination STRING, path STRING, ok BOOLEAN, err STRING, "
+    "items BIGINT, bytes BIGINT, seconds DOUBLE"
+)
+
+
+class BackupFailed(RuntimeError):
+    """No destination holds a complete copy."""
+
+
+@dataclass(frozen=True)
+class CopyOutcome:
+    """What became of one destination."""
+
+    destination: str
+    path: str
+    ok: bool
+    err: str | None
+    items: int
+    bytes: int
+    seconds: float
+
+
+def _hashable(field: T.StructField) -> bool:
+    return "map<" not in field.dataType.simpleString() and field.dataType.typeName() != "variant"
+
+
+def fingerprint_columns(schema: T.StructType, size: str | None = None) -> list[Column]:
+    """Aggregates that tell two sets of rows apart, whatever their order."""
+    names = [f.name for f in schema.fields if _hashable(f)]
+    code = F.xxhash64(*names)
+    return [
+        F.count(F.lit(1)).alias("items"),
+        F.coalesce(F.sum(code.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("code_sum"),
+        F.coalesce(F.bit_xor(code), F.lit(0)).alias("code_xor"),
+        F.coalesce(F.sum(F.lit(0) if size is None else F.col(size)), F.lit(0))
+        .cast("bigint")
+        .alias("bytes"),
+    ]
+
+
+def fingerprint(df: DataFrame, schema: T.StructType | None = None, size: str | None = None) -> dict:
+    """One pass, one row: no shuffle beyond a single partial aggregate per task."""
+    return df.agg(*fingerprint_columns(schema or df.schema, size)).first().asDict()
+
+
+def write_compressed(
+    df: DataFrame,
+    path: str,
+    algorithm: str = "none",
+    level: int = DEFAULT_LEVEL,
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = (),
+    mode: str = "overwrite",
+) -> None:
+    """Write with a codec and level, or plainly with ``none``."""
+    writer = df.write.format(fmt).mode(mode)
+    if algorithm == "gzip":
+        writer = writer.option("zlib.compress.level", ZLIB_LEVELS[level])
+    elif algorithm != "none":
+        raise ValueError(f"algorithm must be none or gzip, got {algorithm}")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.option("compression", algorithm).save(path)
+
+
+def checked_copy(
+    rows: DataFrame,
+    schema: T.StructType,
+    destination: str,
+    path: str,
+    write: Callable[[DataFrame, str], None],
+    read: Callable[[str], DataFrame],
+    size: str | None = None,
+) -> CopyOutcome:
+    """Write one copy, read it back, and compare both fingerprints.
+
+    ``rows`` must end in the stage that writes, so that retried tasks are counted once.
+    """
+    started = time.monotonic()
+    written = {"items": 0, "bytes": 0}
+    err = None
+    try:
+        observation = Observation()
+        write(rows.observe(observation, *fingerprint_columns(schema, size)), path)
+        written = observation.get
+        found = fingerprint(read(path), schema, size)
+        if found != written:
+            err = f"copy differs: wrote {written['items']} items, found {found['items']}"
+    except Exception as problem:  # one bad destination must not stop the others
+        err = (str(problem).strip() or type(problem).__name__).splitlines()[0]
+    return CopyOutcome(
+        destination, path, err is None, err,
+        int(written["items"]), int(written["bytes"]), time.monotonic() - started,
+    )
+
+
+def backup(
+    df: DataFrame,
+    destinations: Sequence[str],
+    run_id: str,
+    algorithm: str = "none",
+    level: int = DEFAULT_LEVEL,
+    size: str | None = None,
+) -> list[CopyOutcome]:
+    """All rows to all destinations; one outcome each.
+
+    Every run writes below its own ``run_id``, so a repeated run replaces only itself.
+    """
+    spark = df.sparkSession
+
+    def read(path: str) -> DataFrame:
+        return spark.read.schema(df.schema).parquet(path)
+
+    def write(rows: DataFrame, path: str) -> None:
+        write_compressed(rows, path, algorithm, level)
+
+    def copy(destination: str) -> CopyOutcome:
+        path = f"{destination.rstrip('/')}/run_id={run_id}"
+        return checked_copy(df, df.schema, destination, path, write, read, size)
+
+    if not destinations:
+        return []
+    with ThreadPoolExecutor(max_workers=len(destinations)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(copy), destinations))
+
+
+def copy_outcomes(
+    spark: SparkSession, run_id: str, outcomes: Sequence[CopyOutcome], phase: str = "backup"
+) -> DataFrame:
+    """The outcomes as a table, one row per destination."""
+    rows = [
+        (run_id, phase, o.destination, o.path, o.ok, o.err, o.items, o.bytes, o.seconds)
+        for o in outcomes
+    ]
+    return spark.createDataFrame(rows, OUTCOME_SCHEMA)
+
+
+def read_copies(
+    spark: SparkSession, outcomes: Sequence[CopyOutcome], schema: T.StructType, only_good: bool = True
+) -> DataFrame:
+    """What the destinations hold, with the ``destination`` of each row."""
+    copies = spark.createDataFrame([], schema).withColumn("destination", F.lit(""))
+    for outcome in outcomes:
+        if only_good and not outcome.ok:
+            continue
+        try:
+            held = spark.read.schema(schema).parquet(outcome.path)
+        except Exception:  # nothing was ever written there
+            continue
+        copies = copies.unionByName(held.withColumn("destination", F.lit(outcome.destination)))
+    return copies

@@ -1,0 +1,141 @@
+"""Removing rows without ever overwriting what is being read.
+
+Two forms. A path gets a new generation with the kept rows, checked against the
+counts of the old one, and a view is pointed at it. A partitioned table loses its
+dead partitions by metadata alone; only partitions that hold both kinds of rows are
+staged and rewritten.
+"""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from tierdown.functions.age import is_expired, is_retained
+from tierdown.operators.linking import prune_safe, unbacked
+from tierdown.scratch import scratch_dir
+
+_PARTITIONS_PER_STATEMENT = 200
+
+
+class PruneMismatch(RuntimeError):
+    """The rows written are not the rows that should have been kept."""
+
+
+def split_for_prune(
+    df: DataFrame,
+    ts: str,
+    hours: float,
+    as_of: datetime,
+    backed_up: DataFrame | None = None,
+    key: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows to keep, rows that may go).
+
+    With ``backed_up``, an expired row may go only if its ``key`` is among them.
+    Rows without an age, or without a key to prove a copy by, stay.
+    """
+    old = df.where(is_expired(df, ts, hours, as_of))
+    young = df.where(is_retained(df, ts, hours, as_of))
+    if backed_up is None:
+        return young, old
+    return young.unionByName(unbacked(old, backed_up, key)), prune_safe(old, backed_up, key)
+
+
+def prune_generation(
+    kept: DataFrame, expected: int, path: str, algorithm: str = "snappy"
+) -> int:
+    """Write the kept rows to a new place and check that there are ``expected`` of them."""
+    observation = Observation()
+    kept.observe(observation, F.count(F.lit(1)).alias("items")).write.mode("overwrite").option(
+        "compression", algorithm
+    ).parquet(path)
+    items = observation.get["items"]
+    if items != expected:
+        raise PruneMismatch(f"expected to keep {expected} rows, wrote {items} to {path}")
+    return items
+
+
+def point_view(spark: SparkSession, name: str, path: str) -> None:
+    """Readers of ``name`` see the generation at ``path`` from now on."""
+    spark.read.parquet(path).createOrReplaceTempView(name)
+
+
+def _any_of(column: str, values: list) -> Column:
+    """Membership that also finds NULL. Only partition values, so the list is short."""
+    known = [v for v in values if v is not None]
+    found = F.col(column).isin(known)
+    return found if len(known) == len(values) else found | F.col(column).isNull()
+
+
+def _replace_partitions(rows: DataFrame, table: str) -> None:
+    """Replace exactly the partitions that occur in ``rows``."""
+    conf = rows.sparkSession.conf
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(setting)
+    conf.set(setting, "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(table)
+    finally:
+        conf.set(setting, before)
+
+
+def _literal(value) -> str:
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return "null" if value is None else f"'{text}'"
+
+
+def prune_partitions(
+    spark: SparkSession,
+    table: str,
+    ts: str,
+    partition: str,
+    hours: float,
+    as_of: datetime,
+    backed_up: DataFrame | None = None,
+    key: str | None = None,
+) -> dict[str, int]:
+    """Prune a table partitioned by one column; returns what was done.
+
+    Mixed partitions are staged in shared storage, counted, and only then replaced;
+    dead ones are dropped last. After a failure at any point the same call finishes
+    the work, since expired rows are found again.
+    """
+    df = spark.table(table)
+    keep, _ = split_for_prune(df, ts, hours, as_of, backed_up, key)
+    per_partition = (
+        df.groupBy(partition)
+        .agg(
+            F.count(F.lit(1)).alias("items"),
+            F.count_if(is_expired(df, ts, hours, as_of)).alias("old"),
+        )
+        .where("old > 0")
+    )
+    touched = {row[partition]: row for row in per_partition.collect()}
+    report = {"dropped_partitions": 0, "rewritten_partitions": 0, "pruned": 0}
+    if not touched:
+        return report
+    stage = scratch_dir(spark, "prune-stage")
+    keep.where(_any_of(partition, list(touched))).write.mode("overwrite").parquet(stage)
+    staged = spark.read.schema(df.schema).parquet(stage)
+    counts = staged.groupBy(partition).agg(F.count(F.lit(1)).alias("items"))
+    left = {row[partition]: row["items"] for row in counts.collect()}
+    for value, row in touched.items():
+        fewest = row["items"] - row["old"]
+        if not fewest <= left.get(value, 0) <= row["items"]:
+            raise PruneMismatch(f"partition {value}: staged {left.get(value, 0)} of {row['items']}")
+    rewritten = [v for v, row in touched.items() if 0 < left.get(v, 0) < row["items"]]
+    dead = [v for v in touched if left.get(v, 0) == 0]
+    if rewritten:
+        chosen = staged.where(_any_of(partition, rewritten)).select(*df.columns)
+        _replace_partitions(chosen, table)
+    for start in range(0, len(dead), _PARTITIONS_PER_STATEMENT):
+        some = dead[start : start + _PARTITIONS_PER_STATEMENT]
+        specs = ", ".join(f"PARTITION (`{partition}` = {_literal(v)})" for v in some)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+    report["dropped_partitions"] = len(dead)
+    report["rewritten_partitions"] = len(rewritten)
+    report["pruned"] = sum(row["items"] - left.get(v, 0) for v, row in touched.items())
+    return report
