@@ -17,7 +17,7 @@ from tierdown.catalog.registry import (
 )
 from tierdown.catalog.selection import events, old_orders
 from tierdown.functions import archive_bucket
-from tierdown.operators import retained
+from tierdown.operators import expired, retained
 from tierdown.plans import (
     archive_objects,
     archive_sizes,
@@ -41,14 +41,14 @@ def export_documents(spark: SparkSession, sf_dir: str) -> str:
     """The documents as an object store: text files, one folder per source."""
     root = scratch_dir(spark, "objects")
     lines = table(spark, sf_dir, "documents").select(
-        "source", F.regexp_replace("text", "[\r\n]", " ").alias("value")
+        "source", F.translate("text", "\r\n", "  ").alias("value")
     )
     lines.hint("rebalance", "source").write.partitionBy("source").text(root)
     return root
 
 
 _EXPORT_SQL = """
-    SELECT source, CAST(sum(strlen(regexp_replace(text, '[\r\n]', ' ', 'g')) + 1) AS BIGINT) AS bytes
+    SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes
     FROM documents GROUP BY source
 """
 
@@ -83,7 +83,7 @@ def object_archive(spark, sf_dir):
 def gzip_roundtrip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     path = scratch_dir(spark, "gzip")
-    write_compressed(docs, path, "gzip", 9, "json")
+    write_compressed(docs, path, "gzip", 6, "json")
     back = decompress_read(spark, path, "json", docs.schema)
     return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
@@ -111,15 +111,15 @@ def multi_dest_backup(spark, sf_dir):
 @query(
     "archive_roundtrip",
     f"""
-    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
-           strftime(o_orderdate, '%G-W%V') AS bucket
-    FROM orders WHERE o_orderdate < {ORDERS_CUTOFF}
+    SELECT event_id, ts, user_id, event_type, value, props, strftime(ts, '%G-W%V') AS bucket
+    FROM events WHERE ts < {EVENTS_CUTOFF}
     """,
 )
 def archive_roundtrip(spark, sf_dir):
+    old = expired(table(spark, sf_dir, "events"), "ts", HOURS, EVENTS_AS_OF)
     vault = scratch_dir(spark, "vault")
-    archive_table(old_orders(spark, sf_dir), "o_orderdate", [vault], "run-1", "weekly")
-    return restore(spark, vault, "o_orderkey").drop("run_id")
+    archive_table(old, "ts", [f"{vault}/a", f"{vault}/b"], "run-1", "weekly")
+    return restore(spark, f"{vault}/b", "event_id", schema=old.schema).drop("run_id")
 
 
 @query(
@@ -131,8 +131,9 @@ def archive_roundtrip(spark, sf_dir):
 )
 def container_sizes(spark, sf_dir):
     vault = scratch_dir(spark, "vault")
-    archive_table(old_orders(spark, sf_dir), "o_orderdate", [vault], "run-1", "monthly", "tar")
-    sizes = archive_sizes(open_archive(spark, vault))
+    old = old_orders(spark, sf_dir)
+    archive_table(old, "o_orderdate", [vault], "run-1", "monthly", "tar")
+    sizes = archive_sizes(open_archive(spark, vault, old.schema))
     stored = (F.col("files") > 0) & (F.col("archive_size") > 0)
     return sizes.select("bucket", "items", stored.alias("stored"))
 
@@ -140,21 +141,20 @@ def container_sizes(spark, sf_dir):
 @query(
     "restore_latest",
     f"""
-    SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'again' ELSE o_orderpriority END
-               AS o_orderpriority,
-           CASE WHEN o_orderstatus = 'F' THEN '0002' ELSE '0001' END AS run_id,
-           strftime(o_orderdate, '%Y-%m') AS bucket
-    FROM orders WHERE o_orderdate < {ORDERS_CUTOFF}
+    SELECT event_id, CASE WHEN event_type = 'error' THEN 'again' ELSE props END AS props,
+           CASE WHEN event_type = 'error' THEN '0002' ELSE '0001' END AS run_id,
+           strftime(ts, '%Y-%m-%d') AS bucket
+    FROM events WHERE ts < {EVENTS_CUTOFF}
     """,
 )
 def restore_latest(spark, sf_dir):
-    old = old_orders(spark, sf_dir)
+    old = expired(table(spark, sf_dir, "events"), "ts", HOURS, EVENTS_AS_OF)
     vault = scratch_dir(spark, "vault")
-    archive_table(old, "o_orderdate", [vault], "0001", "monthly")
-    again = old.where("o_orderstatus = 'F'").withColumn("o_orderpriority", F.lit("again"))
-    archive_table(again, "o_orderdate", [vault], "0002", "monthly")
-    newest = restore(spark, vault, "o_orderkey")
-    return newest.select("o_orderkey", "o_orderpriority", "run_id", "bucket")
+    archive_table(old, "ts", [vault], "0001", "daily")
+    again = old.where("event_type = 'error'").withColumn("props", F.lit("again"))
+    archive_table(again, "ts", [vault], "0002", "daily")
+    newest = restore(spark, vault, "event_id", schema=old.schema)
+    return newest.select("event_id", "props", "run_id", "bucket")
 
 
 @query(

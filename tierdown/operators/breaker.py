@@ -54,6 +54,13 @@ def _part_of(part: Sequence[str]) -> Column:
     return F.struct(*part) if part else F.struct(F.lit(0).alias("all"))
 
 
+def _unpacked(outcomes: DataFrame, part: Sequence[str]) -> list[Column]:
+    return [
+        F.col(_PART)[name].alias(name) if name in part else F.col(name)
+        for name in outcomes.columns
+    ]
+
+
 def _sliced_running(
     outcomes: DataFrame, part: Sequence[str], order: Sequence[str], failed: str, slices: int
 ) -> DataFrame:
@@ -61,7 +68,9 @@ def _sliced_running(
     bounds = _slice_bounds(outcomes, first, slices)
     # no order key sorts first in Spark, hence the lowest slice
     place = F.when(first.isNull(), F.lit(-1)).otherwise(_slice_of(first, bounds))
-    rows = outcomes.select("*", _part_of(part).alias(_PART), place.alias(_SLICE))
+    # the part columns travel once, inside the struct
+    others = [name for name in outcomes.columns if name not in part]
+    rows = outcomes.select(*others, _part_of(part).alias(_PART), place.alias(_SLICE))
     one_failed = F.when(F.col(failed), 1).otherwise(0)
     before = Window.partitionBy(_PART).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -84,7 +93,7 @@ def _sliced_running(
     n = F.col("_n_here") + F.col("_n_before")
     f = F.col("_f_here") + F.col("_f_before")
     return counted.join(offsets, _GROUPS).select(
-        *outcomes.columns,
+        *others,
         *_GROUPS,
         (n - f).alias("running_succeeded"),
         f.alias("running_failed"),
@@ -100,7 +109,10 @@ def running_failure_rate(
     ``failed`` is a boolean column, ``order`` must identify a row within its part, and
     an empty ``part`` means one run over everything.
     """
-    return _sliced_running(outcomes, part, order, failed, slices).drop(*_GROUPS)
+    rates = _sliced_running(outcomes, part, order, failed, slices)
+    return rates.select(
+        *_unpacked(outcomes, part), "running_succeeded", "running_failed", "running_rate"
+    )
 
 
 def stop_at_breach(
@@ -133,5 +145,5 @@ def stop_at_breach(
         ~F.col("_stopped") & ~F.col("_stopped_before")
     )
     return kept.select(
-        *outcomes.columns, "running_succeeded", "running_failed", "running_rate", "tripped"
+        *_unpacked(outcomes, part), "running_succeeded", "running_failed", "running_rate", "tripped"
     )

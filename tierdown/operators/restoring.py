@@ -11,16 +11,20 @@ from tierdown.operators.joins import skew_safe_join
 def latest_copies(archive: DataFrame, key: str, run: str = "run_id") -> DataFrame:
     """The copies of each key from the newest run that has it.
 
-    The newest run per key combines map-side before its shuffle; rows are then
-    matched with it. All rows of that run come back, also when a key repeats.
+    With a single run there is nothing to choose, which file metadata can tell. Else
+    the newest run per key combines map-side before its shuffle and rows are matched
+    with it. All rows of that run come back, also when a key repeats; a row without
+    a key is never superseded.
     """
-    newest = (
-        archive.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.max(run).alias("_newest_run"))
-    )
-    matched = skew_safe_join(archive, newest, key, "inner")
-    return matched.where(F.col(run) == F.col("_newest_run")).select(*archive.columns)
+    span = archive.agg(F.min(run).alias("first"), F.max(run).alias("last")).first()
+    if span["first"] == span["last"]:
+        return archive
+    keyed = F.col(key).isNotNull()
+    newest = archive.where(keyed).groupBy(key).agg(F.max(run).alias("_newest_run"))
+    matched = skew_safe_join(archive.where(keyed), newest, key, "inner")
+    # not an equality, which would become a join key and shuffle the maxima again
+    latest = matched.where(F.col(run) >= F.col("_newest_run")).select(*archive.columns)
+    return latest.unionByName(archive.where(~keyed))
 
 
 def split_unsafe_keys(archive: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Actions: everything that writes."""
 
-from tierdown.plans.archive import archive_objects, archive_sizes, archive_table, open_archive, restore
-from tierdown.plans.backup import (
+from tierdown.plans.containers import archive_objects, archive_sizes, archive_table, open_archive, restore
+from tierdown.plans.copying import (
     BackupFailed,
     CopyOutcome,
     backup,
@@ -11,7 +11,7 @@ from tierdown.plans.backup import (
     write_compressed,
 )
 from tierdown.plans.cycle import CycleResult, ThresholdExceeded, backup_then_prune, run_once
-from tierdown.plans.prune import (
+from tierdown.plans.pruning import (
     PruneMismatch,
     point_view,
     prune_generation,

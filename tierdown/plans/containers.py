@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tierdown.functions.age import cutoff
 from tierdown.functions.naming import DEFAULT_FORMAT, FORMAT_EXTENSIONS, archive_bucket
 from tierdown.operators.restoring import latest_copies
-from tierdown.plans.backup import DEFAULT_LEVEL, CopyOutcome, checked_copy, write_compressed
+from tierdown.plans.copying import DEFAULT_LEVEL, CopyOutcome, checked_copy, write_compressed
 from tierdown.sources.inventory import object_reader
 
 BUCKET = "bucket"
@@ -109,14 +109,16 @@ def archive_objects(
     return outcomes, oversize
 
 
-def open_archive(spark: SparkSession, root: str) -> DataFrame:
-    """All runs and buckets below ``root``; both stay text, whatever they look like."""
-    found = spark.read.parquet(root).schema
-    text = {RUN, BUCKET}
-    schema = T.StructType(
-        [T.StructField(f.name, T.StringType()) if f.name in text else f for f in found.fields]
-    )
-    return spark.read.schema(schema).parquet(root)
+def open_archive(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
+    """All runs and buckets below ``root``; both stay text, whatever they look like.
+
+    ``schema`` is that of the archived rows; without it one file is asked.
+    """
+    if schema is None:
+        schema = spark.read.parquet(root).schema
+    fields = [f for f in schema.fields if f.name not in (RUN, BUCKET)]
+    fields += [T.StructField(RUN, T.StringType()), T.StructField(BUCKET, T.StringType())]
+    return spark.read.schema(T.StructType(fields)).parquet(root)
 
 
 def restore(
@@ -125,12 +127,13 @@ def restore(
     key: str,
     buckets: Sequence[str] | None = None,
     as_of_run: str | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """The newest copy of every key, optionally only from some buckets or older runs.
 
     Buckets and runs are folders, so both conditions prune files.
     """
-    archive = open_archive(spark, root)
+    archive = open_archive(spark, root, schema)
     if buckets is not None:
         archive = archive.where(F.col(BUCKET).isin(*buckets))
     if as_of_run is not None:

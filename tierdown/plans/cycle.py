@@ -14,9 +14,9 @@ from tierdown.functions.age import is_expired
 from tierdown.operators.linking import prune_safe
 from tierdown.operators.planning import archive_plan, destination_plan, dry_run
 from tierdown.operators.retention import expired, retained
-from tierdown.plans.archive import archive_table
-from tierdown.plans.backup import BackupFailed, CopyOutcome, backup, read_copies
-from tierdown.plans.prune import prune_generation, split_for_prune
+from tierdown.plans.containers import archive_table
+from tierdown.plans.copying import BackupFailed, CopyOutcome, backup, read_copies
+from tierdown.plans.pruning import prune_generation, split_for_prune
 
 COUNTERS = (
     "succeeded", "failed", "skipped", "backed_up", "pruned", "kept", "copies", "total_bytes",

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tierdown.functions.age import cutoff, instant_literal
-from tierdown.plans.backup import BackupFailed, CopyOutcome, backup
+from tierdown.plans.copying import BackupFailed, CopyOutcome, backup
 
 
 def stream_backup(
