@@ -25,6 +25,13 @@ _PART = "_part"
 _SLICE = "_slice"
 _GROUPS = [_PART, _SLICE]
 _SAMPLES_PER_SLICE = 20
+# more would make the search below too large to compile well
+_MOST_SLICES = 1024
+
+
+def _default_slices(df: DataFrame) -> int:
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(4 * partitions, 16), _MOST_SLICES)
 
 
 def _slice_bounds(df: DataFrame, key: Column, slices: int) -> list:
@@ -62,10 +69,10 @@ def _unpacked(outcomes: DataFrame, part: Sequence[str]) -> list[Column]:
 
 
 def _sliced_running(
-    outcomes: DataFrame, part: Sequence[str], order: Sequence[str], failed: str, slices: int
+    outcomes: DataFrame, part: Sequence[str], order: Sequence[str], failed: str, slices: int | None
 ) -> DataFrame:
     first = F.col(order[0])
-    bounds = _slice_bounds(outcomes, first, slices)
+    bounds = _slice_bounds(outcomes, first, slices or _default_slices(outcomes))
     # no order key sorts first in Spark, hence the lowest slice
     place = F.when(first.isNull(), F.lit(-1)).otherwise(_slice_of(first, bounds))
     # the part columns travel once, inside the struct
@@ -102,7 +109,7 @@ def _sliced_running(
 
 
 def running_failure_rate(
-    outcomes: DataFrame, part: Sequence[str], order: Sequence[str], failed: str, slices: int = 64
+    outcomes: DataFrame, part: Sequence[str], order: Sequence[str], failed: str, slices: int | None = None
 ) -> DataFrame:
     """Adds ``running_succeeded``, ``running_failed`` and ``running_rate``.
 
@@ -121,7 +128,7 @@ def stop_at_breach(
     order: Sequence[str],
     failed: str,
     percent: float,
-    slices: int = 64,
+    slices: int | None = None,
 ) -> DataFrame:
     """Rows up to and including the first failure that pushes the rate over ``percent``.
 

@@ -8,6 +8,7 @@ from tierdown.plans.copying import (
     copy_outcomes,
     fingerprint,
     read_copies,
+    refuse_overlap,
     write_compressed,
 )
 from tierdown.plans.cycle import CycleResult, ThresholdExceeded, backup_then_prune, run_once
@@ -37,6 +38,7 @@ __all__ = [
     "prune_generation",
     "prune_partitions",
     "read_copies",
+    "refuse_overlap",
     "restore",
     "run_once",
     "split_for_prune",

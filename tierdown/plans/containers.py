@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tierdown.functions.age import cutoff
 from tierdown.functions.naming import DEFAULT_FORMAT, FORMAT_EXTENSIONS, archive_bucket
 from tierdown.operators.restoring import latest_copies
-from tierdown.plans.copying import DEFAULT_LEVEL, CopyOutcome, checked_copy, write_compressed
+from tierdown.plans.copying import DEFAULT_LEVEL, CopyOutcome, checked_copy, refuse_overlap, write_compressed
 from tierdown.sources.inventory import object_reader
 
 BUCKET = "bucket"
@@ -102,6 +102,7 @@ def archive_objects(
 
     Returns the outcomes and the error rows of files too large for one row.
     """
+    refuse_overlap(root, destinations)
     objects, oversize = object_reader(spark, root, cutoff(as_of, hours), max_bytes)
     items = objects.select("rel_path", "mtime", "size", "content")
     bucketed = items.withColumn(BUCKET, archive_bucket("mtime", group_by))

@@ -56,6 +56,17 @@ class CopyOutcome:
     seconds: float
 
 
+def refuse_overlap(source: str, targets: Sequence[str]) -> None:
+    """A target inside its own source would be read while it is written."""
+
+    def folder(path: str) -> str:
+        return path.removeprefix("file://").removeprefix("file:").rstrip("/") + "/"
+
+    for target in targets:
+        if folder(target).startswith(folder(source)):
+            raise ValueError(f"{target} lies in the source {source}")
+
+
 def _hashable(field: T.StructField) -> bool:
     return "map<" not in field.dataType.simpleString() and field.dataType.typeName() != "variant"
 

@@ -15,7 +15,7 @@ from tierdown.operators.linking import prune_safe
 from tierdown.operators.planning import archive_plan, destination_plan, dry_run
 from tierdown.operators.retention import expired, retained
 from tierdown.plans.containers import archive_table
-from tierdown.plans.copying import BackupFailed, CopyOutcome, backup, read_copies
+from tierdown.plans.copying import BackupFailed, CopyOutcome, backup, read_copies, refuse_overlap
 from tierdown.plans.pruning import prune_generation, split_for_prune
 
 COUNTERS = (
@@ -160,6 +160,7 @@ def run_once(
     spark: SparkSession, source: str, kept_path: str, ts: str, hours: float, as_of: datetime, **options
 ) -> CycleResult:
     """One run over a fresh read of ``source``."""
+    refuse_overlap(source, [kept_path, *options.get("destinations", ())])
     return backup_then_prune(
         spark.read.parquet(source), ts, hours, as_of, kept_path, **options
     )
