@@ -10,23 +10,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_SUPPORT = 0.01
 HOWS = ("inner", "left", "left_semi", "left_anti")
 # the sketch is off by about 1 / 3000 of the rows, far below any useful support
 _TRACKED_ITEMS = 4096
+# for these, adaptive execution alone deals with skew
+_NOT_SKETCHED = (T.BinaryType, T.StructType, T.ArrayType, T.MapType)
 
 
 def frequent_keys(df: DataFrame, key: str, support: float = DEFAULT_SUPPORT) -> list:
-    """Keys holding at least ``support`` of the rows.
+    """Keys holding at least ``support`` of the rows, among them None for NULL.
 
     A bounded sketch per task, merged once: the data is not shuffled, and at most
     ``1 / support`` values come to the driver. An error in the sketch could only
     move a key to the other join strategy, never change the result.
     """
+    if isinstance(df.schema[key].dataType, _NOT_SKETCHED):
+        return []
     wanted = int(1 / support)
     row = df.agg(
-        F.count(key).alias("total"),
+        F.count(F.lit(1)).alias("total"),
         F.expr(f"approx_top_k(`{key}`, {wanted}, {_TRACKED_ITEMS})").alias("top"),
     ).first()
     least = max(row.total * support, 2)
@@ -43,14 +48,15 @@ def skew_safe_join(
     """Join where ``right`` has at most one row per ``key``. NULL keys never match."""
     if how not in HOWS:
         raise ValueError(f"how must be one of {HOWS}, got {how}")
-    hot = frequent_keys(left, key, support)
-    if not hot:
+    found = frequent_keys(left, key, support)
+    if not found:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    # NULL keys could be many as well, and need no partner
+    hot = [value for value in found if value is not None]
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    # NULL keys need no partner, so they stay out of the shuffle as well
     hot_left = left.where(F.col(key).isNull() | is_hot)
     hot_right = F.broadcast(right.where(is_hot))
-    rest = left.where(~is_hot).join(right.where(~is_hot), key, how)
+    rest = left.where(F.col(key).isNotNull() & ~is_hot).join(right.where(~is_hot), key, how)
     return hot_left.join(hot_right, key, how).unionByName(rest)
 
 
