@@ -1,4 +1,5 @@
 import hashlib
+import json
 import os
 import time
 from collections import Counter
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tierdown import plans
 from tierdown.plans import cycle as cycles
-from tierdown.sources import decompress_read, file_inventory, object_reader, read_with_errors
+from tierdown.sources import decompress_read, file_inventory, object_reader, read_policies, read_with_errors
 from tierdown.sources.readable import tolerant
 
 AS_OF = datetime(2024, 1, 31)
@@ -379,3 +380,62 @@ def test_run_once_refuses_a_target_in_its_source(spark, items, tmp_path):
         spark, source, f"{tmp_path}/src-kept", "ts", 240, AS_OF, destinations=[f"{tmp_path}/b"]
     )
     assert result.metrics["pruned"] == 29
+
+
+def test_a_json_policy_is_all_a_run_needs(spark, items, tmp_path):
+    source, policy = f"{tmp_path}/src", tmp_path / "policy.json"
+    items.write.parquet(source)
+    text = {
+        "prune_after_hours": 240, "target_folder": source, "run_interval": 3600,
+        "backup_path": f"{tmp_path}/a", "backup_paths": [f"{tmp_path}/b", f"{tmp_path}/a"],
+        "remote_backup": "", "enable_backup": True, "unknown_key": 1,
+        "archive": {"enabled": True, "format": "", "group_by": "Monthly"},
+    }
+    policy.write_text(json.dumps(text, indent=2))
+    policies = read_policies(spark, str(policy))
+    (result,) = plans.run_policies(policies, "ts", AS_OF, f"{tmp_path}/kept")
+    assert (result.metrics["copies"], result.metrics["pruned"]) == (2, 29)
+    for target in "ab":
+        months = {r.bucket for r in plans.open_archive(spark, f"{tmp_path}/{target}").collect()}
+        assert months == {"2023-12", "2024-01"}
+    sizes = plans.stored_sizes(spark, result.copies).collect()
+    assert len(sizes) == 2 and all(r.files > 0 and r.stored_bytes > 0 for r in sizes)
+    policy.write_text(json.dumps({**text, "prune_after_hours": -1}))
+    with pytest.raises(plans.PolicyError, match="prune_after_hours"):
+        plans.run_policies(read_policies(spark, str(policy)), "ts", AS_OF, f"{tmp_path}/kept")
+
+
+def test_a_hot_bucket_is_spread_over_many_tasks(spark, tmp_path):
+    """One bucket holds two thirds of the rows; buckets that hash elsewhere get one file."""
+    hot = F.col("id") % 3 < 2
+    day = F.when(hot, 5).otherwise(F.col("id") % 300 / 10).cast("int")
+    rows = spark.range(0, 60_000, 1, 16).select(
+        "id", F.expr("TIMESTAMP_NTZ '2024-01-01'") + F.make_dt_interval(day), F.sha2(F.col("id").cast("string"), 512).alias("pad")
+    ).toDF("id", "ts", "pad")
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "500k")
+    try:
+        (outcome,) = plans.archive_table(rows, "ts", [f"{tmp_path}/v"], "r1")
+    finally:
+        spark.conf.set(setting, before)
+    assert outcome.ok
+    sizes = {r.bucket: r.files for r in plans.archive_sizes(plans.open_archive(spark, f"{tmp_path}/v")).collect()}
+    assert sizes.pop("2024-01-06") >= 8
+    assert sorted(sizes.values())[len(sizes) // 2] == 1
+
+
+def test_restored_keys_may_not_leave_the_folder(spark, tmp_path):
+    rows = [("a/b.log", AS_OF), ("../evil", AS_OF), ("/etc/passwd", AS_OF)]
+    df = spark.createDataFrame(rows, "rel_path STRING, ts TIMESTAMP_NTZ")
+    plans.archive_table(df, "ts", [f"{tmp_path}/v"], "r1")
+    safe, errors = plans.restore_objects(spark, f"{tmp_path}/v")
+    assert [r.rel_path for r in safe.collect()] == ["a/b.log"]
+    assert sorted(r.key for r in errors.collect()) == ["../evil", "/etc/passwd"]
+
+
+def test_compact_copies(spark, items, tmp_path):
+    scattered = items.repartition(20)
+    for compact, most in ((False, 20), (True, 1)):
+        (o,) = plans.backup(scattered, [f"{tmp_path}/{compact}"], "r1", compact=compact)
+        assert o.ok and len(list(Path(o.path).glob("*.parquet"))) <= most

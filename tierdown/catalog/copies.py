@@ -31,6 +31,7 @@ from tierdown.plans import (
     read_copies,
     restore,
     run_once,
+    stored_sizes,
     write_compressed,
 )
 from tierdown.scratch import scratch_dir
@@ -88,6 +89,21 @@ def gzip_roundtrip(spark, sf_dir):
     return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "copy_ratios",
+    """
+    SELECT CAST(sum(strlen(text)) AS BIGINT) AS original_bytes, true AS smaller FROM documents
+    """,
+)
+def copy_ratios(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.octet_length("text").cast("bigint").alias("bytes")
+    )
+    outcomes = backup(docs, [scratch_dir(spark, "copy")], "run-1", "gzip", 6, "bytes")
+    smaller = F.col("compression_ratio").between(1, 99) & (F.col("space_saved") > 0)
+    return stored_sizes(spark, outcomes).select("original_bytes", smaller.alias("smaller"))
+
+
 @query(
     "multi_dest_backup",
     f"""

@@ -1,6 +1,13 @@
 """Actions: everything that writes."""
 
-from tierdown.plans.containers import archive_objects, archive_sizes, archive_table, open_archive, restore
+from tierdown.plans.containers import (
+    archive_objects,
+    archive_sizes,
+    archive_table,
+    open_archive,
+    restore,
+    restore_objects,
+)
 from tierdown.plans.copying import (
     BackupFailed,
     CopyOutcome,
@@ -9,9 +16,19 @@ from tierdown.plans.copying import (
     fingerprint,
     read_copies,
     refuse_overlap,
+    stored_sizes,
     write_compressed,
 )
-from tierdown.plans.cycle import CycleResult, ThresholdExceeded, backup_then_prune, run_once
+from tierdown.plans.cycle import (
+    CycleResult,
+    PolicyError,
+    ThresholdExceeded,
+    backup_then_prune,
+    plan_cycle,
+    policy_options,
+    run_once,
+    run_policies,
+)
 from tierdown.plans.pruning import (
     PruneMismatch,
     point_view,
@@ -24,6 +41,7 @@ __all__ = [
     "BackupFailed",
     "CopyOutcome",
     "CycleResult",
+    "PolicyError",
     "PruneMismatch",
     "ThresholdExceeded",
     "archive_objects",
@@ -34,13 +52,18 @@ __all__ = [
     "copy_outcomes",
     "fingerprint",
     "open_archive",
+    "plan_cycle",
     "point_view",
+    "policy_options",
     "prune_generation",
     "prune_partitions",
     "read_copies",
     "refuse_overlap",
     "restore",
+    "restore_objects",
     "run_once",
+    "run_policies",
     "split_for_prune",
+    "stored_sizes",
     "write_compressed",
 ]

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tierdown.functions.age import cutoff
 from tierdown.functions.naming import DEFAULT_FORMAT, FORMAT_EXTENSIONS, archive_bucket
-from tierdown.operators.restoring import latest_copies
+from tierdown.operators.restoring import latest_copies, split_unsafe_keys
 from tierdown.plans.copying import DEFAULT_LEVEL, CopyOutcome, checked_copy, refuse_overlap, write_compressed
 from tierdown.sources.inventory import object_reader
 
@@ -142,6 +142,17 @@ def restore(
     return latest_copies(archive, key, RUN)
 
 
+def restore_objects(
+    spark: SparkSession,
+    root: str,
+    buckets: Sequence[str] | None = None,
+    as_of_run: str | None = None,
+    key: str = "rel_path",
+) -> tuple[DataFrame, DataFrame]:
+    """(objects to put back, error rows for keys that would leave the folder)."""
+    return split_unsafe_keys(restore(spark, root, key, buckets, as_of_run), key)
+
+
 def archive_sizes(archive: DataFrame, bucket: str = BUCKET) -> DataFrame:
     """Items, files and stored bytes per container, from file metadata alone."""
     files = archive.select(bucket, "_metadata.file_path", "_metadata.file_size")

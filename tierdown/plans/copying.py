@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tierdown.functions.rates import compression_ratio, space_saved
+from tierdown.sources.inventory import file_inventory
+
 # How a numeric level is spelled for the writers' zlib codec.
 ZLIB_LEVELS = {
     1: "BEST_SPEED",
@@ -148,12 +151,16 @@ def backup(
     algorithm: str = "none",
     level: int = DEFAULT_LEVEL,
     size: str | None = None,
+    compact: bool = False,
 ) -> list[CopyOutcome]:
     """All rows to all destinations; one outcome each.
 
     Every run writes below its own ``run_id``, so a repeated run replaces only itself.
+    ``compact`` evens out the files with one shuffle per destination, which is worth
+    it when few rows of each source file are expired.
     """
     spark = df.sparkSession
+    rows = df.hint("rebalance") if compact else df
 
     def read(path: str) -> DataFrame:
         return spark.read.schema(df.schema).parquet(path)
@@ -163,7 +170,7 @@ def backup(
 
     def copy(destination: str) -> CopyOutcome:
         path = f"{destination.rstrip('/')}/run_id={run_id}"
-        return checked_copy(df, df.schema, destination, path, write, read, size)
+        return checked_copy(rows, df.schema, destination, path, write, read, size)
 
     if not destinations:
         return []
@@ -182,6 +189,32 @@ def copy_outcomes(
     return spark.createDataFrame(rows, OUTCOME_SCHEMA)
 
 
+def stored_sizes(spark: SparkSession, outcomes: Sequence[CopyOutcome]) -> DataFrame:
+    """Files, original and stored bytes and their ratio for each good copy.
+
+    Sizes come from the file listing; no copy is opened.
+    """
+    rows = [(o.destination, o.path, o.bytes) for o in outcomes if o.ok]
+    copies = spark.createDataFrame(rows, "destination STRING, path STRING, original_bytes BIGINT")
+    listed = spark.createDataFrame([], "path STRING, size BIGINT")
+    for _, path, _ in rows:
+        files = file_inventory(spark, path).select(F.lit(path).alias("path"), "size")
+        listed = listed.unionByName(files)
+    stored = listed.groupBy("path").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").cast("bigint").alias("stored_bytes")
+    )
+    # one row per destination on both sides
+    sized = copies.join(F.broadcast(stored), "path", "left").fillna(0, ["files", "stored_bytes"])
+    return sized.select(
+        "destination",
+        "files",
+        "original_bytes",
+        "stored_bytes",
+        compression_ratio("original_bytes", "stored_bytes").alias("compression_ratio"),
+        space_saved("original_bytes", "stored_bytes").alias("space_saved"),
+    )
+
+
 def read_copies(
     spark: SparkSession, outcomes: Sequence[CopyOutcome], schema: T.StructType, only_good: bool = True
 ) -> DataFrame:

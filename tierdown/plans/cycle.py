@@ -7,15 +7,24 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tierdown.functions.age import is_expired
+from tierdown.functions.naming import DEFAULT_FORMAT
 from tierdown.operators.linking import prune_safe
+from tierdown.operators.linting import policy_lint
 from tierdown.operators.planning import archive_plan, destination_plan, dry_run
 from tierdown.operators.retention import expired, retained
 from tierdown.plans.containers import archive_table
-from tierdown.plans.copying import BackupFailed, CopyOutcome, backup, read_copies, refuse_overlap
+from tierdown.plans.copying import (
+    DEFAULT_LEVEL,
+    BackupFailed,
+    CopyOutcome,
+    backup,
+    read_copies,
+    refuse_overlap,
+)
 from tierdown.plans.pruning import prune_generation, split_for_prune
 
 COUNTERS = (
@@ -32,6 +41,10 @@ class ThresholdExceeded(RuntimeError):
         self.result = result
 
 
+class PolicyError(ValueError):
+    """The policy breaks a rule."""
+
+
 @dataclass
 class CycleResult:
     run_id: str
@@ -87,7 +100,9 @@ def backup_then_prune(
     size: str | None = None,
     run_id: str | None = None,
     group_by: str | None = None,
+    format: str = DEFAULT_FORMAT,
     algorithm: str = "none",
+    level: int = DEFAULT_LEVEL,
     error_threshold_percent: float = 0.0,
     enable_backup: bool = True,
     prune_unbacked: bool = False,
@@ -115,10 +130,10 @@ def backup_then_prune(
             raise ValueError("a backup destination is required when backup is on")
         if group_by is not None:
             result.copies = archive_table(
-                old, ts, destinations, run_id, group_by, size=size
+                old, ts, destinations, run_id, group_by, format, level, size
             )
         else:
-            result.copies = backup(old, destinations, run_id, algorithm, size=size)
+            result.copies = backup(old, destinations, run_id, algorithm, level, size)
         complete = any(c.ok and c.items == counts["old"] for c in result.copies)
         if complete:
             safe, safe_bytes = counts["old"], counts["bytes"]
@@ -164,3 +179,40 @@ def run_once(
     return backup_then_prune(
         spark.read.parquet(source), ts, hours, as_of, kept_path, **options
     )
+
+
+def policy_options(policy: Row) -> dict:
+    """What a linted policy row says about a run, as arguments of ``run_once``."""
+    archive, compression = policy.archive, policy.compression
+    return {
+        "source": policy.target_folder,
+        "hours": policy.prune_after_hours,
+        "destinations": list(policy.destinations),
+        "enable_backup": policy.enable_backup,
+        "error_threshold_percent": policy.error_threshold_percent,
+        "group_by": archive.group_by if archive.enabled else None,
+        "format": archive.format,
+        "algorithm": compression.algorithm if compression.enabled else "none",
+        "level": compression.level,
+    }
+
+
+def run_policies(
+    policies: DataFrame, ts: str, as_of: datetime, kept_root: str, **options
+) -> list[CycleResult]:
+    """One run per policy, after all of them have passed the rules.
+
+    Policies are a handful of settings rows; each run is a set of Spark jobs. The
+    kept rows of the n-th policy go to ``kept_root/policy-n``.
+    """
+    spark = policies.sparkSession
+    rows = policy_lint(policies).collect()
+    broken = [f"{row.target_folder}: {row.violations[0]}" for row in rows if row.violations]
+    if broken:
+        raise PolicyError("; ".join(broken))
+    results = []
+    for n, row in enumerate(rows):
+        chosen = {**policy_options(row), **options}
+        kept = f"{kept_root.rstrip('/')}/policy-{n}"
+        results.append(run_once(spark, kept_path=kept, ts=ts, as_of=as_of, **chosen))
+    return results
