@@ -118,6 +118,14 @@ def test_policies_on_a_date_column(spark):
     assert flags == [True, False]
 
 
+def test_of_two_policies_for_a_class_the_strictest_decides(spark):
+    df = spark.createDataFrame([("a", AS_OF - timedelta(hours=30))], "c STRING, t TIMESTAMP_NTZ")
+    policies = spark.createDataFrame([("a", 48.0), ("a", 24.0)], "c STRING, prune_after_hours DOUBLE")
+    judged = op.apply_policies(df, policies, "c", "t", AS_OF).collect()
+    assert [r.expired for r in judged] == [True]
+    assert op.expired_by_policy(df, policies, "c", "t", AS_OF).count() == 1
+
+
 def test_no_policy_means_nothing_expires(spark):
     df = spark.createDataFrame([("a", AS_OF)], "c STRING, t TIMESTAMP_NTZ")
     none = spark.createDataFrame([], "c STRING, prune_after_hours DOUBLE")

@@ -3,7 +3,7 @@ import json
 import os
 import time
 from collections import Counter
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pytest
@@ -204,6 +204,23 @@ def test_object_archive_round_trip(spark, folder, tmp_path):
         plans.archive_objects(spark, root, [root + "/backup"], "r1", 24, utc_now())
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_age_of_files_is_strict(spark, tmp_path, zone):
+    moment = datetime(2024, 1, 2, 3, 4, 5, 500_000)
+    for name, shift in (("older", -0.001), ("equal", 0), ("newer", 0.001)):
+        file = tmp_path / "in" / name
+        file.parent.mkdir(exist_ok=True)
+        file.write_text(name)
+        stamp = moment.replace(tzinfo=timezone.utc).timestamp() + shift
+        os.utime(file, (stamp, stamp))
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        found = [r.rel_path for r in file_inventory(spark, f"{tmp_path}/in", moment).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found == ["older"]
+
+
 def test_size_filter_reaches_the_object_reader(spark, folder):
     objects, _ = object_reader(spark, folder[0], max_bytes=1000)
     plan = objects._jdf.queryExecution().executedPlan().toString()

@@ -49,7 +49,8 @@ def _policy_cutoffs(
     # seconds with six decimals, so that fractions of an hour survive
     seconds = (F.col(hours_col).cast("double") * F.lit(3600.0)).cast("decimal(18,6)")
     back = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
-    return policies.select(class_col, (base - back).alias("policy_cutoff"))
+    # one row per class: of several policies the strictest decides
+    return policies.groupBy(class_col).agg(F.max(base - back).alias("policy_cutoff"))
 
 
 def apply_policies(

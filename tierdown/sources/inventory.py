@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from tierdown.functions.naming import relative_key
 
 
-def _reader(spark: SparkSession, root: str) -> DataFrame:
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    )
+def _reader(spark: SparkSession, root: str, older_than: datetime | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if older_than is not None:
+        # young files are dropped from the listing, so no task is planned for them
+        reader = reader.option("modifiedBefore", older_than.isoformat()).option("timeZone", "UTC")
+    files = reader.load(root)
     # both paths in the same spelling, whatever scheme the file system adds
     path = F.regexp_replace(F.col("path"), "^file:/+", "/")
     folder = root if "://" in root else F.lit(root.removeprefix("file:"))
@@ -31,9 +33,11 @@ def _reader(spark: SparkSession, root: str) -> DataFrame:
     ).withColumn("rel_path", relative_key("path", folder))
 
 
-def file_inventory(spark: SparkSession, root: str) -> DataFrame:
+def file_inventory(
+    spark: SparkSession, root: str, older_than: datetime | None = None
+) -> DataFrame:
     """Every file below ``root``: path, key, age and size. No file is opened."""
-    return _reader(spark, root).select("path", "rel_path", "file_uri", "mtime", "size")
+    return _reader(spark, root, older_than).select("path", "rel_path", "file_uri", "mtime", "size")
 
 
 def object_reader(
@@ -41,12 +45,10 @@ def object_reader(
 ) -> tuple[DataFrame, DataFrame]:
     """(objects with content, error rows for objects above ``max_bytes``).
 
-    The size and age tests are applied by the reader before any content is loaded.
+    Age is tested on the listing (strictly older, UTC), size by the reader before any
+    content is loaded.
     """
-    files = _reader(spark, root)
-    if older_than is not None:
-        limit = F.lit(f"{older_than.isoformat(sep=' ')}+00:00").cast("timestamp")
-        files = files.where(F.col("mtime") < limit)
+    files = _reader(spark, root, older_than)
     objects = files.where(F.col("size") <= max_bytes)
     oversize = files.where(F.col("size") > max_bytes).select(
         F.col("rel_path").alias("key"),
