@@ -289,6 +289,26 @@ def test_breaker_against_brute_force(spark, slices):
     assert all(r.failed and r.running_rate > 22.0 for r in kept if r.tripped)
 
 
+def test_breaker_ordered_by_two_columns_with_ties(spark):
+    chance = random.Random(9)
+    rows = [("same" if n % 3 else f"d{n}", None if n == 7 else n, chance.random() < 0.3) for n in range(900)]
+    ranked = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+    flat = [("p", place, failed) for place, (_, _, failed) in enumerate(ranked)]
+    running, seen = brute_force(flat, 33.0)
+    places = {(d, n): place for place, (d, n, _) in enumerate(ranked)}
+    df = spark.createDataFrame([("p", *r) for r in rows], "part STRING, day STRING, n INT, failed BOOLEAN").repartition(6)
+    got = op.running_failure_rate(df, ["part"], ["day", "n"], "failed", 16).collect()
+    assert {("p", places[r.day, r.n]): (r.running_succeeded, r.running_failed, r.running_rate) for r in got} == running
+    kept = op.stop_at_breach(df, ["part"], ["day", "n"], "failed", 33.0, 16).collect()
+    assert {("p", places[r.day, r.n]) for r in kept} == seen
+    from tierdown.operators import breaker
+
+    key = breaker._order_key(["day", "n"])
+    bounds = breaker._slice_bounds(df, key, 16)
+    sizes = df.groupBy(breaker._slice_of(key, bounds).alias("s")).count().collect()
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 200
+
+
 def test_breaker_over_one_run_and_switched_off(spark):
     chance = random.Random(1)
     rows = [(n, chance.random() < 0.3) for n in range(2000)]

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tierdown.functions.rates import breaches, failure_rate
 
@@ -34,24 +35,32 @@ def _default_slices(df: DataFrame) -> int:
     return min(max(4 * partitions, 16), _MOST_SLICES)
 
 
-def _slice_bounds(df: DataFrame, key: Column, slices: int) -> list:
-    sample = (
-        df.select(key.alias("k"))
-        .where(F.col("k").isNotNull())
-        .orderBy(F.rand(7))
-        .limit(slices * _SAMPLES_PER_SLICE)
-    )
-    ranked = sorted(row.k for row in sample.collect())
-    picked = ranked[_SAMPLES_PER_SLICE::_SAMPLES_PER_SLICE]
-    return sorted(set(picked))
+def _order_key(order: Sequence[str]) -> Column:
+    """What slices are cut by: all order columns, so that ties in the first spread too."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
+def _slice_bounds(df: DataFrame, key: Column, slices: int) -> list[Column]:
+    keys = df.select(key.alias("k")).where(F.col("k").isNotNull())
+    wanted = slices * _SAMPLES_PER_SLICE
+    share = min(1.0, wanted / max(keys.count(), 1))
+    ranked = [row.k for row in keys.sample(share, 7).orderBy("k").collect()]
+    step = max(len(ranked) // slices, 1)
+    return [_bound(value, keys.schema["k"].dataType) for value in dict.fromkeys(ranked[step::step])]
+
+
+def _bound(value, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_bound(v, f.dataType).alias(f.name) for v, f in zip(value, dtype)])
+    return F.lit(value).cast(dtype)
 
 
-def _slice_of(key: Column, bounds: list, low: int = 0) -> Column:
+def _slice_of(key: Column, bounds: list[Column], low: int = 0) -> Column:
     """Number of bounds at or below ``key``: a binary search in compiled code."""
     if not bounds:
         return F.lit(low)
     middle = len(bounds) // 2
-    return F.when(key < F.lit(bounds[middle]), _slice_of(key, bounds[:middle], low)).otherwise(
+    return F.when(key < bounds[middle], _slice_of(key, bounds[:middle], low)).otherwise(
         _slice_of(key, bounds[middle + 1 :], low + middle + 1)
     )
 
@@ -71,10 +80,10 @@ def _unpacked(outcomes: DataFrame, part: Sequence[str]) -> list[Column]:
 def _sliced_running(
     outcomes: DataFrame, part: Sequence[str], order: Sequence[str], failed: str, slices: int | None
 ) -> DataFrame:
-    first = F.col(order[0])
-    bounds = _slice_bounds(outcomes, first, slices or _default_slices(outcomes))
+    key = _order_key(order)
+    bounds = _slice_bounds(outcomes, key, slices or _default_slices(outcomes))
     # no order key sorts first in Spark, hence the lowest slice
-    place = F.when(first.isNull(), F.lit(-1)).otherwise(_slice_of(first, bounds))
+    place = F.when(key.isNull(), F.lit(-1)).otherwise(_slice_of(key, bounds))
     # the part columns travel once, inside the struct
     others = [name for name in outcomes.columns if name not in part]
     rows = outcomes.select(*others, _part_of(part).alias(_PART), place.alias(_SLICE))

@@ -16,6 +16,7 @@ DEFAULT_SUPPORT = 0.01
 HOWS = ("inner", "left", "left_semi", "left_anti")
 # the sketch is off by about 1 / 3000 of the rows, far below any useful support
 _TRACKED_ITEMS = 4096
+_MERGE_GROUPS = 256
 # for these, adaptive execution alone deals with skew
 _NOT_SKETCHED = (T.BinaryType, T.StructType, T.ArrayType, T.MapType)
 
@@ -23,18 +24,24 @@ _NOT_SKETCHED = (T.BinaryType, T.StructType, T.ArrayType, T.MapType)
 def frequent_keys(df: DataFrame, key: str, support: float = DEFAULT_SUPPORT) -> list:
     """Keys holding at least ``support`` of the rows, among them None for NULL.
 
-    A bounded sketch per task, merged once: the data is not shuffled, and at most
-    ``1 / support`` values come to the driver. An error in the sketch could only
-    move a key to the other join strategy, never change the result.
+    Each task keeps one bounded sketch; sketches are merged in groups of tasks and
+    then once more, so that no single task takes those of the whole cluster. The data
+    is not shuffled, and at most ``1 / support`` values come to the driver. An error
+    in the sketch could only move a key to the other join strategy, never change the
+    result.
     """
     if isinstance(df.schema[key].dataType, _NOT_SKETCHED):
         return []
-    wanted = int(1 / support)
-    row = df.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.expr(f"approx_top_k(`{key}`, {wanted}, {_TRACKED_ITEMS})").alias("top"),
+    per_group = df.groupBy((F.spark_partition_id() % _MERGE_GROUPS).alias("g")).agg(
+        F.count(F.lit(1)).alias("items"),
+        F.expr(f"approx_top_k_accumulate(`{key}`, {_TRACKED_ITEMS})").alias("sketch"),
+    )
+    merged = f"approx_top_k_combine(sketch, {_TRACKED_ITEMS})"
+    row = per_group.agg(
+        F.sum("items").alias("total"),
+        F.expr(f"approx_top_k_estimate({merged}, {int(1 / support)})").alias("top"),
     ).first()
-    least = max(row.total * support, 2)
+    least = max((row.total or 0) * support, 2)
     return [entry["item"] for entry in row.top or [] if entry["count"] >= least]
 
 
@@ -62,7 +69,7 @@ def skew_safe_join(
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; stops reading once it is clear."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    return len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows
 
 
 def lookup_join(
