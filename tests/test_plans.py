@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierdown import plans
+from tierdown.operators import merge_results, restore_over
 from tierdown.plans import cycle as cycles
 from tierdown.sources import decompress_read, file_inventory, object_reader, read_policies, read_with_errors
 from tierdown.sources.readable import tolerant
@@ -456,3 +457,41 @@ def test_compact_copies(spark, items, tmp_path):
     for compact, most in ((False, 20), (True, 1)):
         (o,) = plans.backup(scattered, [f"{tmp_path}/{compact}"], "r1", compact=compact)
         assert o.ok and len(list(Path(o.path).glob("*.parquet"))) <= most
+
+
+def test_a_cancelled_run_changes_nothing(spark, items, tmp_path):
+    options = dict(destinations=[f"{tmp_path}/a"], key="id")
+    with pytest.raises(plans.RunCancelled, match="backup"):
+        plans.backup_then_prune(
+            items, "ts", 240, AS_OF, f"{tmp_path}/kept", should_stop=lambda: True, **options
+        )
+    assert list(tmp_path.iterdir()) == []
+    answers = iter([False, True])
+    with pytest.raises(plans.RunCancelled, match="prune"):
+        plans.backup_then_prune(
+            items, "ts", 240, AS_OF, f"{tmp_path}/kept", should_stop=lambda: next(answers), **options
+        )
+    assert not Path(f"{tmp_path}/kept").exists()
+
+
+def test_restoring_undoes_a_run(spark, items, tmp_path):
+    result = plans.backup_then_prune(
+        items, "ts", 240, AS_OF, f"{tmp_path}/kept", [f"{tmp_path}/a"], key="id", group_by="daily"
+    )
+    restored = plans.restore(spark, f"{tmp_path}/a", "id")
+    whole = restore_over(spark.read.parquet(result.kept_path), restored, "id")
+    assert whole.count() == 41 and whole.exceptAll(items).count() == 0
+
+
+def test_history_of_runs(spark, items, tmp_path, blocked):
+    for run in ("r1", "r2", "r2"):
+        result = plans.backup_then_prune(
+            items, "ts", 240, AS_OF, f"{tmp_path}/kept-{run}", [blocked, f"{tmp_path}/a"],
+            key="id", size="size", run_id=run,
+        )
+        plans.record_run(spark, result, f"{tmp_path}/history")
+    runs = spark.read.parquet(f"{tmp_path}/history/run_metrics")
+    merged = merge_results(runs.withColumn("archive_path", F.lit(""))).first()
+    assert (merged.pruned, merged.skipped) == (2 * 29, 2 * 12)
+    copies = spark.read.parquet(f"{tmp_path}/history/copies")
+    assert copies.where("ok").count() == 2 and copies.where("not ok and err is not null").count() == 2

@@ -17,7 +17,7 @@ from tierdown.catalog.registry import (
 )
 from tierdown.catalog.selection import events, old_orders
 from tierdown.functions import archive_bucket
-from tierdown.operators import expired, retained
+from tierdown.operators import expired, restore_over, retained
 from tierdown.plans import (
     archive_objects,
     archive_sizes,
@@ -173,6 +173,24 @@ def restore_latest(spark, sf_dir):
     return newest.select("event_id", "props", "run_id", "bucket")
 
 
+@query(
+    "restore_over",
+    """
+    SELECT event_id, ts, event_type,
+           CASE WHEN event_type = 'error' THEN 'from the archive' ELSE props END AS props
+    FROM events
+    """,
+)
+def put_back(spark, sf_dir):
+    current = table(spark, sf_dir, "events")
+    errors = current.where("event_type = 'error'").withColumn("props", F.lit("from the archive"))
+    vault = scratch_dir(spark, "vault")
+    archive_table(errors, "ts", [vault], "run-1", "weekly")
+    restored = restore(spark, vault, "event_id", schema=current.schema)
+    after = restore_over(current, restored, "event_id")
+    return after.select("event_id", "ts", "event_type", "props")
+
+
 @query(
     "prune_keep",
     f"SELECT event_id, ts, user_id, event_type, value FROM events WHERE ts IS NULL OR ts >= {EVENTS_CUTOFF}",

@@ -17,7 +17,7 @@ from tierdown.operators.joins import skew_safe_join
 from tierdown.operators.linking import overlap_guard, prune_safe, unbacked, unread_items
 from tierdown.operators.linting import policy_lint, with_defaults
 from tierdown.operators.planning import archive_plan, destination_plan, dry_run
-from tierdown.operators.restoring import latest_copies, split_unsafe_keys
+from tierdown.operators.restoring import latest_copies, restore_over, split_unsafe_keys
 from tierdown.operators.retention import (
     apply_policies,
     classify,
@@ -46,6 +46,7 @@ __all__ = [
     "phase_rates",
     "policy_lint",
     "prune_safe",
+    "restore_over",
     "retained",
     "retention_split",
     "run_summary",

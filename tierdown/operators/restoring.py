@@ -27,6 +27,14 @@ def latest_copies(archive: DataFrame, key: str, run: str = "run_id") -> DataFram
     return latest.unionByName(archive.where(~keyed))
 
 
+def restore_over(current: DataFrame, restored: DataFrame, key: str) -> DataFrame:
+    """``current`` with the restored rows put back: a restored key replaces what is there."""
+    columns = current.columns
+    held = restored.select(key).where(F.col(key).isNotNull()).distinct()
+    untouched = skew_safe_join(current, held, key, "left_anti")
+    return untouched.select(*columns).unionByName(restored.select(*columns))
+
+
 def split_unsafe_keys(archive: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(safe rows, error rows): absolute keys and keys that climb out are refused."""
     text = F.col(key).cast("string")

@@ -22,10 +22,12 @@ from tierdown.plans.copying import (
 from tierdown.plans.cycle import (
     CycleResult,
     PolicyError,
+    RunCancelled,
     ThresholdExceeded,
     backup_then_prune,
     plan_cycle,
     policy_options,
+    record_run,
     run_once,
     run_policies,
 )
@@ -43,6 +45,7 @@ __all__ = [
     "CycleResult",
     "PolicyError",
     "PruneMismatch",
+    "RunCancelled",
     "ThresholdExceeded",
     "archive_objects",
     "archive_sizes",
@@ -58,6 +61,7 @@ __all__ = [
     "prune_generation",
     "prune_partitions",
     "read_copies",
+    "record_run",
     "refuse_overlap",
     "restore",
     "restore_objects",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -22,6 +22,7 @@ from tierdown.plans.copying import (
     BackupFailed,
     CopyOutcome,
     backup,
+    copy_outcomes,
     read_copies,
     refuse_overlap,
 )
@@ -41,6 +42,10 @@ class ThresholdExceeded(RuntimeError):
         self.result = result
 
 
+class RunCancelled(RuntimeError):
+    """The run was asked to stop before it removed anything."""
+
+
 class PolicyError(ValueError):
     """The policy breaks a rule."""
 
@@ -69,6 +74,11 @@ def _counts(df: DataFrame, ts: str, hours: float, as_of: datetime, size: str | N
     ).first().asDict()
 
 
+def _stop_if_asked(should_stop: Callable[[], bool], phase: str) -> None:
+    if should_stop():
+        raise RunCancelled(f"stopped before {phase}")
+
+
 def plan_cycle(
     df: DataFrame,
     ts: str,
@@ -106,6 +116,7 @@ def backup_then_prune(
     error_threshold_percent: float = 0.0,
     enable_backup: bool = True,
     prune_unbacked: bool = False,
+    should_stop: Callable[[], bool] = lambda: False,
 ) -> CycleResult:
     """Back up what is expired, then keep the rest in a new generation at ``kept_path``.
 
@@ -115,8 +126,10 @@ def backup_then_prune(
     with what the incomplete copies really hold, and unmatched rows are kept.
     ``prune_unbacked`` removes them all the same. With ``enable_backup`` off, age
     alone decides. Any error before the prune leaves the source as it is.
+    ``should_stop`` is asked before the copies and before the prune.
     """
     spark = df.sparkSession
+    _stop_if_asked(should_stop, "the backup")
     run_id = run_id or uuid.uuid4().hex
     old = expired(df, ts, hours, as_of)
     counts = _counts(df, ts, hours, as_of, size)
@@ -159,6 +172,7 @@ def backup_then_prune(
             errors = "; ".join(f"{c.destination}: {c.err}" for c in result.copies)
             raise BackupFailed(f"all backups failed: {errors}")
 
+    _stop_if_asked(should_stop, "the prune")
     if backed_up is None or prune_unbacked:
         kept = retained(df, ts, hours, as_of)
         expected = counts["total"] - counts["old"]
@@ -181,6 +195,22 @@ def run_once(
     )
 
 
+def record_run(spark: SparkSession, result: CycleResult, root: str) -> None:
+    """Add a run to the history below ``root``: ``run_metrics`` and ``copies``.
+
+    A repeated run replaces its own entry. ``merge_results`` adds runs up.
+    """
+    root = root.rstrip("/")
+    history = {
+        "run_metrics": result.to_df(spark),
+        "copies": copy_outcomes(spark, result.run_id, result.copies),
+    }
+    for name, rows in history.items():
+        rows.drop("run_id").coalesce(1).write.mode("overwrite").parquet(
+            f"{root}/{name}/run_id={result.run_id}"
+        )
+
+
 def policy_options(policy: Row) -> dict:
     """What a linted policy row says about a run, as arguments of ``run_once``."""
     archive, compression = policy.archive, policy.compression
