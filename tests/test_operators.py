@@ -31,8 +31,8 @@ def test_skew_safe_join_equals_the_plain_join(spark, skewed, how, with_hot):
     rows, left = skewed
     keys = [f"k{n}" for n in range(0, 900, 2)] + (["hot"] if with_hot else [])
     right = spark.createDataFrame([(k, len(k)) for k in keys], "k STRING, w INT")
-    assert joins.frequent_keys(left, "k") == ["hot", None]
-    found = op.skew_safe_join(left, right, "k", how)
+    assert joins.frequent_keys(left, "k", 0.01) == ["hot", None]
+    found = op.skew_safe_join(left, right, "k", how, support=0.01)
     plain = left.join(right, "k", how)
     assert found.columns == plain.columns
     assert Counter(map(tuple, found.collect())) == Counter(map(tuple, plain.collect()))
@@ -41,7 +41,7 @@ def test_skew_safe_join_equals_the_plain_join(spark, skewed, how, with_hot):
 def test_many_rows_without_a_key(spark):
     left = spark.range(1000).select(F.when(F.col("id") < 400, F.col("id")).alias("k"))
     right = spark.range(0, 1000, 2).select(F.col("id").alias("k"))
-    assert joins.frequent_keys(left, "k") == [None]
+    assert joins.frequent_keys(left, "k", 0.01) == [None]
     counts = {how: op.skew_safe_join(left, right, "k", how).count() for how in joins.HOWS}
     assert counts == {"inner": 200, "left": 1000, "left_semi": 200, "left_anti": 800}
 
@@ -275,7 +275,7 @@ def test_breaker_against_brute_force(spark, slices):
     chance = random.Random(slices)
     rows = [("hot", f"path/{n:05d}", chance.random() < 0.2) for n in range(700)]
     rows += [(f"p{chance.randint(0, 40)}", f"file{n}", chance.random() < 0.2) for n in range(1200)]
-    rows += [(None, f"x{n}", chance.random() < 0.2) for n in range(100)]
+    rows += [(None, f"x{n}", chance.random() < 0.2) for n in range(300)]
     rows += [("hot", None, True)]
     # the first items of the hot part are fine, so that it trips late
     rows = [(p, o, f and not (p == "hot" and (o or "~") < "path/00040")) for p, o, f in rows]

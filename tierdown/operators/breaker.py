@@ -1,8 +1,9 @@
 """The ordered failure breaker.
 
-The rate is looked at after every item, in order, and the first breach ends the
-run. A plain window per part would put a part that holds a third of all rows in one
-task, so order is cut into slices first:
+The rate is looked at after every item, in order, and the first breach ends the run.
+An ordinary part is one window. A part that holds a large share of the rows, or a
+single run over everything, would put too much in one task, so its order is cut into
+slices:
 
 1. slice bounds come from a small sample of the order keys. They only decide how
    evenly the work is spread; every row is placed by comparing with them, so the
@@ -10,6 +11,9 @@ task, so order is cut into slices first:
 2. counts per (part, slice) are combined map-side, and a window over these few rows
    gives what came before each slice;
 3. rows run in a window per (part, slice) and add that offset.
+
+Large parts are few by definition, so the per-slice rows are at most
+``parts x slices`` and are broadcast.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierdown.functions.rates import breaches, failure_rate
+from tierdown.operators.joins import DEFAULT_SUPPORT, frequent_keys
 
 _PART = "_part"
 _SLICE = "_slice"
 _GROUPS = [_PART, _SLICE]
+_RATES = ["running_succeeded", "running_failed", "running_rate"]
 _SAMPLES_PER_SLICE = 20
 # more would make the search below too large to compile well
 _MOST_SLICES = 1024
@@ -70,14 +76,49 @@ def _part_of(part: Sequence[str]) -> Column:
     return F.struct(*part) if part else F.struct(F.lit(0).alias("all"))
 
 
-def _unpacked(outcomes: DataFrame, part: Sequence[str]) -> list[Column]:
-    return [
-        F.col(_PART)[name].alias(name) if name in part else F.col(name)
-        for name in outcomes.columns
-    ]
+def _hot_parts(df: DataFrame, part: Sequence[str]) -> list[int]:
+    """Hash codes of parts larger than half of an even share of a task."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    support = max(DEFAULT_SUPPORT, 1 / (2 * partitions))
+    return frequent_keys(df.select(F.xxhash64(*part).alias("code")), "code", support)
+
+
+def _split(outcomes: DataFrame, part: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary parts, rows of hot parts); None where there is nothing to do."""
+    if not part:
+        return None, outcomes
+    hot = _hot_parts(outcomes, part)
+    if not hot:
+        return outcomes, None
+    # parts that share a hash code go the same way, which does no harm
+    is_hot = F.xxhash64(*part).isin(hot)
+    return outcomes.where(~is_hot), outcomes.where(is_hot)
+
+
+def _counted(rows: DataFrame, groups: Sequence[str], order: Sequence[str], failed: str) -> DataFrame:
+    """Items and failures of the group up to each row."""
+    window = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(
+        "*", F.count(F.lit(1)).over(window).alias("_n"), F.count_if(failed).over(window).alias("_f")
+    )
 
 
-def _sliced_running(
+def _rated(rows: DataFrame, n: Column, f: Column) -> DataFrame:
+    return rows.withColumns(
+        {
+            "running_succeeded": n - f,
+            "running_failed": f,
+            "running_rate": failure_rate(n - f, f),
+        }
+    )
+
+
+def _ordinary(rows: DataFrame, part: Sequence[str], order: Sequence[str], failed: str) -> DataFrame:
+    counted = _counted(rows, part, order, failed)
+    return _rated(counted, F.col("_n"), F.col("_f")).drop("_n", "_f")
+
+
+def _sliced(
     outcomes: DataFrame, part: Sequence[str], order: Sequence[str], failed: str, slices: int | None
 ) -> DataFrame:
     key = _order_key(order)
@@ -87,47 +128,63 @@ def _sliced_running(
     # the part columns travel once, inside the struct
     others = [name for name in outcomes.columns if name not in part]
     rows = outcomes.select(*others, _part_of(part).alias(_PART), place.alias(_SLICE))
-    one_failed = F.when(F.col(failed), 1).otherwise(0)
     before = Window.partitionBy(_PART).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*_GROUPS)
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(one_failed).alias("_f"))
+        .agg(F.count(F.lit(1)).alias("_n_slice"), F.count_if(failed).alias("_f_slice"))
         .select(
             *_GROUPS,
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_before"),
-            F.coalesce(F.sum("_f").over(before), F.lit(0)).alias("_f_before"),
+            F.coalesce(F.sum("_n_slice").over(before), F.lit(0)).alias("_n_before"),
+            F.coalesce(F.sum("_f_slice").over(before), F.lit(0)).alias("_f_before"),
         )
     )
-    inside = (
-        Window.partitionBy(*_GROUPS).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    counted = rows.select(
-        "*",
-        F.count(F.lit(1)).over(inside).alias("_n_here"),
-        F.sum(one_failed).over(inside).alias("_f_here"),
-    )
-    n = F.col("_n_here") + F.col("_n_before")
-    f = F.col("_f_here") + F.col("_f_before")
-    return counted.join(offsets, _GROUPS).select(
-        *others,
-        *_GROUPS,
-        (n - f).alias("running_succeeded"),
-        f.alias("running_failed"),
-        failure_rate(n - f, f).alias("running_rate"),
-    )
+    joined = _counted(rows, _GROUPS, order, failed).join(F.broadcast(offsets), _GROUPS)
+    rated = _rated(joined, F.col("_n") + F.col("_n_before"), F.col("_f") + F.col("_f_before"))
+    return rated.drop("_n", "_f", "_n_before", "_f_before")
+
+
+def _unpacked(outcomes: DataFrame, part: Sequence[str]) -> list[Column]:
+    return [
+        F.col(_PART)[name].alias(name) if name in part else F.col(name)
+        for name in outcomes.columns
+    ]
+
+
+def _union(pieces: list[DataFrame]) -> DataFrame:
+    return pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
 
 
 def running_failure_rate(
-    outcomes: DataFrame, part: Sequence[str], order: Sequence[str], failed: str, slices: int | None = None
+    outcomes: DataFrame,
+    part: Sequence[str],
+    order: Sequence[str],
+    failed: str,
+    slices: int | None = None,
 ) -> DataFrame:
     """Adds ``running_succeeded``, ``running_failed`` and ``running_rate``.
 
     ``failed`` is a boolean column, ``order`` must identify a row within its part, and
     an empty ``part`` means one run over everything.
     """
-    rates = _sliced_running(outcomes, part, order, failed, slices)
-    return rates.select(
-        *_unpacked(outcomes, part), "running_succeeded", "running_failed", "running_rate"
+    ordinary, hot = _split(outcomes, part)
+    columns = [*outcomes.columns, *_RATES]
+    pieces = []
+    if ordinary is not None:
+        pieces.append(_ordinary(ordinary, part, order, failed).select(*columns))
+    if hot is not None:
+        rates = _sliced(hot, part, order, failed, slices)
+        pieces.append(rates.select(*_unpacked(outcomes, part), *_RATES))
+    return _union(pieces)
+
+
+def _tripped(rates: DataFrame, groups: Sequence[str], order: Sequence[str], failed: str, percent: float) -> DataFrame:
+    """Adds ``tripped``, and ``_stopped`` for rows after a breach in their group."""
+    trips = F.coalesce(F.col(failed), F.lit(False)) & breaches(
+        "running_succeeded", "running_failed", percent
+    )
+    earlier = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rates.withColumn("tripped", trips).withColumn(
+        "_stopped", F.coalesce(F.max("tripped").over(earlier), F.lit(False))
     )
 
 
@@ -144,22 +201,25 @@ def stop_at_breach(
     Rows after it were never looked at, so they are left out. Only a failure can
     trip the breaker. Adds ``tripped``, true on the row that ended the run.
     """
-    rates = _sliced_running(outcomes, part, order, failed, slices)
-    trips = F.coalesce(F.col(failed), F.lit(False)) & breaches("running_succeeded", "running_failed", percent)
-    inside = Window.partitionBy(*_GROUPS).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    marked = rates.withColumn("tripped", trips).withColumn(
-        "_stopped", F.coalesce(F.max("tripped").over(inside), F.lit(False))
-    )
-    earlier = Window.partitionBy(_PART).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    stopped_slices = (
-        marked.groupBy(*_GROUPS)
-        .agg(F.max("tripped").alias("_trips"))
-        .withColumn("_stopped_before", F.coalesce(F.max("_trips").over(earlier), F.lit(False)))
-        .select(*_GROUPS, "_stopped_before")
-    )
-    kept = marked.join(stopped_slices, _GROUPS).where(
-        ~F.col("_stopped") & ~F.col("_stopped_before")
-    )
-    return kept.select(
-        *_unpacked(outcomes, part), "running_succeeded", "running_failed", "running_rate", "tripped"
-    )
+    ordinary, hot = _split(outcomes, part)
+    pieces = []
+    if ordinary is not None:
+        rates = _ordinary(ordinary, part, order, failed)
+        kept = _tripped(rates, part, order, failed, percent).where(~F.col("_stopped"))
+        pieces.append(kept.select(*outcomes.columns, *_RATES, "tripped"))
+    if hot is not None:
+        rates = _sliced(hot, part, order, failed, slices)
+        marked = _tripped(rates, _GROUPS, order, failed, percent)
+        earlier = (
+            Window.partitionBy(_PART).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        )
+        stopped = (
+            marked.groupBy(*_GROUPS)
+            .agg(F.max("tripped").alias("_trips"))
+            .withColumn("_stopped_before", F.coalesce(F.max("_trips").over(earlier), F.lit(False)))
+            .where("_stopped_before")
+            .select(*_GROUPS)
+        )
+        kept = marked.where(~F.col("_stopped")).join(F.broadcast(stopped), _GROUPS, "left_anti")
+        pieces.append(kept.select(*_unpacked(outcomes, part), *_RATES, "tripped"))
+    return _union(pieces)

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_SUPPORT = 0.01
+DEFAULT_SUPPORT = 0.001
 HOWS = ("inner", "left", "left_semi", "left_anti")
-# the sketch is off by about 1 / 3000 of the rows, far below any useful support
-_TRACKED_ITEMS = 4096
+# the sketch is off by about 1 / 6000 of the rows, well below the support
+_TRACKED_ITEMS = 8192
 _MERGE_GROUPS = 256
 # for these, adaptive execution alone deals with skew
 _NOT_SKETCHED = (T.BinaryType, T.StructType, T.ArrayType, T.MapType)
