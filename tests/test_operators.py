@@ -289,6 +289,17 @@ def test_breaker_against_brute_force(spark, slices):
     assert all(r.failed and r.running_rate > 22.0 for r in kept if r.tripped)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 6, 7, 8, 100])
+def test_slices_are_found_by_binary_search(spark, n):
+    from tierdown.operators import breaker
+
+    bounds = [F.lit(10 * b) for b in range(n)]
+    df = spark.range(-5, 10 * n + 15).select(F.col("id").alias("k")).union(spark.sql("SELECT NULL"))
+    for row in breaker._with_slice(df, F.col("k"), bounds).collect():
+        expected = 0 if row.k is None else sum(10 * b <= row.k for b in range(n))
+        assert row._slice == expected
+
+
 def test_breaker_ordered_by_two_columns_with_ties(spark):
     chance = random.Random(9)
     rows = [("same" if n % 3 else f"d{n}", None if n == 7 else n, chance.random() < 0.3) for n in range(900)]
@@ -305,7 +316,7 @@ def test_breaker_ordered_by_two_columns_with_ties(spark):
 
     key = breaker._order_key(["day", "n"])
     bounds = breaker._slice_bounds(df, key, 16)
-    sizes = df.groupBy(breaker._slice_of(key, bounds).alias("s")).count().collect()
+    sizes = breaker._with_slice(df, key, bounds).groupBy("_slice").count().collect()
     assert len(sizes) > 8 and max(r["count"] for r in sizes) < 200
 
 

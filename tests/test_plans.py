@@ -16,7 +16,6 @@ from tierdown.sources import decompress_read, file_inventory, object_reader, rea
 from tierdown.sources.readable import tolerant
 
 AS_OF = datetime(2024, 1, 31)
-NOW = datetime.now()
 
 
 @pytest.fixture(scope="module")
@@ -178,7 +177,7 @@ def folder(tmp_path):
 
 
 def utc_now():
-    return datetime.fromtimestamp(time.time(), tz=None) if time.timezone == 0 else datetime.utcnow()
+    return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
 def test_inventory(spark, folder):

@@ -32,8 +32,8 @@ _SLICE = "_slice"
 _GROUPS = [_PART, _SLICE]
 _RATES = ["running_succeeded", "running_failed", "running_rate"]
 _SAMPLES_PER_SLICE = 20
-# more would make the search below too large to compile well
-_MOST_SLICES = 1024
+# keeps the per-slice rows of all hot parts small enough to broadcast
+_MOST_SLICES = 2048
 
 
 def _default_slices(df: DataFrame) -> int:
@@ -61,14 +61,19 @@ def _bound(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def _slice_of(key: Column, bounds: list[Column], low: int = 0) -> Column:
-    """Number of bounds at or below ``key``: a binary search in compiled code."""
+def _with_slice(rows: DataFrame, key: Column, bounds: list[Column]) -> DataFrame:
+    """Adds the number of bounds at or below ``key``: a binary search over one literal
+    array, a small projection per step so that each stays compiled code. Rows without an
+    order key sort first in Spark and stay in slice 0."""
+    rows = rows.withColumn(_SLICE, F.lit(0))
     if not bounds:
-        return F.lit(low)
-    middle = len(bounds) // 2
-    return F.when(key < bounds[middle], _slice_of(key, bounds[:middle], low)).otherwise(
-        _slice_of(key, bounds[middle + 1 :], low + middle + 1)
-    )
+        return rows
+    table, here = F.array(*bounds), F.col(_SLICE)
+    for bit in reversed(range(len(bounds).bit_length())):
+        ahead = here + F.lit(1 << bit)
+        # beyond the end there is no bound, and the comparison with NULL fails
+        rows = rows.withColumn(_SLICE, F.when(key >= F.get(table, ahead - 1), ahead).otherwise(here))
+    return rows
 
 
 def _part_of(part: Sequence[str]) -> Column:
@@ -123,11 +128,10 @@ def _sliced(
 ) -> DataFrame:
     key = _order_key(order)
     bounds = _slice_bounds(outcomes, key, slices or _default_slices(outcomes))
-    # no order key sorts first in Spark, hence the lowest slice
-    place = F.when(key.isNull(), F.lit(-1)).otherwise(_slice_of(key, bounds))
     # the part columns travel once, inside the struct
     others = [name for name in outcomes.columns if name not in part]
-    rows = outcomes.select(*others, _part_of(part).alias(_PART), place.alias(_SLICE))
+    placed = _with_slice(outcomes, key, bounds)
+    rows = placed.select(*others, _part_of(part).alias(_PART), _SLICE)
     before = Window.partitionBy(_PART).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*_GROUPS)
