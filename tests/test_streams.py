@@ -3,7 +3,6 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from tierdown import plans, streaming
 from tierdown.sources import event_stream

@@ -13,7 +13,7 @@ from tierdown.catalog.registry import (
     query,
     table,
 )
-from tierdown.catalog.selection import old_events, old_orders
+from tierdown.catalog.selection import old_orders
 from tierdown.functions import (
     archive_bucket,
     archive_name,
