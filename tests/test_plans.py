@@ -255,6 +255,18 @@ def test_generation_is_checked(spark, items, tmp_path):
         plans.prune_generation(keep, 13, f"{tmp_path}/g2")
 
 
+def test_a_generation_replaces_nothing(spark, items, tmp_path):
+    source = f"{tmp_path}/src"
+    items.write.parquet(source)
+    df = spark.read.parquet(source)
+    with pytest.raises(FileExistsError):
+        plans.backup_then_prune(df, "ts", 240, AS_OF, source, [f"{tmp_path}/a"], key="id")
+    assert not Path(f"{tmp_path}/a").exists()
+    with pytest.raises(Exception, match="(?i)already exists"):
+        plans.prune_generation(df, 41, source)
+    assert spark.read.parquet(source).count() == 41
+
+
 def test_only_backed_up_rows_may_go(spark, items):
     held = spark.createDataFrame([(n,) for n in (5, 20, 21)], "id BIGINT")
     keep, go = plans.split_for_prune(items, "ts", 240, AS_OF, held, "id")
@@ -483,9 +495,9 @@ def test_restoring_undoes_a_run(spark, items, tmp_path):
 
 
 def test_history_of_runs(spark, items, tmp_path, blocked):
-    for run in ("r1", "r2", "r2"):
+    for n, run in enumerate(("r1", "r2", "r2")):
         result = plans.backup_then_prune(
-            items, "ts", 240, AS_OF, f"{tmp_path}/kept-{run}", [blocked, f"{tmp_path}/a"],
+            items, "ts", 240, AS_OF, f"{tmp_path}/kept-{n}", [blocked, f"{tmp_path}/a"],
             key="id", size="size", run_id=run,
         )
         plans.record_run(spark, result, f"{tmp_path}/history")

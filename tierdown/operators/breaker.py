@@ -181,7 +181,9 @@ def running_failure_rate(
     return _union(pieces)
 
 
-def _tripped(rates: DataFrame, groups: Sequence[str], order: Sequence[str], failed: str, percent: float) -> DataFrame:
+def _tripped(
+    rates: DataFrame, groups: Sequence[str], order: Sequence[str], failed: str, percent: float
+) -> DataFrame:
     """Adds ``tripped``, and ``_stopped`` for rows after a breach in their group."""
     trips = F.coalesce(F.col(failed), F.lit(False)) & breaches(
         "running_succeeded", "running_failed", percent

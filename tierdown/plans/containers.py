@@ -18,7 +18,13 @@ from pyspark.sql import types as T
 from tierdown.functions.age import cutoff
 from tierdown.functions.naming import DEFAULT_FORMAT, FORMAT_EXTENSIONS, archive_bucket
 from tierdown.operators.restoring import latest_copies, split_unsafe_keys
-from tierdown.plans.copying import DEFAULT_LEVEL, CopyOutcome, checked_copy, refuse_overlap, write_compressed
+from tierdown.plans.copying import (
+    DEFAULT_LEVEL,
+    CopyOutcome,
+    checked_copy,
+    refuse_overlap,
+    write_compressed,
+)
 from tierdown.sources.inventory import object_reader
 
 BUCKET = "bucket"

@@ -26,7 +26,7 @@ from tierdown.plans.copying import (
     read_copies,
     refuse_overlap,
 )
-from tierdown.plans.pruning import prune_generation, split_for_prune
+from tierdown.plans.pruning import path_exists, prune_generation, split_for_prune
 
 COUNTERS = (
     "succeeded", "failed", "skipped", "backed_up", "pruned", "kept", "copies", "total_bytes",
@@ -130,6 +130,8 @@ def backup_then_prune(
     """
     spark = df.sparkSession
     _stop_if_asked(should_stop, "the backup")
+    if path_exists(spark, kept_path):
+        raise FileExistsError(f"{kept_path} already exists; a generation takes a new path")
     run_id = run_id or uuid.uuid4().hex
     old = expired(df, ts, hours, as_of)
     counts = _counts(df, ts, hours, as_of, size)
@@ -186,7 +188,13 @@ def backup_then_prune(
 
 
 def run_once(
-    spark: SparkSession, source: str, kept_path: str, ts: str, hours: float, as_of: datetime, **options
+    spark: SparkSession,
+    source: str,
+    kept_path: str,
+    ts: str,
+    hours: float,
+    as_of: datetime,
+    **options,
 ) -> CycleResult:
     """One run over a fresh read of ``source``."""
     refuse_overlap(source, [kept_path, *options.get("destinations", ())])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,14 +45,27 @@ def split_for_prune(
     return young.unionByName(unbacked(old, backed_up, key)), prune_safe(old, backed_up, key)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def prune_generation(
     kept: DataFrame, expected: int, path: str, algorithm: str = "snappy"
 ) -> int:
-    """Write the kept rows to a new place and check that there are ``expected`` of them."""
+    """Write the kept rows to a new place and check that there are ``expected`` of them.
+
+    Whatever is at ``path`` already stays: it may be what is being read. A retry takes
+    another path.
+    """
     observation = Observation()
-    kept.observe(observation, F.count(F.lit(1)).alias("items")).write.mode("overwrite").option(
-        "compression", algorithm
-    ).parquet(path)
+    counted = kept.observe(observation, F.count(F.lit(1)).alias("items"))
+    counted.write.mode("errorifexists").option("compression", algorithm).parquet(path)
     items = observation.get["items"]
     if items != expected:
         raise PruneMismatch(f"expected to keep {expected} rows, wrote {items} to {path}")
