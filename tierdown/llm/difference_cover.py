@@ -58,14 +58,14 @@ def removed_passages(
     on_cover[list(cover)] = True
 
     texts = _chunked(documents, chunk_bytes)
-    span = "h long, chunk long, lo long, hi long"
+    anchor_row, window_row = "h long, held long", "h long, held long, lo long"
 
     def anchors(table: pa.Table) -> pa.Table:
         found = []
         for block, ids in _numbered(table):
             h, at = _anchor_hashes(block, anchor, on_cover)
             found.append((h, ids[block.owner[at]]))
-        return _spans(table, found)
+        return _held(table, found).drop_columns(["lo"])
 
     def windows(table: pa.Table, shared: pa.Table) -> pa.Table:
         wanted = np.sort(shared.column("h").to_numpy().view(np.uint64))
@@ -81,7 +81,7 @@ def removed_passages(
             begins = begins[near[begins + period] > near[begins]]
             full = window_hashes(block.hashes(), window)
             found.append((full[begins], ids[block.owner[begins]]))
-        return _spans(table, found)
+        return _held(table, found)
 
     def kept(table: pa.Table, repeated: pa.Table) -> pa.Table:
         order = np.argsort(repeated.column("h").to_numpy().view(np.uint64))
@@ -114,17 +114,14 @@ def removed_passages(
     by_chunk = texts.groupBy("chunk")
     # a hash has at most one row per chunk here, however many documents hold it
     of_hash = Window.partitionBy("h")
-    shared = (
-        by_chunk.applyInArrow(anchors, span)
-        .withColumns({"least": F.min("lo").over(of_hash), "most": F.max("hi").over(of_hash)})
-        .where("least < most")
-        .select("chunk", "h")
-    )
+    several = (F.count(F.lit(1)).over(of_hash) > 1) | (F.col("held") % 2 == 1)
+    chunk = F.shiftright("held", 1).alias("chunk")
+    shared = by_chunk.applyInArrow(anchors, anchor_row).withColumn("several", several).where("several").select(chunk, "h")
     repeated = (
-        by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(windows, span)
-        .withColumn("lo", F.min("lo").over(of_hash))
-        .where("lo < hi")
-        .select("chunk", "h", "lo")
+        by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(windows, window_row)
+        .withColumns({"lo": F.min("lo").over(of_hash), "several": several})
+        .where("several")
+        .select(chunk, "h", "lo")
     )
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(kept, result)
@@ -166,22 +163,20 @@ def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
 
 
-def _spans(table: pa.Table, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """One row per hash: the smallest and largest ``doc_id`` in this chunk."""
+def _held(table: pa.Table, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """One row per hash: the chunk with, in the lowest bit, whether more than one
+    ``doc_id`` of it holds the hash, and the smallest of them."""
     h = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
     ids = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-    # back in document order afterwards, where neighbouring rows compress well
     order = np.lexsort((ids, h))
     h, ids = h[order], ids[order]
     new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
     last = np.concatenate((new[1:], [len(h)])) - 1 if len(h) else new
-    lo, hi, h = ids[new], ids[last], h[new]
+    h, lo, several = h[new], ids[new], ids[new] < ids[last]
+    # in document order, where neighbouring rows compress well
     order = np.argsort(lo, kind="stable")
     chunk = table.column("chunk")[0].as_py() if len(table) else 0
-    return pa.table(
-        [h[order].view(np.int64), np.full(len(h), chunk, np.int64), lo[order], hi[order]],
-        names=["h", "chunk", "lo", "hi"],
-    )
+    return pa.table([h[order].view(np.int64), 2 * chunk + several[order].astype(np.int64), lo[order]], names=["h", "held", "lo"])
 
 
 def _joined(block, keep: np.ndarray) -> Iterator[bytes]:
