@@ -7,7 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tierdown.llm import line_frequency
 from tierdown.llm.difference_cover import removed_passages
+from tierdown.llm.line_frequency import drop_boilerplate_lines
+from tierdown.llm.ngram_join import near_duplicates
+from tierdown.llm.quality_cascade import quality_verdicts
+from tierdown.llm.spaced_seeds import leaked_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +27,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@_query
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_boilerplate_lines(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+ORACLES["op6_line_frequency"] = line_frequency.SQL.strip()
+
+
+@_query
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_passages(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("fp")

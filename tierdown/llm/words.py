@@ -90,6 +90,19 @@ class Block:
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends)
 
+    def subset(self, wanted: np.ndarray) -> Block:
+        """The block with the wanted texts alone."""
+        if wanted.all():
+            return self
+        lengths = np.diff(self.bounds)
+        here = np.repeat(wanted, lengths)
+        moved = np.concatenate(([0], np.cumsum(here)))
+        words = np.repeat(wanted, self.counts)
+        bounds = np.concatenate(([0], np.cumsum(lengths[wanted])))
+        first = np.concatenate(([0], np.cumsum(self.counts[wanted])))
+        starts, ends = self.starts[words], self.ends[words]
+        return Block(0, len(bounds) - 1, self.data[here], bounds, moved[starts], moved[ends], first)
+
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a value per word over each text."""
         return range_sums(flags, self.first)
