@@ -119,9 +119,10 @@ def removed_passages(
     shared = by_chunk.applyInArrow(anchors, anchor_row).withColumn("several", several).where("several").select(chunk, "h")
     repeated = (
         by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(windows, window_row)
-        .withColumns({"lo": F.min("lo").over(of_hash), "several": several})
-        .where("several")
-        .select(chunk, "h", "lo")
+        .withColumns({"least": F.min("lo").over(of_hash), "several": several})
+        # the chunk that only has the first holder has nothing to remove
+        .where("several and (held % 2 = 1 or least < lo)")
+        .select(chunk, "h", F.col("least").alias("lo"))
     )
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(kept, result)
