@@ -8,11 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tierdown.llm import line_frequency
+from tierdown.llm.credentials import credential_spans
 from tierdown.llm.difference_cover import removed_passages
+from tierdown.llm.factorization import quality_scores, trained
 from tierdown.llm.line_frequency import drop_boilerplate_lines
 from tierdown.llm.ngram_join import near_duplicates
+from tierdown.llm.page_template import page_texts
+from tierdown.llm.pieces_fst import encoded, load
 from tierdown.llm.quality_cascade import quality_verdicts
 from tierdown.llm.spaced_seeds import leaked_items
+from tierdown.llm.warc_segments import archived_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,11 +32,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@_query
+def op1_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archived_pages(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", found.digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+@_query
+def op3_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credential_spans(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op5_pieces_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(_table(spark, sf_dir, "documents"), load())
+
+
 @_query
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = drop_boilerplate_lines(_table(spark, sf_dir, "documents"))
@@ -54,3 +80,9 @@ def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("fp")
+
+
+@_query
+def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality_scores(documents, trained(documents, _table(spark, sf_dir, "labels")))

@@ -128,15 +128,19 @@ def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
         lo = hi
 
 
-def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    inside = ~_SEPARATOR[data]
+def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs of marked bytes that stay in one text."""
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     stops[:-1] &= ~inside[1:]
-    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    inner = bounds[(bounds > 0) & (bounds < len(inside))]
     begins[inner] = inside[inner]
     stops[inner - 1] = inside[inner - 1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends = runs(~_SEPARATOR[data], bounds)
     return starts, ends, np.searchsorted(starts, bounds)
 
 
