@@ -38,16 +38,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
+def _beside_least(edges: DataFrame, all_edges: DataFrame, how: str) -> DataFrame:
+    """Edges with ``m``, the smallest neighbour of ``a`` in ``all_edges``. The second key
+    keeps the join's shuffle apart from the aggregation's, so that adaptive execution can
+    split a node that has very many neighbours."""
+    least = all_edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("k", F.hash("a"))
+    return edges.withColumn("k", F.hash("a")).join(least, ["a", "k"], how).drop("k")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node are linked to the smallest node around it."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))  # only smaller neighbours can be the least
-    linked = both.where("b > a").join(least, "a", "left")
+    upward = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    linked = _beside_least(upward, edges, "left")  # only smaller neighbours can be the least
     return linked.select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of these."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    linked = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return linked.unionByName(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
+    linked = _beside_least(edges, edges, "inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("b"))
+    return linked.unionByName(least).where("a > b").distinct()

@@ -115,12 +115,14 @@ def near_duplicates(
     block_classes: int = BLOCK_CLASSES,
     block_ngrams: int = BLOCK_NGRAMS,
 ) -> DataFrame:
-    """One row per row of ``documents``: ``doc_id, class_id, n_links, n_grams, fp``.
+    """One row per row of ``documents``: ``doc_id, class_id, n_links, n_grams`` and, to go
+    on with, ``fp, root, copy``.
 
     ``n_links`` is the number of other rows whose n-gram sets have a Jaccard similarity
     of at least ``similarity``, copies included. Linked rows, also over several links,
     share ``class_id``, the smallest ``doc_id`` among them; a row without links has its
-    own. ``fp`` tells rows with the same n-gram set.
+    own. ``fp`` tells rows with the same n-gram set, ``root`` those of a class (null without
+    n-grams), ``copy`` is a hash of the text.
 
     A null text or one without words has no n-grams: no links, ``fp`` null. A text of
     fewer than ``ngram`` words counts as one n-gram. Rows with the same or a null
@@ -166,8 +168,9 @@ def near_duplicates(
     dealt.write.parquet(at)
     dealt = spark.read.parquet(at)
     # one stored text per class: copies that come along are put aside before they are dealt
+    # the hint gives the same plan at every size: texts are shuffled, never the table sent
     texts = (
-        keyed.join(dealt, (keyed.copy == dealt.copy) & keyed.doc_id.eqNullSafe(dealt.doc_id))
+        keyed.join(dealt.hint("merge"), (keyed.copy == dealt.copy) & keyed.doc_id.eqNullSafe(dealt.doc_id))
         .select("component", "fp", "size", "parts", "part", "text")
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
@@ -190,13 +193,41 @@ def near_duplicates(
     known = classes.select("fp", "size", "least_id").join(tallied, "fp", "left")
     known = known.select("fp", "least_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "fp").alias("root"))
     named = known.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    verdicts = known.join(named, "root").select("fp", "class_id", "n_links")
+    verdicts = known.join(named, "root").select("fp", "root", "class_id", "n_links")
     return signed.join(verdicts, "fp", "left").select(
         "doc_id",
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        "n_grams",
-        "fp",
+        "n_grams", "fp", "root", "copy",
+    )
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """``documents`` with one row of each class of linked rows: the one with the smallest
+    ``doc_id`` (a null counts as the largest, and of rows with the same id the text with
+    the smallest hash). Rows without n-grams belong to no class and all stay."""
+    spark = documents.sparkSession
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
+    at = scratch_dir(spark, "ngram-rows")
+    # a class appears here once per id and text, with the number of such rows
+    near_duplicates(documents).where("root is not null").groupBy("root", "doc_id", "copy").agg(F.count(F.lit(1)).alias("n")).write.parquet(at)
+    rows = spark.read.parquet(at)
+    first = rows.groupBy("root").agg(F.min(rank).alias("first"), F.sum("n").alias("all")).where("all > 1")
+    judged = rows.join(first, "root").select("doc_id", "copy", "n", (rank != F.col("first")).alias("goes"))
+    at = scratch_dir(spark, "ngram-dropped")
+    judged.where("goes or n > 1").select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"), "goes").write.parquet(at)
+    judged = spark.read.parquet(at)
+
+    def by_row(marked: DataFrame, how: str, kept: DataFrame) -> DataFrame:
+        same = (F.xxhash64(kept["text"]) == marked["__copy"]) & kept["doc_id"].cast("long").eqNullSafe(marked["__doc"])
+        return kept.join(marked.hint("merge"), same, how)
+
+    dropped, repeated = judged.where("goes"), judged.where("not goes")
+    kept = by_row(dropped, "left_anti", documents)
+    if repeated.isEmpty():
+        return kept
+    return by_row(repeated, "left_anti", kept).unionByName(
+        by_row(repeated, "left_semi", kept).dropDuplicates(["doc_id", "text"])
     )
 
 

@@ -71,6 +71,28 @@ def leaked_items(
     once, with their best figures; a null ``doc_id`` or ``item_id`` is kept as a value.
     Other columns are ignored.
     """
+    leaks = _leaks(documents, benchmark, masks, run, agreement, most_broadcast_seeds)
+    return leaks.groupBy("doc_id", "item_id").agg(
+        F.max("item_words").alias("item_words"), F.max("matched_words").alias("matched_words"), F.max("best_run").alias("best_run")
+    )
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that leak no item, with all their columns."""
+    found = _leaks(documents, benchmark, MASKS, RUN, AGREEMENT, MOST_BROADCAST_SEEDS).select(
+        F.col("doc_id").alias("__leaking"), F.col("copy").alias("__same")
+    )
+    at = scratch_dir(documents.sparkSession, "leaks")
+    found.distinct().write.parquet(at)
+    found = documents.sparkSession.read.parquet(at)
+    same = (F.xxhash64(documents["text"]) == found["__same"]) & documents["doc_id"].cast("long").eqNullSafe(found["__leaking"])
+    return documents.join(found.hint("merge"), same, "left_anti")
+
+
+def _leaks(
+    documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], run: int, agreement: float, most_broadcast_seeds: int
+) -> DataFrame:
+    """Leaks by row (``doc_id`` and ``copy``, a hash of the text), item and diagonal."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), _words(F.col("text")).alias("words"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("words")).distinct()
@@ -106,14 +128,15 @@ def leaked_items(
         .select("doc_id", "copy", "item", (F.col("pos") - F.col("at")).alias("shift"))
         .distinct()
     )
-    # written, so that the joins below know how few or many they are
+    # written once, as both the join and its plan below need them; the hint gives the same
+    # plan at every size
     at = scratch_dir(spark, "seed-hits")
     hits.write.parquet(at)
     hits = spark.read.parquet(at)
 
     sources = documents.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("same"), "text")
-    met = sources.join(hits, F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("same") == F.col("copy"))).select(
-        "doc_id", "item", "shift", _words(F.col("text")).alias("words")
+    met = sources.join(hits.hint("merge"), F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("same") == F.col("copy"))).select(
+        "doc_id", "copy", "item", "shift", _words(F.col("text")).alias("words")
     )
     met = met.join(items.withColumnRenamed("words", "item_text"), "item")
     begin = F.greatest(F.lit(0), -F.col("shift"))
@@ -125,7 +148,7 @@ def leaked_items(
     )
     total = lambda values: F.aggregate(values, F.lit(0), lambda x, y: x + y)
     size = F.least(F.lit(run), F.size("item_text"))
-    compared = met.select("doc_id", "item_id", F.size("item_text").cast("long").alias("item_words"), size.alias("size"), equal.alias("equal"))
+    compared = met.select("doc_id", "copy", "item_id", F.size("item_text").cast("long").alias("item_words"), size.alias("size"), equal.alias("equal"))
     runs = F.transform(
         F.sequence(F.lit(0), F.size("equal") - F.col("size")), lambda s: total(F.slice("equal", s + 1, F.col("size")))
     )
@@ -133,6 +156,5 @@ def leaked_items(
         compared.where(F.size("equal") >= F.col("size"))
         .withColumns({"best_run": F.array_max(runs).cast("long"), "matched_words": total(F.col("equal")).cast("long")})
         .where(F.col("best_run") >= F.ceil(F.lit(agreement) * F.col("size")))
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("item_words").alias("item_words"), F.max("matched_words").alias("matched_words"), F.max("best_run").alias("best_run"))
+        .select("doc_id", "copy", "item_id", "item_words", "matched_words", "best_run")
     )
