@@ -278,3 +278,17 @@ def quality_scores(documents: DataFrame, model: Model, threshold: float = THRESH
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), "text"
     ).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def good_documents(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` that score ``threshold`` or more, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    text = documents.columns.index("text")
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(text)):
+                good = shared.value.scores(features(block, shared.value.bits)) >= threshold
+                yield batch.slice(block.lo, len(block)).filter(pa.array(good))
+
+    return documents.mapInArrow(select, documents.schema)

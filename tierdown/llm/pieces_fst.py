@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED_WORDS = 400_000  # per worker; about 100 MB
@@ -361,12 +362,13 @@ def load(path: str = MODEL) -> Transducer:
         return compiled(file.read())
 
 
-def encoded(documents: DataFrame, machine: Transducer, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of ``documents``: ``key, n_tokens, ids, round_trip``.
+def encoded(documents: DataFrame, machine: Transducer, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of ``documents``: its ``columns``, and ``n_tokens, ids, round_trip``
+    (which ``columns`` may not hold).
 
     ``round_trip``: decoding the ids gives the text back (with every space mark of the
     text as a space, which is how the model spells one). A null or empty text has no ids and a
-    true ``round_trip``. A null key and repeated rows are kept; other columns are
+    true ``round_trip``. Nulls in ``columns`` and repeated rows are kept; other columns are
     ignored. No shuffle.
     """
     shared = documents.sparkSession.sparkContext.broadcast(machine)
@@ -377,7 +379,7 @@ def encoded(documents: DataFrame, machine: Transducer, text: str = "text", key:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 found, same = [], []
-                for row in part.column(1):
+                for row in part.column(len(columns)):
                     value = row.as_py() or ""
                     ids = machine.encode(value)
                     found.append(ids)
@@ -386,15 +388,14 @@ def encoded(documents: DataFrame, machine: Transducer, text: str = "text", key:
                 flat = np.concatenate(found) if found else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        *part.columns[: len(columns)],
                         pa.array(np.diff(offsets).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                         pa.array(same, pa.bool_()),
                     ],
-                    names=[key, "n_tokens", "ids", "round_trip"],
+                    names=[*columns, "n_tokens", "ids", "round_trip"],
                 )
 
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key), F.col(text)).mapInArrow(
-        encode, f"`{key}` {kind}, n_tokens long, ids array<int>, round_trip boolean"
-    )
+    schema = T.StructType([documents.schema[c] for c in columns])
+    schema = schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("round_trip", "boolean")
+    return documents.select(*columns, F.col(text).alias("__text")).mapInArrow(encode, schema)

@@ -79,7 +79,7 @@ def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents")).drop("fp")
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_grams")
 
 
 @_query
