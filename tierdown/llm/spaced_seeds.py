@@ -86,7 +86,7 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found.distinct().write.parquet(at)
     found = documents.sparkSession.read.parquet(at)
     same = (F.xxhash64(documents["text"]) == found["__same"]) & documents["doc_id"].cast("long").eqNullSafe(found["__leaking"])
-    return documents.join(found.hint("merge"), same, "left_anti")
+    return documents.join(found, same, "left_anti")
 
 
 def _leaks(
@@ -128,14 +128,13 @@ def _leaks(
         .select("doc_id", "copy", "item", (F.col("pos") - F.col("at")).alias("shift"))
         .distinct()
     )
-    # written once, as both the join and its plan below need them; the hint gives the same
-    # plan at every size
+    # written, so that Spark knows whether the joins below can do without a shuffle
     at = scratch_dir(spark, "seed-hits")
     hits.write.parquet(at)
     hits = spark.read.parquet(at)
 
     sources = documents.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("same"), "text")
-    met = sources.join(hits.hint("merge"), F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("same") == F.col("copy"))).select(
+    met = sources.join(hits, F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("same") == F.col("copy"))).select(
         "doc_id", "copy", "item", "shift", _words(F.col("text")).alias("words")
     )
     met = met.join(items.withColumnRenamed("words", "item_text"), "item")
