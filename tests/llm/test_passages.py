@@ -187,7 +187,8 @@ def test_near_duplicates_equal_all_pairs(spark, block_classes):
 
 
 def test_one_of_each_class_stays(spark):
-    rows = mutated(seed=11, count=80)
+    rows = [(None if i is None else i + 10_000 * n, t) for n, (i, t) in enumerate(mutated(seed=11, count=80))]
+    rows += [rows[5], rows[5]]
     verdicts = linked(rows)
     kept = one_of_each(documents(spark, rows))
     assert kept.columns == documents(spark, []).columns
