@@ -360,6 +360,77 @@ def test_incomplete_copies_are_matched_by_key(spark, items, tmp_path, monkeypatc
     assert {20, 30} < set(ids(spark.read.parquet(result.kept_path)))
 
 
+def copies_of(monkeypatch, change):
+    """One copy that is not good and holds ``change(rows)``."""
+    real = cycles.backup
+
+    def altered(df, destinations, run_id, *args, **kwargs):
+        outcomes = real(change(df), destinations, run_id, *args, **kwargs)
+        return [o.__class__(**{**o.__dict__, "ok": False, "err": "differs"}) for o in outcomes]
+
+    monkeypatch.setattr(cycles, "backup", altered)
+
+
+def test_an_altered_copy_proves_nothing(spark, items, tmp_path, monkeypatch):
+    copies_of(monkeypatch, lambda df: df.withColumn("text", F.concat("text", F.lit("!"))))
+    with pytest.raises(plans.BackupFailed):
+        plans.backup_then_prune(items, "ts", 240, AS_OF, f"{tmp_path}/kept", [f"{tmp_path}/a"], key="id")
+    monkeypatch.undo()
+    copies_of(monkeypatch, lambda df: df.withColumn("text", F.when(F.col("id") == 20, "other").otherwise(F.col("text"))))
+    result = plans.backup_then_prune(items, "ts", 240, AS_OF, f"{tmp_path}/kept", [f"{tmp_path}/a"], key="id")
+    assert (result.metrics["pruned"], result.metrics["failed"]) == (28, 1)
+    assert 20 in ids(spark.read.parquet(result.kept_path))
+
+
+def test_a_repeated_key_needs_as_many_copies(spark, items, tmp_path, monkeypatch):
+    twice = items.unionByName(items.where("id in (20, 21)")).unionByName(items.where("id = 22").withColumn("text", F.lit("other")))
+    copies_of(monkeypatch, lambda df: df.dropDuplicates(["id"]).where("id <> 22").unionByName(items.where("id in (21, 22)")))
+    result = plans.backup_then_prune(twice, "ts", 240, AS_OF, f"{tmp_path}/kept", [f"{tmp_path}/a"], key="id")
+    kept = Counter((r.id, r.text) for r in spark.read.parquet(result.kept_path).where("id between 20 and 22").collect())
+    assert kept == {(20, "log line 20"): 2, (22, "other"): 1}
+
+
+def test_names_of_archive_folders_are_refused(spark, items, tmp_path):
+    for name in ("bucket", "Run_ID"):
+        with pytest.raises(ValueError):
+            plans.archive_table(items.withColumn(name, F.lit("mine")), "ts", [f"{tmp_path}/a"], "r1")
+    with pytest.raises(ValueError):
+        plans.backup(items.withColumn("run_id", F.lit(1)), [f"{tmp_path}/a"], "r1")
+
+
+def test_fingerprints_tell_nulls_and_maps_apart(spark):
+    from tierdown.plans.copying import fingerprint
+
+    kind = "a string, b string, m map<string,int>, l array<string>"
+    rows = [
+        (None, "a", None, None), ("a", None, None, None), (None, None, {"k": 1}, None), (None, None, {"k": 2}, None),
+        (None, None, None, [None, "a"]), (None, None, None, ["a", None]), (None, None, None, None),
+    ]
+    prints = {str(fingerprint(spark.createDataFrame([row], kind))) for row in rows}
+    assert len(prints) == len(rows)
+
+
+def test_overlap_is_seen_in_any_spelling(spark, items, tmp_path):
+    from tierdown.plans.copying import refuse_overlap
+
+    for source, target in (
+        ("/a/b", "/a/b"), ("/a/b", "/a/c/../b/x"), ("/a//b/", "file:///a/b/x"), ("s3a://l/t", "s3://l/t/copy"), ("/a/b/c", "/a/b"),
+    ):
+        with pytest.raises(ValueError):
+            refuse_overlap(source, [target])
+    refuse_overlap("/a/b", ["/a/bc", "s3://a/b/c"])
+    items.write.parquet(f"{tmp_path}/src")
+    with pytest.raises(ValueError):
+        plans.backup_then_prune(
+            spark.read.parquet(f"{tmp_path}/src"), "ts", 240, AS_OF, f"{tmp_path}/kept", [f"{tmp_path}/src/../src/copy"], key="id"
+        )
+
+
+def test_default_run_ids_sort_by_time():
+    made = [cycles.new_run_id() for _ in range(50)]
+    assert [m[:21] for m in made] == sorted(m[:21] for m in made) and len(set(made)) == 50
+
+
 def test_threshold_stops_before_the_prune(spark, items, tmp_path, monkeypatch):
     incomplete(monkeypatch, [20, 30])
     options = dict(destinations=[f"{tmp_path}/a"], key="id")
@@ -367,7 +438,7 @@ def test_threshold_stops_before_the_prune(spark, items, tmp_path, monkeypatch):
         plans.backup_then_prune(
             items, "ts", 240, AS_OF, f"{tmp_path}/kept", error_threshold_percent=5.0, **options
         )
-    assert "6.9% failures" in str(stop.value) and not Path(f"{tmp_path}/kept").exists()
+    assert "6.9%" in str(stop.value) and not Path(f"{tmp_path}/kept").exists()
     result = plans.backup_then_prune(
         items, "ts", 240, AS_OF, f"{tmp_path}/kept", error_threshold_percent=7.0, **options
     )

@@ -1,4 +1,5 @@
 import time
+from collections import Counter
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -43,8 +44,12 @@ def test_buckets_come_out_when_all_of_them_is_old(spark, source, tmp_path, zone)
         assert set(rows) == {f"2024-01-{d:02d}" for d in range(1, 20)}
         assert set(n for n, _ in rows.values()) == {4}
         assert rows["2024-01-02"] == (4, 4 + 5 + 6 + 7)
-        months = {tuple(r) for r in streaming.buckets_from_days(daily, "monthly").collect()}
-        assert months == {("2024-01", 76, sum(range(76)))}
+        # the month is not over yet; with its last day it is
+        assert streaming.buckets_from_days(daily, "monthly").count() == 0
+        last = daily.unionByName(spark.createDataFrame([("2024-01-31", 1, 5)], daily.schema))
+        months = {tuple(r) for r in streaming.buckets_from_days(last, "monthly").collect()}
+        assert months == {("2024-01", 77, sum(range(76)) + 5)}
+        assert {r.bucket for r in streaming.buckets_from_days(daily, "weekly").collect()} == {"2024-W01", "2024-W02"}
         weekly = finished(spark, stream_of(spark, source), tmp_path, "weekly")
         assert {r.bucket: r["items"] for r in weekly.collect()} == {"2024-W01": 28, "2024-W02": 28}
     finally:
@@ -74,7 +79,53 @@ def test_stream_backup_is_complete_and_survives_a_restart(spark, source, tmp_pat
     run()
     for target in targets:
         assert sorted(r.id for r in spark.read.parquet(target).collect()) == [*range(80), 500]
-    assert len(reports) == len(set(reports))
+    assert len(reports) == 3 and reports[0] == 0
+
+
+def test_streams_into_one_destination_and_rows_that_wait(spark, source, tmp_path):
+    def run(name, days, targets):
+        streaming.stream_backup(
+            stream_of(spark, source), "ts", 240, START + timedelta(days=days), targets, f"{tmp_path}/cp-{name}"
+        ).awaitTermination()
+
+    run("one", 30, [f"{tmp_path}/v"])
+    run("two", 20, [f"{tmp_path}/v"])
+    held = Counter(r.id for r in spark.read.parquet(f"{tmp_path}/v").collect())
+    assert held == Counter(range(80)) + Counter(range(40))
+    run("two", 30, [f"{tmp_path}/v"])  # nothing new came, but the cutoff moved
+    held = Counter(r.id for r in spark.read.parquet(f"{tmp_path}/v").collect())
+    assert held == Counter(range(80)) + Counter(range(80))
+
+
+def test_a_missed_destination_is_made_good(spark, source, tmp_path):
+    blocked, good = tmp_path / "blocked", f"{tmp_path}/good"
+    blocked.write_text("in the way")
+
+    def run():
+        streaming.stream_backup(
+            stream_of(spark, source), "ts", 240, START + timedelta(days=30), [str(blocked), good], f"{tmp_path}/cp"
+        ).awaitTermination()
+
+    run()
+    blocked.rename(tmp_path / "moved")
+    spark.createDataFrame([(500, START, 1)], SCHEMA).write.mode("append").parquet(source)
+    run()
+    for target in (str(blocked), good):
+        assert sorted(r.id for r in spark.read.parquet(target).collect()) == [*range(80), 500]
+
+
+def test_an_interrupted_tick_is_finished_by_the_next_start(spark, source, tmp_path):
+    half = tmp_path / "kept-0" / "_temporary"
+    half.mkdir(parents=True)
+    (tmp_path / "kept-0" / "part-00000.parquet").write_text("half")
+    result = plans.run_once(
+        spark, source, f"{tmp_path}/kept-0", "ts", 240, START + timedelta(days=30), destinations=[f"{tmp_path}/vault"]
+    )
+    assert spark.read.parquet(f"{tmp_path}/kept-0").count() == result.metrics["kept"] > 0
+    with pytest.raises(FileExistsError):
+        plans.run_once(
+            spark, source, f"{tmp_path}/kept-0", "ts", 240, START + timedelta(days=30), destinations=[f"{tmp_path}/vault"]
+        )
 
 
 def test_stream_backup_fails_rather_than_skips(spark, source, tmp_path):

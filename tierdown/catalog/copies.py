@@ -31,6 +31,7 @@ from tierdown.plans import (
     read_copies,
     restore,
     run_once,
+    split_proven,
     stored_sizes,
     write_compressed,
 )
@@ -226,6 +227,26 @@ def prune_by_partition(spark, sf_dir):
     return spark.read.parquet(f"{base}-left")
 
 
+@query(
+    "prune_proven",
+    f"""
+    SELECT event_id, event_type, props FROM events
+    WHERE ts IS NULL OR ts >= {EVENTS_CUTOFF} OR event_type = 'error' OR event_id % 7 = 0
+    """,
+)
+def prune_proven(spark, sf_dir):
+    """Two incomplete copies: one without errors and with altered rows, one with errors
+    altered. Only rows that one of them holds as they are may go."""
+    df = table(spark, sf_dir, "events")
+    old = expired(df, "ts", HOURS, EVENTS_AS_OF)
+    other = F.concat(F.coalesce("props", F.lit("")), F.lit("?"))
+    first = old.where("event_type <> 'error'").withColumn("props", F.when(F.col("event_id") % 7 == 0, other).otherwise(F.col("props")))
+    second = old.where("event_type = 'error'").withColumn("props", other)
+    copies = first.withColumn("destination", F.lit("a")).unionByName(second.withColumn("destination", F.lit("b")))
+    kept, _ = split_proven(df, "ts", HOURS, EVENTS_AS_OF, copies)
+    return kept.select("event_id", "event_type", "props")
+
+
 _OLD = f"count(*) FILTER (ts < {EVENTS_CUTOFF})"
 _YOUNG = f"count(*) FILTER (NOT coalesce(ts < {EVENTS_CUTOFF}, false))"
 

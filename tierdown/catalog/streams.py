@@ -60,10 +60,24 @@ def expire_weekly(spark, sf_dir):
 
 @query(
     "stream_expire_monthly",
-    _EXPIRED_BUCKETS_SQL.format(start="ts", shape="%Y-%m", unit="day", length="INTERVAL 1 DAY"),
+    """
+    WITH days AS (
+      SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS items, CAST(sum(o_orderkey) AS BIGINT) AS bytes
+      FROM orders
+      WHERE date_trunc('day', o_orderdate) + INTERVAL 1 DAY <= (SELECT max(o_orderdate) - INTERVAL 240 HOUR FROM orders)
+      GROUP BY 1
+    )
+    SELECT strftime(day, '%Y-%m') AS bucket, CAST(sum(items) AS BIGINT) AS items, CAST(sum(bytes) AS BIGINT) AS bytes
+    FROM days WHERE last_day(day) <= (SELECT max(day) FROM days) GROUP BY 1
+    """,
 )
 def expire_monthly(spark, sf_dir):
-    return buckets_from_days(_finished(spark, sf_dir, "daily"), "monthly")
+    base = scratch_dir(spark, "expiry")
+    schema = table(spark, sf_dir, "orders").schema
+    stream = event_stream(spark, f"{sf_dir.rstrip('/')}/orders.parquet", schema, "o_orderdate")
+    days = stream_expire_buckets(stream, "o_orderdate", HOURS, "daily", "o_orderkey")
+    write_buckets(days, f"{base}/days", f"{base}/checkpoint").awaitTermination()
+    return buckets_from_days(spark.read.schema(days.schema).parquet(f"{base}/days"), "monthly")
 
 
 @query(
@@ -91,6 +105,29 @@ def backup_stream(spark, sf_dir):
     )
 
 
+FIRST_AS_OF = datetime(2024, 1, 25)
+
+
+@query(
+    "stream_backup_two_runs",
+    f"""
+    SELECT run, event_type, count(*) AS items, CAST(sum(event_id) AS BIGINT) AS id_sum FROM (
+      SELECT 'one' AS run, * FROM events WHERE ts < {EVENTS_CUTOFF}
+      UNION ALL SELECT 'two', * FROM events WHERE ts < {EVENTS_CUTOFF}
+    ) GROUP BY ALL
+    """,
+)
+def backup_streams_twice(spark, sf_dir):
+    """Two streams into one destination, the second in two runs with a later cutoff."""
+    base = scratch_dir(spark, "stream-twice")
+    runs = (("one", EVENTS_AS_OF), ("two", FIRST_AS_OF), ("two", EVENTS_AS_OF))
+    for name, as_of in runs:
+        stream = _stream(spark, sf_dir).withColumn("run", F.lit(name))
+        stream_backup(stream, "ts", HOURS, as_of, [f"{base}/vault"], f"{base}/checkpoint-{name}").awaitTermination()
+    held = spark.read.parquet(f"{base}/vault")
+    return held.groupBy("run", "event_type").agg(F.count(F.lit(1)).alias("items"), F.sum("event_id").alias("id_sum"))
+
+
 TICKS = (datetime(2024, 1, 25), EVENTS_AS_OF)
 
 

@@ -23,6 +23,8 @@ COUNTERS = (
     "skipped",
     "backed_up",
     "pruned",
+    "kept",
+    "copies",
     "total_bytes",
     "original_bytes",
     "compressed_bytes",
@@ -134,13 +136,13 @@ def merge_results(
     results: DataFrame, by: Sequence[str] = (), order: str = "run_id", path: str = "archive_path"
 ) -> DataFrame:
     """Adds up the counters of many runs and keeps the first archive path that is set."""
-    present = [name for name in COUNTERS if name in results.columns]
-    has_path = F.coalesce(F.col(path), F.lit("")) != ""
-    merged = _grouped(results, by).agg(
-        *[F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name) for name in present],
-        F.min_by(F.when(has_path, F.col(path)), F.when(has_path, F.col(order))).alias(path),
-    )
-    return merged
+    sums = [
+        F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name) for name in COUNTERS if name in results.columns
+    ]
+    if path in results.columns:
+        has_path = F.coalesce(F.col(path), F.lit("")) != ""
+        sums.append(F.min_by(F.when(has_path, F.col(path)), F.when(has_path, F.col(order))).alias(path))
+    return _grouped(results, by).agg(*sums)
 
 
 def error_report(outcomes: DataFrame) -> DataFrame:

@@ -23,6 +23,18 @@ def unbacked(expired_rows: DataFrame, backed_up: DataFrame, key: str) -> DataFra
     return skew_safe_join(expired_rows, _distinct_keys(backed_up, key), key, "left_anti")
 
 
+def proven_digests(old: DataFrame, held: DataFrame, digest: str, destination: str) -> DataFrame:
+    """Digests of expired rows that some destination holds as often as they are needed.
+
+    Of rows that are alike a copy must hold as many; where it holds fewer, all of them
+    stay. Both sides combine map-side, so a row that repeats very often is one count.
+    """
+    needed = old.groupBy(digest).agg(F.count(F.lit(1)).alias("needed"))
+    copies = held.groupBy(destination, digest).agg(F.count(F.lit(1)).alias("n"))
+    most = copies.groupBy(digest).agg(F.max("n").alias("held"))
+    return needed.join(most, digest).where("held >= needed").select(digest)
+
+
 def unread_items(inventory: DataFrame, read: DataFrame, key: str) -> DataFrame:
     """``access`` errors: items that were listed but could not be read."""
     missing = skew_safe_join(inventory.select(key), _distinct_keys(read, key), key, "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,13 +44,16 @@ def retention_split(
 def _policy_cutoffs(
     df: DataFrame, policies: DataFrame, class_col: str, ts: str, as_of: datetime, hours_col: str
 ) -> DataFrame:
+    if as_of.tzinfo is not None:
+        as_of = as_of.astimezone(timezone.utc).replace(tzinfo=None)
     dtype = df.schema[ts].dataType
     base = instant_literal(as_of, T.TimestampNTZType() if isinstance(dtype, T.DateType) else dtype)
     # seconds with six decimals, so that fractions of an hour survive
     seconds = (F.col(hours_col).cast("double") * F.lit(3600.0)).cast("decimal(18,6)")
     back = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
-    # one row per class: of several policies the strictest decides
-    return policies.groupBy(class_col).agg(F.max(base - back).alias("policy_cutoff"))
+    # one row per class: of several policies the strictest decides. Hours that are not
+    # positive would expire what is not even old, so such a policy expires nothing
+    return policies.where(F.col(hours_col) > 0).groupBy(class_col).agg(F.max(base - back).alias("policy_cutoff"))
 
 
 def apply_policies(
@@ -63,7 +66,8 @@ def apply_policies(
 ) -> DataFrame:
     """Adds ``policy_cutoff`` and ``expired`` by the policy of each row's class.
 
-    A class without a policy is never expired. Each cutoff is computed once per
+    A class without a policy, or with hours that are not positive, is never expired. An
+    ``as_of`` with a zone is taken as that instant. Each cutoff is computed once per
     policy, so rows only compare.
     """
     limits = _policy_cutoffs(df, policies, class_col, ts, as_of, hours_col)

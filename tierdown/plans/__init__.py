@@ -37,6 +37,7 @@ from tierdown.plans.pruning import (
     prune_generation,
     prune_partitions,
     split_for_prune,
+    split_proven,
 )
 
 __all__ = [
@@ -68,6 +69,7 @@ __all__ = [
     "run_once",
     "run_policies",
     "split_for_prune",
+    "split_proven",
     "stored_sizes",
     "write_compressed",
 ]

@@ -22,6 +22,7 @@ from tierdown.plans.copying import (
     DEFAULT_LEVEL,
     CopyOutcome,
     checked_copy,
+    refuse_names,
     refuse_overlap,
     write_compressed,
 )
@@ -82,6 +83,7 @@ def archive_table(
 
     With ``bucket_by='run'`` everything goes into the one bucket of ``run_time``.
     """
+    refuse_names(df, [BUCKET, RUN])
     if bucket_by == "run":
         if run_time is None:
             raise ValueError("bucket_by='run' needs run_time")

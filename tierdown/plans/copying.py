@@ -9,6 +9,7 @@ if reading it back gives the same numbers.
 
 from __future__ import annotations
 
+import posixpath
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -59,25 +60,76 @@ class CopyOutcome:
     seconds: float
 
 
-def refuse_overlap(source: str, targets: Sequence[str]) -> None:
-    """A target inside its own source would be read while it is written."""
+def _folder(path: str) -> str:
+    """One spelling of a path: scheme variants, doubled and relative steps."""
+    scheme, found, rest = path.partition("://")
+    if not found:
+        scheme, rest = "", path.removeprefix("file:")
+    elif scheme == "file":
+        scheme = ""
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return f"{scheme}|{posixpath.normpath('/' + rest)}".rstrip("/") + "/"
 
-    def folder(path: str) -> str:
-        return path.removeprefix("file://").removeprefix("file:").rstrip("/") + "/"
 
+def refuse_overlap(source: str, targets: Sequence[str]) -> None:
+    """A target inside its own source would be read while it is written, and a source
+    inside its target would be written into."""
     for target in targets:
-        if folder(target).startswith(folder(source)):
+        if _folder(target).startswith(_folder(source)):
             raise ValueError(f"{target} lies in the source {source}")
+        if _folder(source).startswith(_folder(target)):
+            raise ValueError(f"the source {source} lies in {target}")
+
+
+def source_folders(df: DataFrame) -> list[str]:
+    """Folders of the files behind ``df``: partition folders are left out, and a file that
+    is no part of a written folder stands for itself."""
+    found = set()
+    for path in df.inputFiles():
+        folder, _, name = path.rpartition("/")
+        while "=" in folder.rpartition("/")[2]:
+            folder = folder.rpartition("/")[0]
+        found.add(folder if name.startswith("part-") else path)
+    return sorted(found)
+
+
+def refuse_names(df: DataFrame, names: Sequence[str]) -> None:
+    """Columns of these names would be taken for the folders that copies are kept in."""
+    taken = [c for c in df.columns if c.lower() in names]
+    if taken:
+        raise ValueError(f"columns {taken} have names of archive folders; rename them before they are copied")
+
+
+def _codes(field: T.StructField) -> list[Column]:
+    """What of a column goes into the fingerprint. ``xxhash64`` passes over NULLs, also
+    nested ones, and takes no maps, so nested values are written out first and each
+    column says whether it is NULL."""
+    column = F.col(f"`{field.name}`")
+    nested = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
+    value = F.to_json(F.struct(column.alias("v")), {"ignoreNullFields": "false"}) if isinstance(field.dataType, nested) else column
+    return [value, column.isNull()]
+
+
+def content_digest(schema: T.StructType) -> Column:
+    """A SHA-256 of a whole row: equal digests are equal rows."""
+    parts = [F.when(F.col(f"`{f.name}`").isNull(), "n").otherwise(F.concat(F.lit("v"), _text(f))) for f in schema.fields]
+    # each part with its length, so that no two rows are written alike
+    return F.sha2(F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)
 
 
-def _hashable(field: T.StructField) -> bool:
-    return "map<" not in field.dataType.simpleString() and field.dataType.typeName() != "variant"
+def _text(field: T.StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.BinaryType):
+        return F.hex(column)
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+        exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+        return F.to_json(F.struct(column.alias("v")), exact)
+    return column.cast("string")
 
 
 def fingerprint_columns(schema: T.StructType, size: str | None = None) -> list[Column]:
     """Aggregates that tell two sets of rows apart, whatever their order."""
-    names = [f.name for f in schema.fields if _hashable(f)]
-    code = F.xxhash64(*names)
+    code = F.xxhash64(*[c for f in schema.fields for c in _codes(f)])
     return [
         F.count(F.lit(1)).alias("items"),
         F.coalesce(F.sum(code.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("code_sum"),
@@ -110,7 +162,10 @@ def write_compressed(
         raise ValueError(f"algorithm must be none or gzip, got {algorithm}")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.option("compression", algorithm).save(path)
+    if algorithm == "none" and fmt == "parquet":
+        writer.save(path)  # no codec asked for: that of the session, pages are never stored bare
+    else:
+        writer.option("compression", algorithm).save(path)
 
 
 def checked_copy(
@@ -172,6 +227,7 @@ def backup(
         path = f"{destination.rstrip('/')}/run_id={run_id}"
         return checked_copy(rows, df.schema, destination, path, write, read, size)
 
+    refuse_names(df, ["run_id"])
     if not destinations:
         return []
     with ThreadPoolExecutor(max_workers=len(destinations)) as pool:

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tierdown.functions.age import is_expired
 from tierdown.functions.naming import DEFAULT_FORMAT
-from tierdown.operators.linking import prune_safe
 from tierdown.operators.linting import policy_lint
 from tierdown.operators.planning import archive_plan, destination_plan, dry_run
 from tierdown.operators.retention import expired, retained
@@ -25,8 +24,9 @@ from tierdown.plans.copying import (
     copy_outcomes,
     read_copies,
     refuse_overlap,
+    source_folders,
 )
-from tierdown.plans.pruning import path_exists, prune_generation, split_for_prune
+from tierdown.plans.pruning import interrupted, path_exists, prune_generation, split_proven
 
 COUNTERS = (
     "succeeded", "failed", "skipped", "backed_up", "pruned", "kept", "copies", "total_bytes",
@@ -38,7 +38,7 @@ class ThresholdExceeded(RuntimeError):
 
     def __init__(self, result: CycleResult, percent: float):
         rate = result.metrics["failure_rate"]
-        super().__init__(f"error threshold exceeded: {rate:.1f}% failures (threshold: {percent:.1f}%)")
+        super().__init__(f"{rate:.1f}% of the items failed, more than the {percent:.1f}% allowed")
         self.result = result
 
 
@@ -79,6 +79,11 @@ def _stop_if_asked(should_stop: Callable[[], bool], phase: str) -> None:
         raise RunCancelled(f"stopped before {phase}")
 
 
+def new_run_id() -> str:
+    """Ids sort by the time they were made, so the newest run is the largest id."""
+    return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+
+
 def plan_cycle(
     df: DataFrame,
     ts: str,
@@ -122,17 +127,20 @@ def backup_then_prune(
 
     ``group_by`` turns on archive mode. An item counts as backed up if any
     destination holds it. When one destination has a complete, verified copy every
-    expired row is safe and no join is needed; otherwise rows are matched by ``key``
-    with what the incomplete copies really hold, and unmatched rows are kept.
+    expired row is safe and no join is needed. Otherwise, if a ``key`` is named, rows are
+    matched with what the incomplete copies really hold, by their whole content and as
+    often as it occurs, and unmatched rows are kept; a key alone proves nothing.
     ``prune_unbacked`` removes them all the same. With ``enable_backup`` off, age
     alone decides. Any error before the prune leaves the source as it is.
     ``should_stop`` is asked before the copies and before the prune.
     """
     spark = df.sparkSession
     _stop_if_asked(should_stop, "the backup")
-    if path_exists(spark, kept_path):
+    for source in source_folders(df):
+        refuse_overlap(source, [kept_path, *destinations])
+    if path_exists(spark, kept_path) and not interrupted(spark, kept_path):
         raise FileExistsError(f"{kept_path} already exists; a generation takes a new path")
-    run_id = run_id or uuid.uuid4().hex
+    run_id = run_id or new_run_id()
     old = expired(df, ts, hours, as_of)
     counts = _counts(df, ts, hours, as_of, size)
     metrics = dict.fromkeys(COUNTERS, 0) | {"failure_rate": 0.0}
@@ -158,7 +166,7 @@ def backup_then_prune(
         else:
             backed_up = read_copies(spark, result.copies, df.schema, only_good=False)
             amount = F.lit(0) if size is None else F.col(size)
-            row = prune_safe(old, backed_up, key).agg(
+            row = split_proven(df, ts, hours, as_of, backed_up)[1].agg(
                 F.count(F.lit(1)), F.coalesce(F.sum(amount), F.lit(0)).cast("bigint")
             ).first()
             safe, safe_bytes = row[0], row[1]
@@ -179,7 +187,7 @@ def backup_then_prune(
         kept = retained(df, ts, hours, as_of)
         expected = counts["total"] - counts["old"]
     else:
-        kept, _ = split_for_prune(df, ts, hours, as_of, backed_up, key)
+        kept, _ = split_proven(df, ts, hours, as_of, backed_up)
         expected = counts["total"] - metrics["backed_up"]
     metrics["kept"] = prune_generation(kept, expected, kept_path)
     metrics["pruned"] = counts["total"] - metrics["kept"]
@@ -236,21 +244,32 @@ def policy_options(policy: Row) -> dict:
 
 
 def run_policies(
-    policies: DataFrame, ts: str, as_of: datetime, kept_root: str, **options
+    policies: DataFrame,
+    ts: str,
+    as_of: datetime,
+    kept_root: str,
+    remotes: Mapping[str, str] | None = None,
+    **options,
 ) -> list[CycleResult]:
     """One run per policy, after all of them have passed the rules.
 
-    Policies are a handful of settings rows; each run is a set of Spark jobs. The
-    kept rows of the n-th policy go to ``kept_root/policy-n``.
+    Policies are a handful of settings rows; each run is a set of Spark jobs. Policies
+    run in the order of their folders, and the kept rows of the n-th go to
+    ``kept_root/policy-n``. A remote copy is one more destination: ``remotes`` says which,
+    and a policy with a remote that it does not name is refused.
     """
     spark = policies.sparkSession
     rows = policy_lint(policies).collect()
+    rows.sort(key=lambda row: (row.target_folder or "", row.prune_after_hours or 0.0))
     broken = [f"{row.target_folder}: {row.violations[0]}" for row in rows if row.violations]
+    known = remotes or {}
+    broken += [f"{row.target_folder}: no destination is given for the remote {r}" for row in rows for r in row.remotes or () if r not in known]
     if broken:
         raise PolicyError("; ".join(broken))
     results = []
     for n, row in enumerate(rows):
         chosen = {**policy_options(row), **options}
+        chosen["destinations"] = [*chosen["destinations"], *(known[r] for r in row.remotes or ())]
         kept = f"{kept_root.rstrip('/')}/policy-{n}"
         results.append(run_once(spark, kept_path=kept, ts=ts, as_of=as_of, **chosen))
     return results

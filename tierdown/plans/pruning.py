@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tierdown.functions.age import is_expired, is_retained
-from tierdown.operators.linking import prune_safe, unbacked
+from tierdown.operators.joins import skew_safe_join
+from tierdown.operators.linking import proven_digests, prune_safe, unbacked
+from tierdown.plans.copying import content_digest
 from tierdown.scratch import scratch_dir
 
 _PARTITIONS_PER_STATEMENT = 200
@@ -45,6 +47,31 @@ def split_for_prune(
     return young.unionByName(unbacked(old, backed_up, key)), prune_safe(old, backed_up, key)
 
 
+def split_proven(
+    df: DataFrame, ts: str, hours: float, as_of: datetime, copies: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(rows to keep, rows that may go) where copies are incomplete or differ.
+
+    ``copies`` has the columns of ``df`` and ``destination``. An expired row may go only
+    if one destination holds rows with exactly its content, and as many of them.
+    """
+    digest = content_digest(df.schema)
+    old = df.where(is_expired(df, ts, hours, as_of)).withColumn("_digest", digest)
+    proven = proven_digests(old, copies.withColumn("_digest", digest), "_digest", "destination")
+    young = df.where(is_retained(df, ts, hours, as_of))
+    stays = skew_safe_join(old, proven, "_digest", "left_anti").select(*df.columns)
+    return young.unionByName(stays), skew_safe_join(old, proven, "_digest", "left_semi").select(*df.columns)
+
+
+def interrupted(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is what a writer left that never committed: Spark's own working
+    folder is still there and its marker of success is not."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(hadoop.Path(folder, "_temporary")) and not files.exists(hadoop.Path(folder, "_SUCCESS"))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path)
@@ -60,12 +87,13 @@ def prune_generation(
 ) -> int:
     """Write the kept rows to a new place and check that there are ``expected`` of them.
 
-    Whatever is at ``path`` already stays: it may be what is being read. A retry takes
-    another path.
+    Whatever is at ``path`` already stays: it may be what is being read. Only what an
+    interrupted attempt left there, which nothing can read, is replaced.
     """
     observation = Observation()
     counted = kept.observe(observation, F.count(F.lit(1)).alias("items"))
-    counted.write.mode("errorifexists").option("compression", algorithm).parquet(path)
+    mode = "overwrite" if interrupted(kept.sparkSession, path) else "errorifexists"
+    counted.write.mode(mode).option("compression", algorithm).parquet(path)
     items = observation.get["items"]
     if items != expected:
         raise PruneMismatch(f"expected to keep {expected} rows, wrote {items} to {path}")
@@ -118,30 +146,35 @@ def prune_partitions(
     the work, since expired rows are found again.
     """
     df = spark.table(table)
-    keep, _ = split_for_prune(df, ts, hours, as_of, backed_up, key)
-    per_partition = (
-        df.groupBy(partition)
-        .agg(
-            F.count(F.lit(1)).alias("items"),
-            F.count_if(is_expired(df, ts, hours, as_of)).alias("old"),
-        )
-        .where("old > 0")
-    )
-    touched = {row[partition]: row for row in per_partition.collect()}
+    # the cutoff reaches the scan: files and partitions without expired rows are not read
+    aged = df.where(is_expired(df, ts, hours, as_of)).groupBy(partition).agg(F.count(F.lit(1)).alias("old"))
+    old = {row[partition]: row["old"] for row in aged.collect()}
     report = {"dropped_partitions": 0, "rewritten_partitions": 0, "pruned": 0}
-    if not touched:
+    if not old:
         return report
-    stage = scratch_dir(spark, "prune-stage")
-    keep.where(_any_of(partition, list(touched))).write.mode("overwrite").parquet(stage)
-    staged = spark.read.schema(df.schema).parquet(stage)
-    counts = staged.groupBy(partition).agg(F.count(F.lit(1)).alias("items"))
-    left = {row[partition]: row["items"] for row in counts.collect()}
-    for value, row in touched.items():
-        fewest = row["items"] - row["old"]
-        if not fewest <= left.get(value, 0) <= row["items"]:
-            raise PruneMismatch(f"partition {value}: staged {left.get(value, 0)} of {row['items']}")
-    rewritten = [v for v, row in touched.items() if 0 < left.get(v, 0) < row["items"]]
-    dead = [v for v in touched if left.get(v, 0) == 0]
+    touched = df.where(_any_of(partition, list(old)))
+    items = {row[partition]: row["items"] for row in touched.groupBy(partition).agg(F.count(F.lit(1)).alias("items")).collect()}
+    if backed_up is None:
+        # where all rows are expired nothing can be left, so only mixed partitions are staged
+        mixed = [v for v in old if old[v] < items[v]]
+        keep = df.where(is_retained(df, ts, hours, as_of))
+    else:
+        mixed = list(old)
+        aged_rows = df.where(is_expired(df, ts, hours, as_of))
+        keep = df.where(is_retained(df, ts, hours, as_of)).unionByName(unbacked(aged_rows, backed_up, key))
+    left: dict = {}
+    if mixed:
+        stage = scratch_dir(spark, "prune-stage")
+        keep.where(_any_of(partition, mixed)).write.mode("overwrite").parquet(stage)
+        staged = spark.read.schema(df.schema).parquet(stage)
+        counts = staged.groupBy(partition).agg(F.count(F.lit(1)).alias("items"))
+        left = {row[partition]: row["items"] for row in counts.collect()}
+    for value in old:
+        fewest = items[value] - old[value]
+        if not fewest <= left.get(value, 0) <= items[value]:
+            raise PruneMismatch(f"partition {value}: staged {left.get(value, 0)} of {items[value]}")
+    rewritten = [v for v in old if 0 < left.get(v, 0) < items[v]]
+    dead = [v for v in old if left.get(v, 0) == 0]
     if rewritten:
         chosen = staged.where(_any_of(partition, rewritten)).select(*df.columns)
         _replace_partitions(chosen, table)
@@ -151,5 +184,5 @@ def prune_partitions(
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
     report["dropped_partitions"] = len(dead)
     report["rewritten_partitions"] = len(rewritten)
-    report["pruned"] = sum(row["items"] - left.get(v, 0) for v, row in touched.items())
+    report["pruned"] = sum(items[v] - left.get(v, 0) for v in old)
     return report

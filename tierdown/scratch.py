@@ -8,6 +8,7 @@ temporary folder of its own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,11 +25,12 @@ def shared_root(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not context.master.startswith("local"):
+    # local-cluster[...] runs executors of their own, which need a shared folder too
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_roots.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="tierdown-")
-    )
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="tierdown-")
+    return _local_roots[context.applicationId]
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

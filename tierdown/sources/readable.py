@@ -18,16 +18,29 @@ def read_with_errors(
     """(rows of the readable files, one ``access`` error per unreadable file).
 
     ``read_fn`` returns a file-based DataFrame. Spark skips missing and corrupt
-    files without a word, so the files that did deliver rows are compared with the
-    inventory. Empty files deliver nothing and are not errors. A file that breaks
-    half-way has delivered rows; to take such files whole or not at all, read them
-    as objects.
+    files without a word, so the rows that each file really delivers, with all columns
+    decoded, are counted and compared with the inventory and with the count that the
+    file states (for formats that have one, like Parquet). A file that breaks half-way
+    is an error too, though the rows before the break are among the good ones. Empty
+    files deliver nothing and are not errors.
     """
     spark = inventory.sparkSession
     good = read_fn(spark)
-    seen = good.select(F.col("_metadata.file_path").alias("file_uri"))
+    path = F.col("_metadata.file_path").alias("file_uri")
+    # hashing every column is what makes the reader decode every page
+    decoded = good.select(path, F.hash(F.struct(*good.columns)).alias("code"))
+    delivered = decoded.groupBy("file_uri").agg(F.count("code").alias("rows"), F.max("code").alias("code"))
+    stated = good.select(path).groupBy("file_uri").agg(F.count(F.lit(1)).alias("stated"))
+    broken = stated.join(delivered.select("file_uri", "rows"), "file_uri", "left").where("coalesce(rows, 0) < stated")
     listed = inventory.where(F.col("size") > 0)
-    return good, unread_items(listed, seen, "file_uri")
+    errors = unread_items(listed, stated, "file_uri").unionByName(
+        broken.select(
+            F.col("file_uri").alias("key"),
+            F.lit("access").alias("operation"),
+            F.format_string("%d of %d rows were readable", F.coalesce("rows", F.lit(0)), F.col("stated")).alias("err"),
+        )
+    )
+    return good, errors
 
 
 def tolerant(spark: SparkSession, fmt: str, path: str, **options: str) -> DataFrame:

@@ -57,7 +57,13 @@ def write_buckets(
 
 
 def buckets_from_days(days: DataFrame, group_by: str = "monthly") -> DataFrame:
-    """Longer buckets from finished daily ones."""
-    return days.groupBy(archive_bucket(F.to_date("bucket"), group_by).alias("bucket")).agg(
+    """Longer buckets from finished daily ones, each only once it is over: its last day
+    must not lie behind the newest finished day."""
+    day = F.to_date("bucket")
+    last_day = F.last_day(day) if group_by == "monthly" else F.date_add(F.date_trunc("week", day).cast("date"), 6)
+    if group_by != "daily":
+        newest = days.agg(F.max(day)).first()[0]
+        days = days.where(last_day <= F.lit(newest))
+    return days.groupBy(archive_bucket(day, group_by).alias("bucket")).agg(
         F.sum("items").cast("bigint").alias("items"), F.sum("bytes").cast("bigint").alias("bytes")
     )

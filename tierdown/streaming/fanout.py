@@ -2,16 +2,67 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tierdown.functions.age import cutoff, instant_literal
-from tierdown.plans.copying import BackupFailed, CopyOutcome, backup
+from tierdown.plans.copying import BackupFailed, CopyOutcome, backup, copy_outcomes
+from tierdown.plans.pruning import path_exists
+
+_STATE = "tierdown-backup"
+
+
+class _Ledger:
+    """What a stream has to remember from batch to batch, beside its checkpoint.
+
+    ``owner`` names the folders of this stream; ``pending-<n>`` holds the rows that were
+    too young up to step ``n``; ``copies-<n>`` the outcomes of that step. A step writes
+    its own folders anew when it is repeated, and reads those of the step before it.
+    """
+
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        self.spark, self.root = spark, f"{checkpoint.rstrip('/')}-{_STATE}"
+        if not path_exists(spark, f"{self.root}/owner"):
+            row = spark.createDataFrame([(uuid.uuid4().hex[:12],)], "owner string")
+            row.coalesce(1).write.parquet(f"{self.root}/owner")
+        self.owner = spark.read.parquet(f"{self.root}/owner").first()[0]
+
+    def steps(self, what: str) -> list[str]:
+        """Names of the steps that ``what`` was written for, oldest first."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [status.getPath().getName() for status in files.listStatus(root)]
+        done = [n for n in names if n.startswith(f"{what}-") and files.exists(hadoop.Path(root, f"{n}/_SUCCESS"))]
+        return sorted(n.removeprefix(f"{what}-") for n in done)
+
+    def pending(self, before: str, schema: T.StructType) -> DataFrame | None:
+        earlier = [s for s in self.steps("pending") if s < before]
+        return self.spark.read.schema(schema).parquet(f"{self.root}/pending-{earlier[-1]}") if earlier else None
+
+    def failed(self, before: str) -> list[tuple[str, str, str]]:
+        """``(step, destination, path of a good copy)`` of copies that are still missing."""
+        state: dict[tuple[str, str], tuple[bool, str]] = {}
+        for step in self.steps("copies"):
+            if step < before:
+                for row in self.spark.read.parquet(f"{self.root}/copies-{step}").collect():
+                    state[row.run_id, row.destination] = (row.ok, row.path)
+        good = {run: path for (run, _), (ok, path) in state.items() if ok}
+        return [(run, where, good[run]) for (run, where), (ok, _) in sorted(state.items()) if not ok and run in good]
+
+    def record(self, step: str, outcomes: dict[str, list[CopyOutcome]]) -> None:
+        rows = None
+        for run, found in outcomes.items():
+            one = copy_outcomes(self.spark, run, found)
+            rows = one if rows is None else rows.unionByName(one)
+        if rows is not None:
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/copies-{step}")
 
 
 def stream_backup(
@@ -27,20 +78,43 @@ def stream_backup(
 ) -> StreamingQuery:
     """Copy what is older than the cutoff, batch by batch.
 
-    Each batch writes below a folder of its own, so a replayed batch replaces its
-    first attempt and every row ends up in each destination once. A batch that no
-    destination could take fails the query instead of being skipped; ``report`` gets
-    the outcomes of every batch, so a single bad destination does not go unseen.
+    Each batch writes below a folder named after this stream and the batch, so a replayed
+    batch replaces its first attempt, and other streams, or one that lost its checkpoint,
+    write beside it. Rows that are too young wait beside the checkpoint and are looked at
+    again in each batch, and at each start, when ``as_of`` may be later. Rows without an
+    age never expire and are not held. A destination that missed a batch gets it from a
+    good copy in the next batch or start. A batch that no destination could take fails the
+    query instead of being skipped; ``report`` gets the outcomes of every batch.
     """
+    spark = stream.sparkSession
     limit = instant_literal(cutoff(as_of, hours), T.TimestampType())
-    old = stream.where(F.col(ts) < limit)
+    ledger = _Ledger(spark, checkpoint)
 
-    def copy(batch: DataFrame, batch_id: int) -> None:
-        outcomes = backup(batch, destinations, f"batch-{batch_id:09d}", algorithm)
+    def step(rows: DataFrame, name: str, number: int) -> None:
+        held = ledger.pending(name, rows.schema)
+        rows = rows if held is None else rows.unionByName(held)
+        outcomes: dict[str, list[CopyOutcome]] = {}
+        for run, where, good in ledger.failed(name):
+            source = spark.read.schema(rows.schema).parquet(good)
+            outcomes.setdefault(run, []).extend(backup(source, [where], run, algorithm))
+        run = f"{ledger.owner}-{name}"
+        outcomes[run] = backup(rows.where(F.col(ts) < limit), destinations, run, algorithm)
         if report is not None:
-            report(batch_id, outcomes)
-        if not any(o.ok for o in outcomes):
-            raise BackupFailed("; ".join(f"{o.destination}: {o.err}" for o in outcomes))
+            report(number, outcomes[run])
+        if not any(o.ok for o in outcomes[run]):
+            raise BackupFailed("; ".join(f"{o.destination}: {o.err}" for o in outcomes[run]))
+        rows.where(F.col(ts) >= limit).write.mode("overwrite").parquet(f"{ledger.root}/pending-{name}")
+        ledger.record(name, outcomes)
+
+    # batches are b<number>; what waits at a start is step b<last>.s<count>, after that batch
+    # and before the next
+    waiting = ledger.steps("pending")
+    if waiting:
+        last, _, starts = waiting[-1].partition(".s")
+        step(spark.createDataFrame([], stream.schema), f"{last}.s{int(starts or 0) + 1:06d}", -1)
+
+    def copy(batch: DataFrame, batch_id: int) -> None:
+        step(batch, f"b{batch_id:012d}", batch_id)
 
-    writer = old.writeStream.foreachBatch(copy).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(copy).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
