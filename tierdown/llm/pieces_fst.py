@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -72,6 +73,22 @@ def _fields(message: bytes) -> Iterator[tuple[int, object]]:
             at += size
 
 
+class _Remembered(dict):
+    """Ids, as 32-bit numbers, of words without spaces that have a space in front."""
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED_WORDS:
+            self.clear()
+        ids = self[word] = array("i", self.machine.path(" " + word)).tobytes()
+        return ids
+
+    def __reduce__(self):  # what is remembered stays where it is
+        return _Remembered, (self.machine,)
+
+
 @dataclass
 class Transducer:
     """A compiled model. ``ids`` spells pieces with a space for the space mark."""
@@ -89,8 +106,11 @@ class Transducer:
     whole: dict[int, str] = field(default_factory=dict)
     _accepted: dict[int, bool] = field(default_factory=dict)
     _borders: dict[int, list] = field(default_factory=dict)
-    _reach: dict[str, int] = field(default_factory=dict)
-    _words: dict[str, bytes] = field(default_factory=dict)
+    _lengths: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    _words: _Remembered = None
+
+    def __post_init__(self):
+        self._words = _Remembered(self)
 
     # -- normaliser ------------------------------------------------------------
 
@@ -105,7 +125,9 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """Ids of the least path through ``text`` (normalised, without runs of spaces)."""
-        arcs = self._accepted_arcs(text) if self.kind == BPE else self._least_arcs(text)
+        if self.kind == BPE:
+            return self._accepted_path(text)
+        arcs = self._least_arcs(text)
         out: list[int] = []
         end = len(text)
         while end:
@@ -135,31 +157,54 @@ class Transducer:
             arcs.append(arc)
         return arcs
 
-    def _accepted_arcs(self, text: str) -> list[tuple[int, int]]:
+    def _accepted_path(self, text: str) -> list[int]:
         """The same where arcs weigh nothing and only accepted neighbours may follow each
-        other: one arc at most leads to each position, and the first found is the least.
-        A character that is no piece is never merged, so anything may stand beside it."""
-        get, accepted, size = self.ids.get, self._accepted, len(self.texts)
-        if not self._reach:  # longest piece by its last two characters
-            for piece in self.ids:
-                self._reach[piece[-2:]] = max(self._reach.get(piece[-2:], 1), len(piece))
-        reach = self._reach.get
-        arcs = [(0, _NO_PIECE)]
-        for end in range(1, len(text) + 1):
-            back = reach(text[end - 2 : end], 1) if end > 1 else 1
-            for begin in range(end - back if end > back else 0, end):
-                piece = get(text[begin:end])
-                if piece is not None:
-                    before = arcs[begin][1]
+        other. All finite paths weigh 0, so the first one found is the least: long arcs are
+        tried first, and since one accepted path at most leads to a position, a position
+        that leads nowhere is tried once. A character that is no piece is never merged, so
+        anything may stand beside it."""
+        get, accepted, size, n = self.ids.get, self._accepted, len(self.texts), len(text)
+        if not self._lengths:
+            self._measure()
+        lengths = self._lengths.get
+        trail: list[tuple[int, int]] = []
+        blocked: set[int] = set()
+        at, before = 0, _NO_PIECE
+        while at < n:
+            for length in lengths(text[at : at + 2], (1,)):
+                end = at + length
+                piece = get(text[at:end]) if end <= n else None
+                if piece is not None and end not in blocked:
                     if before < 0:
                         break
                     known = accepted.get(before * size + piece)
                     if self.accepts(before, piece) if known is None else known:
                         break
             else:
-                begin, piece = end - 1, _NO_PIECE
-            arcs.append((begin, piece))
-        return arcs
+                if text[at] not in self.ids:
+                    trail.append((at, _NO_PIECE))
+                    at, before = at + 1, _NO_PIECE
+                else:
+                    blocked.add(at)
+                    at = trail.pop()[0]
+                    before = trail[-1][1] if trail else _NO_PIECE
+                continue
+            trail.append((at, piece))
+            at, before = end, piece
+        if all(piece >= 0 for _, piece in trail):
+            return [piece for _, piece in trail]
+        out: list[int] = []
+        for begin, piece in trail:
+            out += [piece] if piece >= 0 else self._fallback(text[begin])
+        return out
+
+    def _measure(self) -> None:
+        """Lengths of pieces by their first two characters, the longest first."""
+        found: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                found.setdefault(piece[:2], {1}).add(len(piece))
+        self._lengths = {start: tuple(sorted(sizes, reverse=True)) for start, sizes in found.items()}
 
     def _fallback(self, character: str) -> list[int]:
         if self.bytes_ids is None:
@@ -217,19 +262,10 @@ class Transducer:
 
     # -- whole texts -------------------------------------------------------------
 
-    def word(self, word: str) -> bytes:
-        """Ids of a word without spaces, with a space in front, as 32-bit numbers."""
-        known = self._words.get(word)
-        if known is None:
-            if len(self._words) >= REMEMBERED_WORDS:
-                self._words.clear()
-            known = self._words[word] = np.array(self.path(" " + word), np.int32).tobytes()
-        return known
-
     def encode(self, text: str) -> np.ndarray:
         text = self.normalised(text)
         if text.startswith(" ") and "  " not in text and text[-1] != " ":
-            return np.frombuffer(b"".join(map(self.word, text[1:].split(" "))), np.int32)
+            return np.frombuffer(b"".join(map(self._words.__getitem__, text[1:].split(" "))), np.int32)
         out = []
         for part in re.findall(r" *[^ ]+| +", text):
             spaces = len(part) - len(part.lstrip(" "))
