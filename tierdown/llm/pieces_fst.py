@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED_WORDS = 400_000  # per worker; about 100 MB
+REMEMBERED_WORDS = 800_000  # per worker; about 200 MB
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # what the published unigram encoder takes off the least score
 
