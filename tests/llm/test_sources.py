@@ -67,6 +67,21 @@ def test_templates_take_constant_texts_out(spark):
     assert page_texts(df.limit(0)).count() == 0
 
 
+def test_templates_hold_within_articles_too(spark):
+    notice = "<div class=x><p>Join our club today</p></div>"
+    rows = [(i, f"http://n.org/{i}", f"<html><body><article><h1>head {i}</h1><p>story {i}</p>{notice}</article></body>") for i in range(20)]
+    rows += [(100 + i, f"http://same.org/{i}", "<html><body><article><h1>one</h1><p>page</p></article></body>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in page_texts(df).collect()}
+    assert found == {i: f"head {i}\n\nstory {i}" for i in range(20)} | {100 + i: "one\n\npage" for i in range(20)}
+
+
+def test_a_small_article_does_not_stand_for_the_page():
+    teaser, body = "<article><p>read this</p></article>", "<div><p>the whole story is told outside</p></div>"
+    assert main_text(teaser + body) == "read this\n\nthe whole story is told outside"
+    assert main_text(f"<article><p>{'story ' * 9}</p></article><div>beside</div>") == ("story " * 9).strip()
+
+
 def test_crossing_classes_are_dropped():
     outer, inner, crossing = [(0.0, 1), (0.5, 2), (1.0, 3)], [(0.6, 4), (0.7, 5)], [(0.4, 6), (0.6, 7)]
     assert nested([(9, outer), (9, inner), (3, crossing)]) == [[1, 2, 3], [4, 5]]

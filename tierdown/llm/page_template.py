@@ -5,9 +5,14 @@ opening tag with its path, or a text that is always the same) shows in the same
 on every page, so tokens are grouped by their occurrence vector, the counts over all
 pages of the host. A group (an equivalence class) is valid if its tokens keep their
 order; valid classes are nested in the gaps of others, and crossing ones are dropped.
-Texts of the template are no content. What is left are the slots; of these, the ones
-within menus, headers, footers, asides, notices, adverts, forms and comments (by element,
-role and class) are dropped and the others are the main text.
+Texts of the template are no content, within an article or main element too. What is
+left are the slots; of these, the ones within menus, headers, footers, asides, notices,
+adverts, forms and comments (by element, role and class) are dropped. Of the others, the
+ones in article or main elements are the main text if they hold at least half of the
+characters, else all are.
+
+A text that one page only holds, however many copies of it the site has, tells nothing
+about a template and stays.
 
 An occurrence vector is as long as the site, so only an order-free hash of it is kept,
 summed up page by page; classes are then a grouping by that hash. Sites with few pages
@@ -160,12 +165,11 @@ def tokens(page: str) -> list[Token]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page and token that can be of a template: count and place. Texts of the
-    article itself are content whatever the template, and need no vector."""
+    """For each page and token: count and place."""
     for batch in batches:
         rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = [(t.key(), t.text is not None) for t in tokens(page) if t.text is None or not t.content]
+            found = [(t.key(), t.text is not None) for t in tokens(page)]
             counts, first = Counter(key for key, _ in found), {}
             for place, (key, is_text) in enumerate(found):
                 first.setdefault(key, (place / len(found), is_text))
@@ -212,8 +216,9 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, support: fl
         F.bit_xor(F.xxhash64("page", "times")).alias("vector"),
         F.avg("place").alias("place"),
         F.first("is_text").alias("is_text"),
+        (F.min("page") < F.max("page")).alias("on_several"),
     )
-    tallied = tallied.where(F.col("pages") >= least_pages)
+    tallied = tallied.where((F.col("pages") >= least_pages) & (~F.col("is_text") | F.col("on_several")))
     totals = numbered.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
     usual = tallied.join(totals.where(F.col("all_pages") >= least_pages), "host").where(F.col("pages") >= F.lit(support) * F.col("all_pages"))
     # what is left of a host is at most 1 / support times the tokens of a page
@@ -238,17 +243,22 @@ def _template(table: pa.Table) -> pa.Table:
 
 def template_texts(found: list[Token], classes: list[list[int]]) -> set[int]:
     """Positions of texts that belong to the template. A class counts on this page if its
-    tokens stand here in its order and in equal numbers."""
+    tokens stand here in its order and in equal numbers; if the texts in the article are
+    what breaks the order, the others count without them."""
     places: dict[int, list[int]] = {}
     for place, token in enumerate(found):
         places.setdefault(token.key(), []).append(place)
     constant: set[int] = set()
     for tokens_ in classes:
         here = [places.get(token, []) for token in tokens_]
-        if len({len(p) for p in here}) == 1 and here[0]:
-            walk = [p for turn in zip(*here) for p in turn]
+        if len({len(p) for p in here}) != 1 or not here[0]:
+            continue
+        frame = [p for p in here if found[p[0]].text is None or not found[p[0]].content]
+        for part in (here, frame):
+            walk = [p for turn in zip(*part) for p in turn]
             if walk == sorted(walk):
                 constant.update(p for p in walk if found[p].text is not None)
+                break
     return constant
 
 
@@ -256,18 +266,19 @@ def main_text(page: str, classes: list[list[int]] | None = None) -> str:
     """The slots that are content, joined by two line feeds."""
     found = tokens(page)
     constant = template_texts(found, classes) if classes else set()
-    texts = [(t, p) for p, t in enumerate(found) if t.text is not None and not t.aside]
-    inside = [t.text for t, p in texts if t.content]
-    return "\n\n".join(inside if inside else [t.text for t, p in texts if p not in constant])
+    slots = [t for p, t in enumerate(found) if t.text is not None and not t.aside and p not in constant]
+    inside = [t for t in slots if t.content]
+    most = 2 * sum(len(t.text) for t in inside) >= sum(len(t.text) for t in slots)
+    return "\n\n".join(t.text for t in (inside if most else slots))
 
 
 def page_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float = SUPPORT) -> DataFrame:
     """One row per row of ``pages``: ``page_id, url, text, n_chars`` (code points).
 
     A null or empty html has an empty text; a null or odd ``url`` has no host and so no
-    template. Repeated rows are rows of their own. Where a page marks its article or main
-    element, the text is what that holds, else all slots that are not aside. Other
-    columns are ignored.
+    template. Repeated rows are rows of their own. The text is of slots that are not aside:
+    those in article or main elements if they hold at least half of the characters, else
+    all. Other columns are ignored.
     """
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
