@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 
@@ -13,7 +14,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tierdown.llm import pieces_fst
+from tierdown.llm import pieces_fst, spaced_seeds
 from tierdown.llm.credentials import KINDS, credential_spans, linked
 from tierdown.llm.factorization import Features, features, fitted, held_out, quality_scores, trained
 from tierdown.llm.page_template import main_text, nested, page_texts, site_templates
@@ -223,6 +224,17 @@ def test_leaks_through_substituted_words(spark):
     assert leaked_items(docs.limit(0), bench).count() == 0 and leaked_items(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_meet_every_run_that_passes(spark):
+    assert spaced_seeds.RUN == 13 and spaced_seeds.AGREEMENT == 0.8
+    for gone in itertools.chain.from_iterable(itertools.combinations(range(13), n) for n in range(3)):
+        places = ((m, at) for m in spaced_seeds.MASKS for at in range(14 - len(m)))
+        assert any(all(bit == "0" or at + i not in gone for i, bit in enumerate(m)) for m, at in places), gone
+    words = [f"w{k}" for k in range(13)]
+    texts = [" ".join("new" if k in gone else w for k, w in enumerate(words)) for gone in ((4, 6), (5, 6), (5, 7), (6, 7), (6, 8))]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert {r.doc_id for r in leaked_items(documents(spark, list(enumerate(texts))), bench).collect()} == set(range(5))
+
+
 # -- pieces --------------------------------------------------------------------
 
 

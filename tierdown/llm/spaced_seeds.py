@@ -4,7 +4,10 @@ A seed is a fixed mask over consecutive words: the words under its ones are hash
 those under its zeros may differ. Seeds of test items and of documents are joined; a
 meeting gives a diagonal (the shift between item and document), and along it the words
 are compared one by one. An item counts as leaked where enough words of a long enough
-run agree, so a few substituted words do not hide it.
+run agree, so a few substituted words do not hide it. The four masks meet every run of
+13 words with up to two substitutions, so each run that passes (11 of 13) is found. Of
+items below 13 words, which pass at the same share, those of 9 and 12 words are always
+found; missed are 2 of 67 patterns at 11 words, 6 of 56 at 10, 2 of 9 at 8, 5 of 8 at 7.
 
 Built of DataFrame functions only. Positions of documents are not shuffled while the
 item seeds are few enough to be broadcast, which is checked; beyond that the same join
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tierdown.scratch import scratch_dir
 
-MASKS = ("11011011", "1110111", "1111011")
+MASKS = ("11011011", "1110111", "1111011", "11001011")
 RUN = 13
 AGREEMENT = 0.8
 MOST_BROADCAST_SEEDS = 1_000_000  # about 50 MB
