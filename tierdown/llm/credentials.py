@@ -6,8 +6,8 @@ address. These are weak candidates, and they are reported only where the parts t
 complete them stand nearby: an identifier with a secret, a secret with an identifier,
 an endpoint with both.
 
-Nearby means within one scope (no blank line between) and at most ``reach`` code points
-apart, so linking is an interval join. Its parts all come from one row, so it runs
+Nearby means within one scope (no blank line between) and, if a ``reach`` is given, at
+most so many code points apart, so linking is an interval join. Its parts all come from one row, so it runs
 where the row is read, for all rows of a batch at once, by binary search in parts
 sorted by scope and position: no shuffle, and no pairs are formed.
 """
@@ -39,7 +39,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _SESSION = re.compile(r"(?<![A-Z0-9])(?:ASIA|AIDA|AROA|AGPA)[A-Z0-9]{12,}")
 _NAME = re.compile(r"""(?:client|account|user|tenant|access)_?(?:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=])")
 _ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+.-]*://|(?<![A-Za-z0-9.])(?:[a-z0-9-]+\.)+[a-z]{2,}:\d)[^\s"'<>]*""")
 _BLANK = re.compile(r"\n[\x20\x09\x0D]*\n")
 
@@ -92,9 +92,10 @@ def parts(text: str) -> list[tuple[int, int, int]]:
     return found + apart
 
 
-def linked(scope: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray, reach: int) -> np.ndarray:
+def linked(scope: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray, reach: int | None) -> np.ndarray:
     """The interval join: which parts are to be reported. ``scope`` numbers the stretches
-    of text within which parts may complete each other."""
+    of text within which parts may complete each other; without ``reach``, all of one do."""
+    reach = int(end.max(initial=0)) if reach is None else reach
     width = int(end.max(initial=0)) + 2 * reach + 2
     start, end = start + scope * width + reach, end + scope * width + reach
 
@@ -118,13 +119,14 @@ def linked(scope: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarr
     )
 
 
-def credential_spans(documents: DataFrame, reach: int = REACH) -> DataFrame:
+def credential_spans(documents: DataFrame, reach: int | None = REACH) -> DataFrame:
     """One row per row of ``documents``: ``doc_id, n_assign, n_access, n_hex,
     base_sha256, spans, n_linked``.
 
     ``spans`` lists ``kind:start:end`` (code points, end exclusive) of base spans and of
     linked weak ones, by start and then kind; ``base_sha256`` is the digest of the same
-    list of base spans only; ``n_linked`` counts the weak ones. A null or empty text has
+    list of base spans only; ``n_linked`` counts the weak ones. ``reach`` None links over
+    the whole scope, as the registered query does. A null or empty text has
     none (the digest of an empty string). Repeated rows and a null ``doc_id`` are rows
     like others; other columns are ignored.
     """
@@ -149,7 +151,7 @@ def credential_spans(documents: DataFrame, reach: int = REACH) -> DataFrame:
     return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(scan, schema)
 
 
-def _listed(ids: pa.Array, rows: list[int], scopes: np.ndarray, spans: list[tuple[int, int, int]], reach: int) -> pa.RecordBatch:
+def _listed(ids: pa.Array, rows: list[int], scopes: np.ndarray, spans: list[tuple[int, int, int]], reach: int | None) -> pa.RecordBatch:
     start, end, kind = np.array(spans, np.int64).reshape(-1, 3).T
     told = linked(scopes, start, end, kind, reach)
     base, every = [[] for _ in range(len(ids))], [[] for _ in range(len(ids))]

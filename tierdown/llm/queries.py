@@ -45,7 +45,7 @@ def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credential_spans(_table(spark, sf_dir, "documents"))
+    return credential_spans(_table(spark, sf_dir, "documents"), reach=None)
 
 
 @_query
