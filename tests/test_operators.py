@@ -289,15 +289,36 @@ def test_breaker_against_brute_force(spark, slices):
     assert all(r.failed and r.running_rate > 22.0 for r in kept if r.tripped)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 6, 7, 8, 100])
-def test_slices_are_found_by_binary_search(spark, n):
-    from tierdown.operators import breaker
+@pytest.mark.parametrize(("slices", "fanout"), [(40, 3), (40, 40), (2100, 16)])
+def test_totals_go_up_in_levels(spark, slices, fanout):
+    from tierdown.operators import scans
 
-    bounds = [F.lit(10 * b) for b in range(n)]
-    df = spark.range(-5, 10 * n + 15).select(F.col("id").alias("k")).union(spark.sql("SELECT NULL"))
-    for row in breaker._with_slice(df, F.col("k"), bounds).collect():
-        expected = 0 if row.k is None else sum(10 * b <= row.k for b in range(n))
-        assert row._slice == expected
+    chance = random.Random(slices)
+    rows = [("a" if n % 9 else None, n, chance.randrange(1 << 40)) for n in range(2600)]
+    df = spark.createDataFrame(rows, "p STRING, n INT, v BIGINT").repartition(3)
+    cut = scans.sliced(df, ["p"], ["n"], slices)
+    assert cut.select("_slice").distinct().count() > min(slices, 2048) * 0.9
+    values = {"total": ("sum", F.col("v")), "most": ("max", F.col("v")), "mixed": ("xor", F.col("v"))}
+    got = {(r.p, r.n): (r.total, r.most, r.mixed) for r in scans.running(cut, values, fanout).collect()}
+    state, expected = {}, {}
+    for p, n, v in rows:
+        total, most, mixed = state.get(p, (0, 0, 0))
+        state[p] = expected[p, n] = (total + v, max(most, v), mixed ^ v)
+    assert got == expected
+
+
+def test_only_the_slice_that_trips_is_opened(spark):
+    from tierdown.operators import breaker, scans
+
+    rows = [(n, n > 1500) for n in range(3000)]
+    cut = scans.sliced(spark.createDataFrame(rows, "o INT, failed BOOLEAN"), [], ["o"], 30)
+    found = breaker.slice_breaches(cut, "failed", 25.0, 4).collect()
+    first = min(found, key=lambda r: r._slice)
+    here = {r.o for r in cut.where(F.col("_slice") == first._slice).collect()}
+    stop = next(n for n in range(3000) if n > 1500 and (n - 1500) / (n + 1) * 100 > 25)
+    assert stop in here and first._n == min(here) and 0 < first._f < first._n
+    kept = op.stop_at_breach(cut.select("o", "failed"), [], ["o"], "failed", 25.0, 30, 4)
+    assert kept.count() == stop + 1 and [r.o for r in kept.where("tripped").collect()] == [stop]
 
 
 def test_breaker_ordered_by_two_columns_with_ties(spark):
@@ -312,12 +333,6 @@ def test_breaker_ordered_by_two_columns_with_ties(spark):
     assert {("p", places[r.day, r.n]): (r.running_succeeded, r.running_failed, r.running_rate) for r in got} == running
     kept = op.stop_at_breach(df, ["part"], ["day", "n"], "failed", 33.0, 16).collect()
     assert {("p", places[r.day, r.n]) for r in kept} == seen
-    from tierdown.operators import breaker
-
-    key = breaker._order_key(["day", "n"])
-    bounds = breaker._slice_bounds(df, key, 16)
-    sizes = breaker._with_slice(df, key, bounds).groupBy("_slice").count().collect()
-    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 200
 
 
 def test_breaker_over_one_run_and_switched_off(spark):

@@ -259,8 +259,13 @@ def test_a_generation_replaces_nothing(spark, items, tmp_path):
     source = f"{tmp_path}/src"
     items.write.parquet(source)
     df = spark.read.parquet(source)
-    with pytest.raises(FileExistsError):
+    other = f"{tmp_path}/other"
+    items.write.parquet(other)
+    with pytest.raises(ValueError, match="source"):
         plans.backup_then_prune(df, "ts", 240, AS_OF, source, [f"{tmp_path}/a"], key="id")
+    with pytest.raises(FileExistsError):
+        plans.backup_then_prune(df, "ts", 240, AS_OF, other, [f"{tmp_path}/a"], key="id")
+    assert spark.read.parquet(other).count() == 41
     assert not Path(f"{tmp_path}/a").exists()
     with pytest.raises(Exception, match="(?i)already exists"):
         plans.prune_generation(df, 41, source)

@@ -353,3 +353,27 @@ def breaker_by_user(spark, sf_dir):
     return stop_at_breach(
         ordered_events(spark, sf_dir), ["user_id"], ["event_id"], "failed", 25.0
     )
+
+
+LATE_RATE = 5.0
+
+
+@query(
+    "stop_at_breach_one_run",
+    f"""
+    WITH late AS (
+      SELECT user_id, event_id,
+             CASE WHEN event_id * 2 > (SELECT max(event_id) FROM events) THEN event_type ELSE 'fine' END AS event_type
+      FROM events),
+    r AS ({_RUNNING_SQL.format(part="").replace("FROM events", "FROM late")}),
+    s AS (SELECT min(event_id) AS stop FROM r WHERE failed AND running_rate > {LATE_RATE})
+    SELECT r.*, coalesce(r.event_id = s.stop, false) AS tripped
+    FROM r CROSS JOIN s WHERE s.stop IS NULL OR r.event_id <= s.stop
+    """,
+)
+def breaker_over_one_run(spark, sf_dir):
+    """One run over all events whose first half is fine, so that it trips far on."""
+    rows = ordered_events(spark, sf_dir)
+    last = rows.agg(F.max("event_id")).first()[0]
+    late = rows.withColumn("failed", F.col("failed") & (F.col("event_id") * 2 > F.lit(last)))
+    return stop_at_breach(late, [], ["event_id"], "failed", LATE_RATE)

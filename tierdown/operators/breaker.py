@@ -2,18 +2,11 @@
 
 The rate is looked at after every item, in order, and the first breach ends the run.
 An ordinary part is one window. A part that holds a large share of the rows, or a
-single run over everything, would put too much in one task, so its order is cut into
-slices:
-
-1. slice bounds come from a small sample of the order keys. They only decide how
-   evenly the work is spread; every row is placed by comparing with them, so the
-   result is exact whatever they are;
-2. counts per (part, slice) are combined map-side, and a window over these few rows
-   gives what came before each slice;
-3. rows run in a window per (part, slice) and add that offset.
-
-Large parts are few by definition, so the per-slice rows are at most
-``parts x slices`` and are broadcast.
+single run over everything, goes through the slices of ``scans``: running counts come
+out of levels of slice totals. To find the breach, each slice is summed up by what can
+be joined in any grouping: its items, its failures, and the most that ``100 x failures -
+percent x items`` reaches at one of its failures. Together with what came before, that
+tells which slice trips; only that one is looked at row by row, and later ones never.
 """
 
 from __future__ import annotations
@@ -22,63 +15,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tierdown.functions.rates import breaches, failure_rate
 from tierdown.operators.joins import DEFAULT_SUPPORT, frequent_keys
+from tierdown.operators.scans import FANOUT, PART, ROW, SLICE, local, running, sliced, totals_before, written
 
-_PART = "_part"
-_SLICE = "_slice"
-_GROUPS = [_PART, _SLICE]
 _RATES = ["running_succeeded", "running_failed", "running_rate"]
-_SAMPLES_PER_SLICE = 20
-# keeps the per-slice rows of all hot parts small enough to broadcast
-_MOST_SLICES = 2048
-
-
-def _default_slices(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(4 * partitions, 16), _MOST_SLICES)
-
-
-def _order_key(order: Sequence[str]) -> Column:
-    """What slices are cut by: all order columns, so that ties in the first spread too."""
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
-
-
-def _slice_bounds(df: DataFrame, key: Column, slices: int) -> list[Column]:
-    keys = df.select(key.alias("k")).where(F.col("k").isNotNull())
-    wanted = slices * _SAMPLES_PER_SLICE
-    share = min(1.0, wanted / max(keys.count(), 1))
-    ranked = [row.k for row in keys.sample(share, 7).orderBy("k").collect()]
-    step = max(len(ranked) // slices, 1)
-    return [_bound(value, keys.schema["k"].dataType) for value in dict.fromkeys(ranked[step::step])]
-
-
-def _bound(value, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.StructType):
-        return F.struct(*[_bound(v, f.dataType).alias(f.name) for v, f in zip(value, dtype)])
-    return F.lit(value).cast(dtype)
-
-
-def _with_slice(rows: DataFrame, key: Column, bounds: list[Column]) -> DataFrame:
-    """Adds the number of bounds at or below ``key``: a binary search over one literal
-    array, a small projection per step so that each stays compiled code. Rows without an
-    order key sort first in Spark and stay in slice 0."""
-    rows = rows.withColumn(_SLICE, F.lit(0))
-    if not bounds:
-        return rows
-    table, here = F.array(*bounds), F.col(_SLICE)
-    for bit in reversed(range(len(bounds).bit_length())):
-        ahead = here + F.lit(1 << bit)
-        # beyond the end there is no bound, and the comparison with NULL fails
-        rows = rows.withColumn(_SLICE, F.when(key >= F.get(table, ahead - 1), ahead).otherwise(here))
-    return rows
-
-
-def _part_of(part: Sequence[str]) -> Column:
-    # a struct is never NULL itself, so rows without a part find their offset too
-    return F.struct(*part) if part else F.struct(F.lit(0).alias("all"))
+# rates are compared as doubles; slices this near to the threshold are looked at too
+_MARGIN = 1e-9
 
 
 def _hot_parts(df: DataFrame, part: Sequence[str]) -> list[int]:
@@ -100,14 +44,6 @@ def _split(outcomes: DataFrame, part: Sequence[str]) -> tuple[DataFrame | None,
     return outcomes.where(~is_hot), outcomes.where(is_hot)
 
 
-def _counted(rows: DataFrame, groups: Sequence[str], order: Sequence[str], failed: str) -> DataFrame:
-    """Items and failures of the group up to each row."""
-    window = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(
-        "*", F.count(F.lit(1)).over(window).alias("_n"), F.count_if(failed).over(window).alias("_f")
-    )
-
-
 def _rated(rows: DataFrame, n: Column, f: Column) -> DataFrame:
     return rows.withColumns(
         {
@@ -119,39 +55,18 @@ def _rated(rows: DataFrame, n: Column, f: Column) -> DataFrame:
 
 
 def _ordinary(rows: DataFrame, part: Sequence[str], order: Sequence[str], failed: str) -> DataFrame:
-    counted = _counted(rows, part, order, failed)
+    window = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.select("*", F.count(F.lit(1)).over(window).alias("_n"), F.count_if(failed).over(window).alias("_f"))
     return _rated(counted, F.col("_n"), F.col("_f")).drop("_n", "_f")
 
 
-def _sliced(
-    outcomes: DataFrame, part: Sequence[str], order: Sequence[str], failed: str, slices: int | None
-) -> DataFrame:
-    key = _order_key(order)
-    bounds = _slice_bounds(outcomes, key, slices or _default_slices(outcomes))
-    # the part columns travel once, inside the struct
-    others = [name for name in outcomes.columns if name not in part]
-    placed = _with_slice(outcomes, key, bounds)
-    rows = placed.select(*others, _part_of(part).alias(_PART), _SLICE)
-    before = Window.partitionBy(_PART).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*_GROUPS)
-        .agg(F.count(F.lit(1)).alias("_n_slice"), F.count_if(failed).alias("_f_slice"))
-        .select(
-            *_GROUPS,
-            F.coalesce(F.sum("_n_slice").over(before), F.lit(0)).alias("_n_before"),
-            F.coalesce(F.sum("_f_slice").over(before), F.lit(0)).alias("_f_before"),
-        )
-    )
-    joined = _counted(rows, _GROUPS, order, failed).join(F.broadcast(offsets), _GROUPS)
-    rated = _rated(joined, F.col("_n") + F.col("_n_before"), F.col("_f") + F.col("_f_before"))
-    return rated.drop("_n", "_f", "_n_before", "_f_before")
+def _counters(failed: str) -> dict[str, tuple[str, Column]]:
+    return {"_n": ("sum", F.lit(1).cast("bigint")), "_f": ("sum", F.coalesce(F.col(failed).cast("bigint"), F.lit(0)))}
 
 
-def _unpacked(outcomes: DataFrame, part: Sequence[str]) -> list[Column]:
-    return [
-        F.col(_PART)[name].alias(name) if name in part else F.col(name)
-        for name in outcomes.columns
-    ]
+def _over_slices(rows: DataFrame, failed: str, fanout: int) -> DataFrame:
+    counted = running(rows, _counters(failed), fanout)
+    return _rated(counted, F.col("_n"), F.col("_f")).drop("_n", "_f")
 
 
 def _union(pieces: list[DataFrame]) -> DataFrame:
@@ -164,6 +79,7 @@ def running_failure_rate(
     order: Sequence[str],
     failed: str,
     slices: int | None = None,
+    fanout: int = FANOUT,
 ) -> DataFrame:
     """Adds ``running_succeeded``, ``running_failed`` and ``running_rate``.
 
@@ -176,22 +92,48 @@ def running_failure_rate(
     if ordinary is not None:
         pieces.append(_ordinary(ordinary, part, order, failed).select(*columns))
     if hot is not None:
-        rates = _sliced(hot, part, order, failed, slices)
-        pieces.append(rates.select(*_unpacked(outcomes, part), *_RATES))
+        pieces.append(_over_slices(sliced(hot, part, order, slices), failed, fanout).select(*columns))
     return _union(pieces)
 
 
-def _tripped(
-    rates: DataFrame, groups: Sequence[str], order: Sequence[str], failed: str, percent: float
-) -> DataFrame:
-    """Adds ``tripped``, and ``_stopped`` for rows after a breach in their group."""
-    trips = F.coalesce(F.col(failed), F.lit(False)) & breaches(
-        "running_succeeded", "running_failed", percent
-    )
-    earlier = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rates.withColumn("tripped", trips).withColumn(
-        "_stopped", F.coalesce(F.max("tripped").over(earlier), F.lit(False))
+def _trips(failed: str, percent: float) -> Column:
+    return F.coalesce(F.col(failed), F.lit(False)) & breaches("running_succeeded", "running_failed", percent)
+
+
+def slice_breaches(rows: DataFrame, failed: str, percent: float, fanout: int = FANOUT) -> DataFrame:
+    """``_part, _slice, _n, _f`` of the slices that may trip, with what came before them.
+
+    A slice is ``(items, failures, peak)``, the peak being the highest excess at one of
+    its failures. Two neighbours join to ``(n + n', f + f', max(peak, excess(n, f) +
+    peak'))``, so it does not matter how slices are grouped.
+    """
+    share = float(percent) - _MARGIN
+    excess = lambda n, f: F.lit(100.0) * f - F.lit(share) * n
+    counted = local(rows, _counters(failed))
+    at_failure = F.when(F.coalesce(F.col(failed), F.lit(False)), excess(F.col("_n"), F.col("_f")))
+    summed = written(
+        counted.groupBy(PART, SLICE).agg(F.max("_n").alias("_n"), F.max("_f").alias("_f"), F.max(at_failure).alias("_peak")), "sums"
     )
+    before = totals_before(summed.drop("_peak"), {"_n": "sum", "_f": "sum"}, fanout)
+    joined = before.join(summed.select(PART, SLICE, "_peak"), [PART, SLICE])
+    return joined.where(excess(F.col("_n"), F.col("_f")) + F.col("_peak") > 0).select(PART, SLICE, "_n", "_f")
+
+
+def _stops(rows: DataFrame, failed: str, percent: float, fanout: int) -> DataFrame:
+    """``_part, _stop``: the row that trips, for parts that have one."""
+    open_ = written(slice_breaches(rows, failed, percent, fanout), "breaches")
+    found: DataFrame | None = None
+    # the first slice decides, unless a rate within a rounding of the threshold misled
+    while not open_.isEmpty():
+        first = open_.groupBy(PART).agg(F.min_by(F.struct(SLICE, "_n", "_f"), SLICE).alias("s")).select(PART, "s.*")
+        offsets = first.withColumnsRenamed({"_n": "_n0", "_f": "_f0"})
+        counted = local(rows.join(offsets, [PART, SLICE]), _counters(failed))
+        rated = _rated(counted, F.col("_n") + F.col("_n0"), F.col("_f") + F.col("_f0"))
+        stops = written(rated.where(_trips(failed, percent)).groupBy(PART).agg(F.min(ROW).alias("_stop")), "stops")
+        found = stops if found is None else found.unionByName(stops)
+        rest = open_.join(stops, PART, "left_anti").join(first, [PART, SLICE], "left_anti")
+        open_ = written(rest, "breaches")
+    return found if found is not None else rows.select(PART, F.col(ROW).alias("_stop")).limit(0)
 
 
 def stop_at_breach(
@@ -201,6 +143,7 @@ def stop_at_breach(
     failed: str,
     percent: float,
     slices: int | None = None,
+    fanout: int = FANOUT,
 ) -> DataFrame:
     """Rows up to and including the first failure that pushes the rate over ``percent``.
 
@@ -208,24 +151,20 @@ def stop_at_breach(
     trip the breaker. Adds ``tripped``, true on the row that ended the run.
     """
     ordinary, hot = _split(outcomes, part)
+    columns = [*outcomes.columns, *_RATES, "tripped"]
     pieces = []
     if ordinary is not None:
-        rates = _ordinary(ordinary, part, order, failed)
-        kept = _tripped(rates, part, order, failed, percent).where(~F.col("_stopped"))
-        pieces.append(kept.select(*outcomes.columns, *_RATES, "tripped"))
+        rates = _ordinary(ordinary, part, order, failed).withColumn("tripped", _trips(failed, percent))
+        earlier = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        marked = rates.withColumn("_stopped", F.coalesce(F.max("tripped").over(earlier), F.lit(False)))
+        pieces.append(marked.where(~F.col("_stopped")).select(*columns))
     if hot is not None:
-        rates = _sliced(hot, part, order, failed, slices)
-        marked = _tripped(rates, _GROUPS, order, failed, percent)
-        earlier = (
-            Window.partitionBy(_PART).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        stopped = (
-            marked.groupBy(*_GROUPS)
-            .agg(F.max("tripped").alias("_trips"))
-            .withColumn("_stopped_before", F.coalesce(F.max("_trips").over(earlier), F.lit(False)))
-            .where("_stopped_before")
-            .select(*_GROUPS)
-        )
-        kept = marked.where(~F.col("_stopped")).join(F.broadcast(stopped), _GROUPS, "left_anti")
-        pieces.append(kept.select(*_unpacked(outcomes, part), *_RATES, "tripped"))
+        rows = sliced(hot, part, order, slices)
+        if percent > 0:
+            stops = _stops(rows, failed, percent, fanout)
+            kept = rows.join(stops, PART, "left").where(F.col("_stop").isNull() | (F.col(ROW) <= F.col("_stop")))
+        else:
+            kept = rows.withColumn("_stop", F.lit(None).cast("bigint"))
+        rates = _over_slices(kept, failed, fanout)
+        pieces.append(rates.withColumn("tripped", F.coalesce(F.col(ROW) == F.col("_stop"), F.lit(False))).select(*columns))
     return _union(pieces)
