@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierdown.llm import line_frequency
+from tierdown.llm import line_frequency, path_templates
 from tierdown.llm.credentials import credential_spans
 from tierdown.llm.difference_cover import removed_passages
 from tierdown.llm.factorization import quality_scores, trained
 from tierdown.llm.line_frequency import drop_boilerplate_lines
 from tierdown.llm.ngram_join import near_duplicates
 from tierdown.llm.page_template import page_texts
+from tierdown.llm.path_templates import judged_urls
 from tierdown.llm.pieces_fst import encoded, load
 from tierdown.llm.quality_cascade import quality_verdicts
 from tierdown.llm.spaced_seeds import leaked_items
@@ -86,3 +87,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return quality_scores(documents, trained(documents, _table(spark, sf_dir, "labels")))
+
+
+@_query
+def op12_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(_table(spark, sf_dir, "pages"))
+
+
+ORACLES["op12_path_templates"] = path_templates.SQL.strip()
