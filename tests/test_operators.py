@@ -347,6 +347,16 @@ def test_breaker_over_one_run_and_switched_off(spark):
     assert op.stop_at_breach(df, [], ["o"], "failed", 0.0).count() == len(rows)
 
 
+def test_nothing_is_frequent_among_no_rows(spark):
+    from tierdown.operators.joins import frequent_keys, skew_safe_join
+
+    empty = spark.createDataFrame([], "k STRING, v INT")
+    assert frequent_keys(empty, "k") == []
+    assert skew_safe_join(empty, empty.select("k"), "k", "left").count() == 0
+    assert op.running_failure_rate(empty.selectExpr("k", "v", "v > 1 AS failed"), ["k"], ["v"], "failed").count() == 0
+    assert op.stop_at_breach(empty.selectExpr("v", "v > 1 AS failed"), [], ["v"], "failed", 5.0).count() == 0
+
+
 # ---- restore -------------------------------------------------------------------------
 
 

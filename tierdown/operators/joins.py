@@ -37,10 +37,13 @@ def frequent_keys(df: DataFrame, key: str, support: float = DEFAULT_SUPPORT) ->
         F.expr(f"approx_top_k_accumulate(`{key}`, {_TRACKED_ITEMS})").alias("sketch"),
     )
     merged = f"approx_top_k_combine(sketch, {_TRACKED_ITEMS})"
-    row = per_group.agg(
+    # grouped, so that no rows give no row: the sketch of nothing cannot be read
+    row = per_group.groupBy(F.lit(0)).agg(
         F.sum("items").alias("total"),
         F.expr(f"approx_top_k_estimate({merged}, {int(1 / support)})").alias("top"),
     ).first()
+    if row is None:
+        return []
     least = max((row.total or 0) * support, 2)
     return [entry["item"] for entry in row.top or [] if entry["count"] >= least]
 

@@ -51,9 +51,12 @@ def slice_count(df: DataFrame) -> int:
     return max(least, math.ceil(df.count() / ROWS_PER_SLICE))
 
 
-def sliced(df: DataFrame, part: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+def sliced(
+    df: DataFrame, part: Sequence[str], order: Sequence[str], slices: int | None = None, leave: Sequence[str] = ()
+) -> DataFrame:
     """``df`` as a written table with ``_part`` (a struct of the part columns), ``_slice``
-    and ``_row``, a number that grows with part and order over the whole table.
+    and ``_row``, a number that grows with part and order over the whole table. The columns
+    ``leave`` serve the order only and are not written.
 
     Rows that are equal in all of ``part`` and ``order`` stay in one slice; columns of the
     same three names are refused by Spark.
@@ -62,7 +65,7 @@ def sliced(df: DataFrame, part: Sequence[str], order: Sequence[str], slices: int
     keys = [*part, *order]
     ordered = df.repartitionByRange(slices or slice_count(df), *keys).sortWithinPartitions(*keys)
     placed = ordered.select("*", part_key(part).alias(PART), F.spark_partition_id().alias(SLICE), F.monotonically_increasing_id().alias(ROW))
-    placed.write.parquet(at)
+    placed.drop(*leave).write.parquet(at)
     return df.sparkSession.read.parquet(at)
 
 
