@@ -158,8 +158,8 @@ def path_verdicts(urls: DataFrame) -> DataFrame:
     first = _written(paths.join(generalised(paths), ["host", "shape"]), "templates")
     second = merged(_summed(first, "host", "template"))
     final = _written(first.join(second, ["host", "template"]).drop("template"), "merged")
-    everything = final.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + F.lit(1.0)) / (F.coalesce(F.sum("labelled"), F.lit(0)) + F.lit(2.0))).alias("prior"))
-    anywhere = _summed(final, "merged").join(F.broadcast(everything))  # one row
+    prior = final.agg((F.coalesce(F.sum("blocked"), F.lit(0)) + F.lit(1.0)) / (F.coalesce(F.sum("labelled"), F.lit(0)) + F.lit(2.0))).first()[0]
+    anywhere = _summed(final, "merged").withColumn("prior", F.lit(prior))
     anywhere = anywhere.select("merged", _smoothed("blocked", "labelled", "prior").alias("share_anywhere"))
     here = _summed(final, "host", "merged").join(anywhere, "merged")
     judged = here.select("host", "merged", _smoothed("blocked", "labelled", "share_anywhere").alias("share"))

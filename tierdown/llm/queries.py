@@ -16,8 +16,10 @@ from tierdown.llm.ngram_join import near_duplicates
 from tierdown.llm.page_template import page_texts
 from tierdown.llm.path_templates import judged_urls
 from tierdown.llm.pieces_fst import encoded, load
+from tierdown.llm.prefix_trie import prefix_nodes
 from tierdown.llm.quality_cascade import quality_verdicts
 from tierdown.llm.spaced_seeds import leaked_items
+from tierdown.llm.structure_repair import repaired_conversations
 from tierdown.llm.warc_segments import archived_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,9 +91,19 @@ def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents, trained(documents, _table(spark, sf_dir, "labels")))
 
 
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_nodes(_table(spark, sf_dir, "conversations"))
+
+
 @_query
 def op12_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(_table(spark, sf_dir, "pages"))
 
 
 ORACLES["op12_path_templates"] = path_templates.SQL.strip()
+
+
+@_query
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(_table(spark, sf_dir, "conversations"))
