@@ -38,7 +38,7 @@ def frequent_keys(df: DataFrame, key: str, support: float = DEFAULT_SUPPORT) ->
     )
     merged = f"approx_top_k_combine(sketch, {_TRACKED_ITEMS})"
     # grouped, so that no rows give no row: the sketch of nothing cannot be read
-    row = per_group.groupBy(F.lit(0)).agg(
+    row = per_group.groupBy(F.lit("all")).agg(
         F.sum("items").alias("total"),
         F.expr(f"approx_top_k_estimate({merged}, {int(1 / support)})").alias("top"),
     ).first()
