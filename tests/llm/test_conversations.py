@@ -220,4 +220,4 @@ def test_two_prefixes_of_one_digest_are_refused(spark, monkeypatch):
     plain = prefix_trie._hashes
     monkeypatch.setattr(prefix_trie, "_hashes", lambda depth, code: [F.lit(5).cast("long"), F.lit(7).cast("long"), plain(depth, code)[2]])
     with pytest.raises(prefix_trie.DigestCollision):
-        prefix_trie.prefix_nodes(spark.createDataFrame([(1, 0, "a", "b"), (2, 0, "a", "c")], SCHEMA))
+        prefix_trie.prefix_nodes(spark.createDataFrame([(c, t, "a", f"{c} {t}") for c in (1, 2) for t in range(5)], SCHEMA))
