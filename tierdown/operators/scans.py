@@ -52,11 +52,12 @@ def slice_count(df: DataFrame) -> int:
 
 
 def sliced(
-    df: DataFrame, part: Sequence[str], order: Sequence[str], slices: int | None = None, leave: Sequence[str] = ()
+    df: DataFrame, part: Sequence[str], order: Sequence[str], slices: int | None = None, kept: Sequence[Column | str] = ("*",)
 ) -> DataFrame:
     """``df`` as a written table with ``_part`` (a struct of the part columns), ``_slice``
-    and ``_row``, a number that grows with part and order over the whole table. The columns
-    ``leave`` serve the order only and are not written.
+    and ``_row``, a number that grows with part and order over the whole table. Of the
+    columns, or of what is made of them, ``kept`` is written; it is worked out after the
+    shuffle, not once more for the sample that the slices are cut by.
 
     Rows that are equal in all of ``part`` and ``order`` stay in one slice; columns of the
     same three names are refused by Spark.
@@ -64,8 +65,8 @@ def sliced(
     at = scratch_dir(df.sparkSession, "slices")
     keys = [*part, *order]
     ordered = df.repartitionByRange(slices or slice_count(df), *keys).sortWithinPartitions(*keys)
-    placed = ordered.select("*", part_key(part).alias(PART), F.spark_partition_id().alias(SLICE), F.monotonically_increasing_id().alias(ROW))
-    placed.drop(*leave).write.parquet(at)
+    placed = ordered.select(*kept, part_key(part).alias(PART), F.spark_partition_id().alias(SLICE), F.monotonically_increasing_id().alias(ROW))
+    placed.write.parquet(at)
     return df.sparkSession.read.parquet(at)
 
 
