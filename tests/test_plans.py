@@ -253,6 +253,7 @@ def test_generation_is_checked(spark, items, tmp_path):
     assert spark.table("current_items").count() == 12
     with pytest.raises(plans.PruneMismatch):
         plans.prune_generation(keep, 13, f"{tmp_path}/g2")
+    assert not Path(f"{tmp_path}/g2").exists() and plans.prune_generation(keep, 12, f"{tmp_path}/g2") == 12
 
 
 def test_a_generation_replaces_nothing(spark, items, tmp_path):
@@ -272,6 +273,107 @@ def test_a_generation_replaces_nothing(spark, items, tmp_path):
     assert spark.read.parquet(source).count() == 41
 
 
+def file_table(spark, items, root, files=8):
+    items.repartitionByRange(files, "ts").write.parquet(root)
+    return {p.name: (p.stat().st_mtime_ns, p.stat().st_size) for p in Path(root).glob("*.parquet")}
+
+
+def test_alive_files_are_left_alone(spark, items, tmp_path):
+    root = f"{tmp_path}/table"
+    before = file_table(spark, items, root)
+    report = plans.prune_files(spark, root, "ts", 240, AS_OF)
+    assert report["pruned"] == len(OLD) and report["kept"] == 12
+    assert report["dead_files"] >= 4 and report["mixed_files"] <= 2 and report["alive_files"] >= 1
+    after = {p.name: (p.stat().st_mtime_ns, p.stat().st_size) for p in Path(root).glob("*.parquet")}
+    assert len(after) == report["alive_files"] and after.items() <= before.items()
+    assert ids(plans.read_snapshot(spark, root, "ts")) == sorted({*range(11), 100})
+    # nothing more expires: no file is written, no snapshot made
+    again = plans.prune_files(spark, root, "ts", 240, AS_OF)
+    assert again["bytes_written"] == again["pruned"] == 0 and again["snapshot"] == report["snapshot"]
+    assert ids(plans.read_snapshot(spark, root, "ts")) == sorted({*range(11), 100})
+
+
+def test_bytes_written_grow_with_what_expires(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, int(id)) AS ts", "sha2(string(id), 256) AS text")
+    written = []
+    for hours in (1, 60, 120):  # the same cutoff within one file, whatever is alive beside it
+        root = f"{tmp_path}/t{hours}"
+        rows.where(f"id < {hours * 160}").repartitionByRange(hours, "id").write.parquet(root)
+        report = plans.prune_files(spark, root, "ts", 24, datetime(2024, 1, 2, 1))
+        assert report["pruned"] == 60 and report["alive_files"] == hours - 1
+        written.append(report["bytes_written"])
+    assert max(written) < 2 * min(written)
+
+
+def test_new_files_and_folders_join_the_table(spark, items, tmp_path):
+    root = f"{tmp_path}/a table"
+    dated = items.selectExpr("*", "cast(ts as date) AS day")
+    dated.where("id < 30").write.partitionBy("day").parquet(root)
+    assert plans.prune_files(spark, root, "ts", 240, AS_OF)["pruned"] == 19
+    dated.where("id >= 30").write.partitionBy("day").mode("append").parquet(root)
+    dated.where("id < 0").drop("day").write.mode("append").parquet(f"{root}/day=2020-01-01")
+    report = plans.prune_files(spark, root, "ts", 240, AS_OF)
+    assert report["pruned"] == 10 and report["kept"] == 12
+    left = plans.read_snapshot(spark, root, "ts", dated.schema)
+    assert ids(left) == sorted({*range(11), 100}) and left.where("day <> cast(ts as date)").count() == 0
+    later = plans.prune_files(spark, root, "ts", 12, AS_OF + timedelta(days=1), dated.schema)
+    assert later["kept"] == 1 and ids(plans.read_snapshot(spark, root, "ts", dated.schema)) == [100]
+
+
+@pytest.mark.parametrize("broken", ["after the copy", "staged", "removal"])
+def test_an_interrupted_run_goes_on(spark, items, tmp_path, monkeypatch, broken):
+    from tierdown.plans import snapshots
+
+    root, copies = f"{tmp_path}/table", [f"{tmp_path}/a", f"{tmp_path}/b"]
+    file_table(spark, items, root)
+    made = []
+    plain_backup, plain_remove = snapshots.backup, snapshots.folders.remove
+    monkeypatch.setattr(snapshots, "backup", lambda *a, **k: made.append(1) or plain_backup(*a, **k))
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    def half(spark, paths):
+        plain_remove(spark, paths[: len(paths) // 2])
+        stop()
+
+    with monkeypatch.context() as patch:
+        if broken == "removal":
+            patch.setattr(snapshots.folders, "remove", half)
+        else:
+            patch.setattr(snapshots, "_stage" if broken == "after the copy" else "_switch", stop)
+        with pytest.raises(RuntimeError, match="lost"):
+            plans.backup_then_prune_files(spark, root, "ts", 240, AS_OF, copies, run_id="r1")
+    if broken != "removal":
+        assert ids(plans.read_snapshot(spark, root, "ts")) == sorted({*range(40), 100})
+    result = plans.backup_then_prune_files(spark, root, "ts", 240, AS_OF, copies, run_id="r1")
+    assert len(made) == 1 and result.metrics["pruned"] == result.metrics["backed_up"] == len(OLD) and result.metrics["kept"] == 12
+    assert ids(plans.read_snapshot(spark, root, "ts")) == sorted({*range(11), 100})
+    assert all(set(ids(spark.read.parquet(c))) == OLD for c in copies)
+    assert len(list(Path(root).glob("*.parquet"))) <= 3
+
+
+def test_files_keep_rows_without_a_proven_copy(spark, items, tmp_path, blocked, monkeypatch):
+    from tierdown.plans import snapshots
+
+    root = f"{tmp_path}/table"
+    file_table(spark, items, root)
+    with pytest.raises(plans.BackupFailed):
+        plans.backup_then_prune_files(spark, root, "ts", 240, AS_OF, [blocked], run_id="r")
+    plain = snapshots.backup
+
+    def partly(rows, destinations, run_id, algorithm):
+        plain(rows.where("id <> 20"), destinations, run_id, algorithm)
+        return [plans.CopyOutcome(d, f"{d}/run_id={run_id}", False, "cut off", 0, 0, 0.0) for d in destinations]
+
+    monkeypatch.setattr(snapshots, "backup", partly)
+    with pytest.raises(plans.ThresholdExceeded):
+        plans.backup_then_prune_files(spark, root, "ts", 240, AS_OF, [f"{tmp_path}/a"], run_id="r", error_threshold_percent=1.0)
+    result = plans.backup_then_prune_files(spark, root, "ts", 240, AS_OF, [f"{tmp_path}/a"], run_id="r")
+    assert result.metrics["pruned"] == len(OLD) - 1 and result.metrics["failed"] == 1
+    assert ids(plans.read_snapshot(spark, root, "ts")) == sorted({*range(11), 20, 100})
+
+
 def test_only_backed_up_rows_may_go(spark, items):
     held = spark.createDataFrame([(n,) for n in (5, 20, 21)], "id BIGINT")
     keep, go = plans.split_for_prune(items, "ts", 240, AS_OF, held, "id")

@@ -11,6 +11,7 @@ from tierdown.catalog.registry import (
     EVENTS_AS_OF,
     EVENTS_CUTOFF,
     HOURS,
+    ORACLES,
     ORDERS_CUTOFF,
     query,
     table,
@@ -24,11 +25,14 @@ from tierdown.plans import (
     archive_table,
     backup,
     backup_then_prune,
+    backup_then_prune_files,
     open_archive,
     point_view,
+    prune_files,
     prune_generation,
     prune_partitions,
     read_copies,
+    read_snapshot,
     restore,
     run_once,
     split_proven,
@@ -278,6 +282,43 @@ def full_cycle(spark, sf_dir):
     return result.to_df(spark)
 
 
+def _event_files(spark: SparkSession, sf_dir: str) -> str:
+    """The events as a folder of files that each hold a span of time."""
+    root = f"{scratch_dir(spark, 'files')}/events"
+    table(spark, sf_dir, "events").repartitionByRange(16, "ts").write.parquet(root)
+    return root
+
+
+@query(
+    "prune_files",
+    f"SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE ts IS NULL OR ts >= {EVENTS_CUTOFF}",
+)
+def prune_by_file(spark, sf_dir):
+    """File by file, in two prunes, the second over the snapshot of the first."""
+    root = _event_files(spark, sf_dir)
+    for as_of in (datetime(2024, 1, 25), EVENTS_AS_OF):
+        prune_files(spark, root, "ts", HOURS, as_of)
+    return read_snapshot(spark, root, "ts").select("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@query("full_cycle_files", ORACLES["full_cycle"])
+def full_cycle_by_file(spark, sf_dir):
+    root = _event_files(spark, sf_dir)
+    base = scratch_dir(spark, "cycle")
+    result = backup_then_prune_files(
+        spark,
+        root,
+        "ts",
+        HOURS,
+        EVENTS_AS_OF,
+        [f"{base}/a", f"{base}/b"],
+        size=F.octet_length("props"),
+        run_id="run-1",
+        error_threshold_percent=10.0,
+    )
+    return result.to_df(spark)
+
+
 @query(
     "run_once",
     f"""

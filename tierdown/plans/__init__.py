@@ -40,10 +40,15 @@ from tierdown.plans.pruning import (
     split_proven,
 )
 
+from tierdown.plans.journal import Journal
+from tierdown.plans.snapshots import FileTable, backup_then_prune_files, prune_files, read_snapshot
+
 __all__ = [
     "BackupFailed",
     "CopyOutcome",
     "CycleResult",
+    "FileTable",
+    "Journal",
     "PolicyError",
     "PruneMismatch",
     "RunCancelled",
@@ -53,15 +58,18 @@ __all__ = [
     "archive_table",
     "backup",
     "backup_then_prune",
+    "backup_then_prune_files",
     "copy_outcomes",
     "fingerprint",
     "open_archive",
     "plan_cycle",
     "point_view",
     "policy_options",
+    "prune_files",
     "prune_generation",
     "prune_partitions",
     "read_copies",
+    "read_snapshot",
     "record_run",
     "refuse_overlap",
     "restore",

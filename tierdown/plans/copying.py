@@ -16,6 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -281,7 +282,9 @@ def read_copies(
             continue
         try:
             held = spark.read.schema(schema).parquet(outcome.path)
-        except Exception:  # nothing was ever written there
-            continue
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # nothing was ever written there
         copies = copies.unionByName(held.withColumn("destination", F.lit(outcome.destination)))
     return copies

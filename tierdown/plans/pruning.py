@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tierdown.functions.age import is_expired, is_retained
 from tierdown.operators.joins import skew_safe_join
 from tierdown.operators.linking import proven_digests, prune_safe, unbacked
+from tierdown.plans import folders
 from tierdown.plans.copying import content_digest
 from tierdown.scratch import scratch_dir
 
@@ -96,6 +97,8 @@ def prune_generation(
     counted.write.mode(mode).option("compression", algorithm).parquet(path)
     items = observation.get["items"]
     if items != expected:
+        # nobody may open it, and the next attempt must find the place free
+        folders.remove(kept.sparkSession, [path])
         raise PruneMismatch(f"expected to keep {expected} rows, wrote {items} to {path}")
     return items
 
@@ -112,16 +115,20 @@ def _any_of(column: str, values: list) -> Column:
     return found if len(known) == len(values) else found | F.col(column).isNull()
 
 
-def _replace_partitions(rows: DataFrame, table: str) -> None:
-    """Replace exactly the partitions that occur in ``rows``."""
-    conf = rows.sparkSession.conf
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = conf.get(setting)
-    conf.set(setting, "dynamic")
-    try:
-        rows.write.mode("overwrite").insertInto(table)
-    finally:
-        conf.set(setting, before)
+def _replace_partitions(staged: DataFrame, path: str, chosen: Column, table: str) -> None:
+    """Replace exactly the partitions that occur in the chosen rows staged at ``path``.
+
+    The setting for that holds for a session, so it is made in one of its own: writers in
+    other threads are not disturbed.
+    """
+    spark = staged.sparkSession
+    own = spark.newSession()
+    own.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    rows = own.read.schema(staged.schema).parquet(path)
+    rows.where(chosen).select(*staged.columns).write.mode("overwrite").insertInto(table)
+    spark.catalog.refreshTable(table)  # this session may know the old files
 
 
 def _literal(value) -> str:
@@ -176,8 +183,7 @@ def prune_partitions(
     rewritten = [v for v in old if 0 < left.get(v, 0) < items[v]]
     dead = [v for v in old if left.get(v, 0) == 0]
     if rewritten:
-        chosen = staged.where(_any_of(partition, rewritten)).select(*df.columns)
-        _replace_partitions(chosen, table)
+        _replace_partitions(staged, stage, _any_of(partition, rewritten), table)
     for start in range(0, len(dead), _PARTITIONS_PER_STATEMENT):
         some = dead[start : start + _PARTITIONS_PER_STATEMENT]
         specs = ", ".join(f"PARTITION (`{partition}` = {_literal(v)})" for v in some)
