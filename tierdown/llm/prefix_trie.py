@@ -51,8 +51,8 @@ def turns(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), role.alias("role"), text.alias("text")
     )
     code = F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256))
-    rows = rows.withColumns({"code": code, "words": F.regexp_count("text", F.lit(WORD)).cast("long")})
-    cut = sliced(rows, ["conv_id"], ["turn", "role", "text"], leave=["turn", "role", "text"])
+    kept = ["conv_id", code.alias("code"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("words")]
+    cut = sliced(rows, ["conv_id"], ["turn", "role", "text"], kept=kept)
     return running(cut, {"at": ("sum", F.lit(1).cast("long"))}).select("conv_id", "at", "code", "words")
 
 
