@@ -1,6 +1,6 @@
 import time
 from collections import Counter
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pytest
@@ -128,6 +128,76 @@ def test_an_interrupted_tick_is_finished_by_the_next_start(spark, source, tmp_pa
         )
 
 
+def stored(root):
+    return {str(p): p.stat().st_size for p in Path(root).rglob("*.parquet")}
+
+
+def test_a_batch_writes_what_came_and_what_is_due(spark, tmp_path):
+    """Ten equal batches of young rows: each writes the same, and a start opens due hours only."""
+    source, cp = f"{tmp_path}/src", f"{tmp_path}/cp"
+    written, seen = [], set()
+
+    def run(days, report=None):
+        streaming.stream_backup(
+            stream_of(spark, source), "ts", 240, START + timedelta(days=days), [f"{tmp_path}/v"], cp, report=report
+        ).awaitTermination()
+
+    for n in range(6):
+        rows = [(100 * n + k, START + timedelta(days=20, hours=k % 5), 1) for k in range(20)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        run(10)
+        young = stored(f"{cp}-tierdown-backup/young")
+        written.append(sum(size for path, size in young.items() if path not in seen))
+        seen.update(young)
+    assert max(written) < 1.2 * min(written)
+    assert len(list(Path(f"{cp}-tierdown-backup/done").iterdir())) <= 3
+    before = stored(f"{cp}-tierdown-backup/young")
+    run(30 + 2.5 / 24)  # the hours 0, 1 and half of 2 are due
+    after = stored(f"{cp}-tierdown-backup/young")
+    late = {p: s for p, s in before.items() if f"slot={int(START.replace(tzinfo=timezone.utc).timestamp()) // 3600 + 20 * 24 + 3}" in p or f"slot={int(START.replace(tzinfo=timezone.utc).timestamp()) // 3600 + 20 * 24 + 4}" in p}
+    assert late and late.items() <= after.items()
+    held = Counter(r.id for r in spark.read.parquet(f"{tmp_path}/v").collect())
+    assert held == Counter(100 * n + k for n in range(6) for k in range(20) if k % 5 <= 2)
+    run(40)
+    held = Counter(r.id for r in spark.read.parquet(f"{tmp_path}/v").collect())
+    assert held == Counter(100 * n + k for n in range(6) for k in range(20))
+    assert not stored(f"{cp}-tierdown-backup/young")
+
+
+@pytest.mark.parametrize("broken", ["hold", "finish", "clear"])
+def test_a_step_that_was_cut_off_is_done_once(spark, tmp_path, monkeypatch, broken):
+    from tierdown.streaming import fanout
+
+    source = f"{tmp_path}/src"
+    spark.createDataFrame([(k, START + timedelta(hours=k), 1) for k in range(30)], SCHEMA).coalesce(1).write.parquet(source)
+
+    def run(hours):
+        streaming.stream_backup(
+            stream_of(spark, source), "ts", 240, START + timedelta(hours=240 + hours), [f"{tmp_path}/v"], f"{tmp_path}/cp"
+        ).awaitTermination()
+
+    def ids():
+        return Counter(r.id for r in spark.read.parquet(f"{tmp_path}/v").collect())
+
+    run(9.5)
+    plain, calls = getattr(fanout._Ledger, broken), []
+
+    def cut(self, *args):
+        if broken != "clear" or calls:
+            raise RuntimeError("lost")
+        calls.append(1)
+        return plain(self, *args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(fanout._Ledger, broken, cut)
+        with pytest.raises(RuntimeError, match="lost"):
+            run(19.5)
+    run(19.5)
+    assert ids() == Counter(range(20))
+    run(500)
+    assert ids() == Counter(range(30))
+
+
 def test_stream_backup_fails_rather_than_skips(spark, source, tmp_path):
     (tmp_path / "blocked").write_text("in the way")
     as_of = START + timedelta(days=30)

@@ -128,6 +128,30 @@ def backup_streams_twice(spark, sf_dir):
     return held.groupBy("run", "event_type").agg(F.count(F.lit(1)).alias("items"), F.sum("event_id").alias("id_sum"))
 
 
+MANY = 6
+
+
+@query(
+    "stream_backup_many_batches",
+    f"""
+    SELECT event_type, count(*) AS items, CAST(sum(event_id) AS BIGINT) AS id_sum, count(DISTINCT event_id) AS ids
+    FROM events WHERE ts < {EVENTS_CUTOFF} GROUP BY ALL
+    """,
+)
+def backup_in_many_batches(spark, sf_dir):
+    """Files that arrive one after the other, each a batch; the cutoff moves twice."""
+    base = scratch_dir(spark, "stream-many")
+    rows = table(spark, sf_dir, "events")
+    rows.repartitionByRange(MANY, "event_id").write.parquet(f"{base}/source")
+    for as_of in (FIRST_AS_OF, EVENTS_AS_OF):
+        stream = event_stream(spark, f"{base}/source", rows.schema, "ts", files_per_batch=1)
+        stream_backup(stream, "ts", HOURS, as_of, [f"{base}/vault"], f"{base}/checkpoint").awaitTermination()
+    held = spark.read.parquet(f"{base}/vault")
+    return held.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("event_id").alias("id_sum"), F.countDistinct("event_id").alias("ids")
+    )
+
+
 TICKS = (datetime(2024, 1, 25), EVENTS_AS_OF)
 
 

@@ -31,16 +31,21 @@ def file_ages(df: DataFrame) -> DataFrame:
     )
 
 
-def event_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str) -> DataFrame:
+def event_stream(
+    spark: SparkSession, path: str, schema: T.StructType, ts: str, files_per_batch: int | None = None
+) -> DataFrame:
     """A file stream whose age column is an instant, as watermarks need it.
 
     Wall-clock columns without a zone are read as UTC. ``path`` may be a folder or
-    one file.
+    one file; ``files_per_batch`` limits what one batch takes.
     """
     # a stream wants a folder or a pattern; this pattern matches just the one name,
     # be it a folder or a single file
     path = path.rstrip("/")
-    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     if isinstance(schema[ts].dataType, T.TimestampType):
         return stream
     wall = F.col(ts).cast("timestamp_ntz")

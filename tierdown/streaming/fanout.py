@@ -2,67 +2,115 @@
 
 from __future__ import annotations
 
+import calendar
+import json
 import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tierdown.functions.age import cutoff, instant_literal
+from tierdown.plans import folders
 from tierdown.plans.copying import BackupFailed, CopyOutcome, backup, copy_outcomes
-from tierdown.plans.pruning import path_exists
 
 _STATE = "tierdown-backup"
+_HOUR = 3600
 
 
-class _Ledger:
-    """What a stream has to remember from batch to batch, beside its checkpoint.
+def _slot_of(ts: str) -> Column:
+    """The hour a row's age falls in, counted from 1970; rows of one hour wait together."""
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(_HOUR * 1_000_000)).cast("long")
+
 
-    ``owner`` names the folders of this stream; ``pending-<n>`` holds the rows that were
-    too young up to step ``n``; ``copies-<n>`` the outcomes of that step. A step writes
-    its own folders anew when it is repeated, and reads those of the step before it.
+class _Ledger:
+    """What a stream has to remember from step to step, beside its checkpoint.
+
+    ``owner`` names the folders of this stream. ``young/slot=<hour>/step=<name>`` holds the
+    rows of one hour that came in one step and wait to get old: a step opens the hours that
+    are due and no others, so it reads and writes what came with it and what expires, however
+    long the stream has run. ``done/<name>`` ends a step: the copies that are still missing,
+    and the hours it used up, which are removed after it (by the next step, if this one is
+    cut off there). Only the last two are kept. ``outcomes/step=<name>`` is a history for
+    people, never read here.
     """
 
     def __init__(self, spark: SparkSession, checkpoint: str):
         self.spark, self.root = spark, f"{checkpoint.rstrip('/')}-{_STATE}"
-        if not path_exists(spark, f"{self.root}/owner"):
+        if not folders.committed(spark, f"{self.root}/owner"):
             row = spark.createDataFrame([(uuid.uuid4().hex[:12],)], "owner string")
-            row.coalesce(1).write.parquet(f"{self.root}/owner")
+            row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/owner")
         self.owner = spark.read.parquet(f"{self.root}/owner").first()[0]
 
-    def steps(self, what: str) -> list[str]:
-        """Names of the steps that ``what`` was written for, oldest first."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.root)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [status.getPath().getName() for status in files.listStatus(root)]
-        done = [n for n in names if n.startswith(f"{what}-") and files.exists(hadoop.Path(root, f"{n}/_SUCCESS"))]
-        return sorted(n.removeprefix(f"{what}-") for n in done)
-
-    def pending(self, before: str, schema: T.StructType) -> DataFrame | None:
-        earlier = [s for s in self.steps("pending") if s < before]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/pending-{earlier[-1]}") if earlier else None
-
-    def failed(self, before: str) -> list[tuple[str, str, str]]:
-        """``(step, destination, path of a good copy)`` of copies that are still missing."""
-        state: dict[tuple[str, str], tuple[bool, str]] = {}
-        for step in self.steps("copies"):
-            if step < before:
-                for row in self.spark.read.parquet(f"{self.root}/copies-{step}").collect():
-                    state[row.run_id, row.destination] = (row.ok, row.path)
-        good = {run: path for (run, _), (ok, path) in state.items() if ok}
-        return [(run, where, good[run]) for (run, where), (ok, _) in sorted(state.items()) if not ok and run in good]
-
-    def record(self, step: str, outcomes: dict[str, list[CopyOutcome]]) -> None:
+    # ---- steps ----
+
+    def last(self) -> str | None:
+        done = [n for n in folders.names(self.spark, f"{self.root}/done") if folders.committed(self.spark, f"{self.root}/done/{n}")]
+        return done[-1] if done else None
+
+    def missing(self) -> list[tuple[str, str, str]]:
+        """``(run, destination, path of a good copy)`` of copies that are still missing."""
+        last = self.last()
+        return [] if last is None else [tuple(m) for m in self._record(last)["missing"]]
+
+    def _record(self, step: str) -> dict:
+        return json.loads(self.spark.read.schema("record string").parquet(f"{self.root}/done/{step}").first().record)
+
+    def finish(self, step: str, missing: list[tuple[str, str, str]], used: list[int]) -> None:
+        row = self.spark.createDataFrame([(json.dumps({"missing": missing, "used": used}),)], "record string")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/done/{step}")
+        self.clear()
+        older = folders.names(self.spark, f"{self.root}/done")[:-2]
+        folders.remove(self.spark, [f"{self.root}/done/{n}" for n in older])
+
+    def clear(self) -> None:
+        """Remove what the last step used up; doing it again changes nothing."""
+        last = self.last()
+        if last is not None:
+            for slot in self._record(last)["used"]:
+                self._remove_steps(slot, lambda name: name != last)
+
+    # ---- young rows ----
+
+    def _slots(self) -> list[int]:
+        return [int(n.removeprefix("slot=")) for n in folders.names(self.spark, f"{self.root}/young") if n.startswith("slot=")]
+
+    def _remove_steps(self, slot: int, which: Callable[[str], bool]) -> None:
+        at = f"{self.root}/young/slot={slot}"
+        steps = [n for n in folders.names(self.spark, at) if n.startswith("step=")]
+        gone = [n for n in steps if which(n.removeprefix("step="))]
+        folders.remove(self.spark, [at] if len(gone) == len(steps) else [f"{at}/{n}" for n in gone])
+
+    def due(self, limit: datetime) -> list[int]:
+        """Hours that began before the limit."""
+        seconds = calendar.timegm(limit.timetuple()) + limit.microsecond / 1e6
+        return [slot for slot in self._slots() if slot * _HOUR < seconds]
+
+    def held(self, slots: list[int], step: str, schema: T.StructType) -> DataFrame | None:
+        """The rows of some hours, without what an earlier attempt of this step left."""
+        for slot in self._slots():
+            self._remove_steps(slot, lambda name: name == step)
+        paths = [f"{self.root}/young/slot={s}" for s in slots]
+        paths = [p for p in paths if folders.exists(self.spark, p)]
+        if not paths:
+            return None
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
+
+    def hold(self, rows: DataFrame, step: str, ts: str) -> None:
+        placed = rows.withColumns({"slot": _slot_of(ts), "step": F.lit(step)})
+        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("slot", "step").parquet(f"{self.root}/young")
+
+    def tell(self, step: str, outcomes: dict[str, list[CopyOutcome]]) -> None:
         rows = None
         for run, found in outcomes.items():
             one = copy_outcomes(self.spark, run, found)
             rows = one if rows is None else rows.unionByName(one)
         if rows is not None:
-            rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/copies-{step}")
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/outcomes/step={step}")
 
 
 def stream_backup(
@@ -80,38 +128,49 @@ def stream_backup(
 
     Each batch writes below a folder named after this stream and the batch, so a replayed
     batch replaces its first attempt, and other streams, or one that lost its checkpoint,
-    write beside it. Rows that are too young wait beside the checkpoint and are looked at
-    again in each batch, and at each start, when ``as_of`` may be later. Rows without an
-    age never expire and are not held. A destination that missed a batch gets it from a
+    write beside it. Rows that are too young wait beside the checkpoint, hour by hour, and an
+    hour is opened when it is due: by a batch, or at a start, when ``as_of`` may be later.
+    Rows without an age never expire and are not held. A destination that missed a batch gets it from a
     good copy in the next batch or start. A batch that no destination could take fails the
     query instead of being skipped; ``report`` gets the outcomes of every batch.
     """
     spark = stream.sparkSession
-    limit = instant_literal(cutoff(as_of, hours), T.TimestampType())
+    ended = cutoff(as_of, hours)
+    limit = instant_literal(ended, T.TimestampType())
     ledger = _Ledger(spark, checkpoint)
 
     def step(rows: DataFrame, name: str, number: int) -> None:
-        held = ledger.pending(name, rows.schema)
+        ledger.clear()
+        if ledger.last() == name:
+            return  # all of it was done; only the stream's own record of it was lost
+        used = ledger.due(ended)
+        held = ledger.held(used, name, rows.schema)
         rows = rows if held is None else rows.unionByName(held)
         outcomes: dict[str, list[CopyOutcome]] = {}
-        for run, where, good in ledger.failed(name):
+        missing = []
+        for run, where, good in ledger.missing():
             source = spark.read.schema(rows.schema).parquet(good)
-            outcomes.setdefault(run, []).extend(backup(source, [where], run, algorithm))
+            again = backup(source, [where], run, algorithm)
+            outcomes.setdefault(run, []).extend(again)
+            missing += [(run, where, good) for o in again if not o.ok]
         run = f"{ledger.owner}-{name}"
         outcomes[run] = backup(rows.where(F.col(ts) < limit), destinations, run, algorithm)
         if report is not None:
             report(number, outcomes[run])
-        if not any(o.ok for o in outcomes[run]):
+        good = [o.path for o in outcomes[run] if o.ok]
+        if not good:
             raise BackupFailed("; ".join(f"{o.destination}: {o.err}" for o in outcomes[run]))
-        rows.where(F.col(ts) >= limit).write.mode("overwrite").parquet(f"{ledger.root}/pending-{name}")
-        ledger.record(name, outcomes)
+        missing += [(run, o.destination, good[0]) for o in outcomes[run] if not o.ok]
+        ledger.hold(rows.where(F.col(ts) >= limit), name, ts)
+        ledger.tell(name, outcomes)
+        ledger.finish(name, missing, used)
 
     # batches are b<number>; what waits at a start is step b<last>.s<count>, after that batch
     # and before the next
-    waiting = ledger.steps("pending")
-    if waiting:
-        last, _, starts = waiting[-1].partition(".s")
-        step(spark.createDataFrame([], stream.schema), f"{last}.s{int(starts or 0) + 1:06d}", -1)
+    last = ledger.last()
+    if last is not None:
+        batch, _, starts = last.partition(".s")
+        step(spark.createDataFrame([], stream.schema), f"{batch}.s{int(starts or 0) + 1:06d}", -1)
 
     def copy(batch: DataFrame, batch_id: int) -> None:
         step(batch, f"b{batch_id:012d}", batch_id)
