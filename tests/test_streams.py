@@ -61,6 +61,28 @@ def test_months_are_not_a_window(spark, source):
         streaming.stream_expire_buckets(stream_of(spark, source), "ts", 240, "monthly")
 
 
+@pytest.mark.parametrize("group_by", ["daily", "weekly", "monthly"])
+def test_finished_buckets_and_late_rows_are_the_batch_answer(spark, tmp_path, group_by):
+    from tierdown.functions import archive_bucket
+    from pyspark.sql import functions as F
+
+    source, out = f"{tmp_path}/src", f"{tmp_path}/out"
+    spans = [range(0, 40), range(30, 70), range(5, 25), range(70, 110), [], range(0, 109, 7)]
+    for n, days in enumerate(spans):
+        rows = [(1000 * n + d, START + timedelta(days=d, hours=n), d) for d in days] + [(900 + n, None, 1)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = event_stream(spark, source, spark.read.parquet(source).schema, "ts", files_per_batch=1)
+        streaming.stream_expire_with_late(stream, "ts", 240, out, f"{tmp_path}/cp", group_by, "size").awaitTermination()
+    finished, late = streaming.finished_buckets(spark, out), streaming.late_rows(spark, out, stream.schema)
+    assert late.count() > 20 and finished.groupBy("bucket").count().where("count > 1").count() == 0
+    got = {tuple(r) for r in streaming.buckets_with_late(finished, late, "ts", group_by, "size").collect()}
+    whole = spark.read.parquet(source).where("ts is not null").withColumn("bucket", archive_bucket("ts", group_by))
+    whole = whole.withColumn("ends", streaming.expiry.bucket_end(F.col("ts"), group_by))
+    limit = START + timedelta(days=109, hours=3) - timedelta(hours=240)
+    expected = whole.where(F.col("ends").cast("timestamp_ntz") <= F.lit(limit)).groupBy("bucket").agg(F.count("id"), F.sum("size"))
+    assert got == {tuple(r) for r in expected.collect()}
+
+
 def test_stream_backup_is_complete_and_survives_a_restart(spark, source, tmp_path):
     targets = [f"{tmp_path}/a", f"{tmp_path}/b"]
     as_of = START + timedelta(days=30)

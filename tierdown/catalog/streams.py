@@ -13,9 +13,13 @@ from tierdown.scratch import scratch_dir
 from tierdown.sources import event_stream
 from tierdown.streaming import (
     buckets_from_days,
+    buckets_with_late,
+    finished_buckets,
+    late_rows,
     run_every,
     stream_backup,
     stream_expire_buckets,
+    stream_expire_with_late,
     write_buckets,
 )
 
@@ -80,6 +84,26 @@ def expire_monthly(spark, sf_dir):
     return buckets_from_days(spark.read.schema(days.schema).parquet(f"{base}/days"), "monthly")
 
 
+@query(
+    "stream_expire_late",
+    _EXPIRED_BUCKETS_SQL.format(start="ts", shape="%Y-%m-%d", unit="day", length="INTERVAL 1 DAY"),
+)
+def expire_late(spark, sf_dir):
+    """A fifth of the rows comes after all others; finished buckets and late rows together
+    are what a batch over everything gives."""
+    base = scratch_dir(spark, "late")
+    rows = table(spark, sf_dir, "events")
+    last = F.col("event_id") % 5 == 0
+    for n, part in enumerate((~last, last)):
+        part = rows.where(part).repartitionByRange(2 - n, "ts")
+        part.write.mode("append").parquet(f"{base}/source")
+    schema = rows.schema
+    stream = event_stream(spark, f"{base}/source", schema, "ts", files_per_batch=1).withColumn("bytes", F.octet_length("props").cast("bigint"))
+    stream_expire_with_late(stream, "ts", HOURS, f"{base}/buckets", f"{base}/checkpoint", "daily", "bytes").awaitTermination()
+    late = late_rows(spark, f"{base}/buckets", stream.schema)
+    return buckets_with_late(finished_buckets(spark, f"{base}/buckets"), late, "ts", "daily", "bytes")
+
+
 @query(
     "stream_backup",
     f"""
