@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierdown.operators.joins import skew_safe_join
+from tierdown.operators.scans import written
 from tierdown.scratch import scratch_dir
 
 LEAST_PAGES = 10
@@ -315,13 +317,11 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, support: fl
         F.first("content").alias("content"),
         F.sum("chars").alias("chars"),
     )
-    # written, since the three parts of a template are taken from it
-    at = scratch_dir(pages.sparkSession, "tokens")
-    tallied.write.parquet(at)
-    tallied = pages.sparkSession.read.parquet(at)
-    totals = numbered.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages")).where(F.col("all_pages") >= least_pages)
+    tallied = written(tallied, "tokens")  # the three parts of a template are taken from it
+    totals = written(numbered.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages")).where(F.col("all_pages") >= least_pages), "hosts")
     framed = tallied.where((F.col("pages") >= least_pages) & (~F.col("is_text") | F.col("on_several")))
-    usual = framed.join(totals, "host").where(F.col("pages") >= F.lit(support) * F.col("all_pages"))
+    # a hot host has tokens without end before the support is asked for
+    usual = skew_safe_join(framed, totals, "host").where(F.col("pages") >= F.lit(support) * F.col("all_pages"))
     # what is left of a host is at most 1 / support times the tokens of a page
     classes = usual.groupBy("host").applyInArrow(_template, "host string, classes array<array<bigint>>")
     slots = tallied.where("is_text and not content").groupBy("host", "path").agg(F.count(F.lit(1)).alias("texts"), F.sum("pages").alias("filled"))
@@ -332,7 +332,14 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, support: fl
         .agg(F.collect_list("path").alias("furniture"))
     )
     inside = F.coalesce(F.sum(F.when(F.col("content"), F.col("chars"))), F.lit(0))
-    articles = tallied.where("is_text").join(totals, "host").where("pages < all_pages or not on_several").groupBy("host").agg((inside * 2 >= F.sum("chars")).alias("in_articles"))
+    # texts on all pages are no slots; summed up by the number of pages before hosts meet
+    by_pages = tallied.where("is_text").groupBy("host", "pages", "on_several").agg(inside.alias("inside"), F.sum("chars").alias("chars"))
+    articles = (
+        by_pages.join(totals, "host")
+        .where("pages < all_pages or not on_several")
+        .groupBy("host")
+        .agg((F.sum("inside") * 2 >= F.sum("chars")).alias("in_articles"))
+    )
     found = totals.select("host").join(classes, "host", "left").join(furniture, "host", "left").join(articles, "host", "left")
     return found.select("host", F.coalesce("classes", F.array()).alias("classes"), F.coalesce("furniture", F.array()).alias("furniture"), F.coalesce("in_articles", F.lit(False)).alias("in_articles"))
 
