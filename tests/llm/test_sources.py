@@ -441,3 +441,12 @@ def test_classifier_learns_and_leaves_held_out_rows(spark):
     nothing = quality_scores(docs, trained(docs.limit(0), labels)).collect()
     assert {r.score for r in nothing} == {0.5}
     assert isinstance(features(next(blocks(pa.array([""])))), Features)
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    again = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string"))).repartition(7)
+    one, other = trained(docs, labels), trained(again, labels)
+    scores = lambda model: {r.doc_id: (r.score, r.predicted) for r in quality_scores(docs, model).collect()}
+    assert scores(one) == scores(other)

@@ -219,27 +219,30 @@ def trained(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
         .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
         .limit(train_rows)
     )
-    # at most train_rows ids, so this side always fits
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    # at most train_rows ids, so this side always fits; of rows that repeat an id the text
+    # with the smallest hash counts, so that no more rows than ids come to the driver
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(2)):
                 f = features(block, bits)
                 parts = lambda values: [values[a:b] for a, b in zip(f.bounds[:-1], f.bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(block.lo, len(block)),
+                        batch.column(1).slice(block.lo, len(block)),
                         pa.array(parts(f.index), pa.list_(pa.int32())),
                         pa.array(parts(f.value), pa.list_(pa.float32())),
                         pa.array(list(f.statistics), pa.list_(pa.float64())),
                     ],
-                    names=["quality", "index", "value", "statistics"],
+                    names=["doc_id", "quality", "index", "value", "statistics"],
                 )
 
-    rows = texts.mapInArrow(extract, "quality int, index array<int>, value array<float>, statistics array<double>").toArrow()
-    # repeated ids can bring more rows than were asked for
-    rows = rows.slice(0, train_rows)
+    row = "doc_id long, quality int, index array<int>, value array<float>, statistics array<double>"
+    # in order of the ids, so that the fit does not depend on how the rows are laid out
+    rows = texts.mapInArrow(extract, row).toArrow().sort_by("doc_id")
     if not len(rows):
         return fitted([], np.zeros(0), bits)
     sample = [
