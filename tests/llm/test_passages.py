@@ -222,3 +222,14 @@ def test_lines_go_by_their_share_of_the_host(spark):
     expected = Counter((f"page {i}\n" + f"\n{rare}" * (i < 2), "big.org", 4 + (i < 2), 2) for i in range(20))
     expected += Counter([(menu, "small.org", 1, 0)] * 3 + [(menu, None, 1, 0), (None, "big.org", 0, 0), ("", "big.org", 1, 0), ("", "big.org", 1, 1)])
     assert got == expected
+
+
+def test_one_of_rows_that_differ_elsewhere(spark):
+    rows = [(1, "a b c d e f g h", f"s{n}") for n in range(4)] + [(None, "a b c d e f g h", "x")] * 3 + [(2, "other words are here to stay", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [{(r.doc_id, r.source) for r in one_of_each(df.repartition(n)).collect()} for n in (1, 5)]
+    assert kept[0] == kept[1] and len(kept[0]) == 2 and (2, "y") in kept[0]
+    lone = spark.createDataFrame([(None, "q w e r t y u", f"{n % 2}") for n in range(6)], "doc_id long, text string, source string")
+    near = lone.unionByName(spark.createDataFrame([(9, "q w e r t y u i", "z")], lone.schema))
+    found = near_duplicates(near).collect()
+    assert len(found) == 7

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from tierdown.llm.components import components
 from tierdown.llm.words import Block, blocks, mixed, window_hashes, window_starts
+from tierdown.operators.joins import skew_safe_join
+from tierdown.operators.scans import written
 from tierdown.scratch import scratch_dir
 
 NGRAM = 5
@@ -167,12 +169,14 @@ def near_duplicates(
     at = scratch_dir(spark, "ngram-candidates")
     dealt.write.parquet(at)
     dealt = spark.read.parquet(at)
-    # one stored text per class: copies that come along are put aside before they are dealt
+    # rows that repeat an id and a text become one before they are shuffled, so that each
+    # print has one text from here on; ids are put so that nulls match as well
+    named_by = ["copy", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
+    stored = keyed.select(*named_by, "text").groupBy("copy", "id", "no_id").agg(F.first("text").alias("text"))
     # the hint gives the same plan at every size: texts are shuffled, never the table sent
-    texts = (
-        keyed.join(dealt.hint("merge"), (keyed.copy == dealt.copy) & keyed.doc_id.eqNullSafe(dealt.doc_id))
-        .select("component", "fp", "size", "parts", "part", "text")
-    )
+    texts = stored.join(
+        dealt.select(*named_by, "component", "fp", "size", "parts", "part").hint("merge"), ["copy", "id", "no_id"]
+    ).select("component", "fp", "size", "parts", "part", "text")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     paired = texts.withColumn("other", other).select(
         "component", "fp", "size", "text", "parts", "part",
@@ -192,8 +196,10 @@ def near_duplicates(
     )
     known = classes.select("fp", "size", "least_id").join(tallied, "fp", "left")
     known = known.select("fp", "least_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "fp").alias("root"))
-    named = known.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    verdicts = known.join(named, "root").select("fp", "root", "class_id", "n_links")
+    known = written(known.withColumn("class", F.hex("root")), "ngram-known")
+    named = known.groupBy("class").agg(F.min("least_id").alias("class_id"))
+    # one class may hold very many prints
+    verdicts = skew_safe_join(known, named, "class").select("fp", "root", "class_id", "n_links")
     return signed.join(verdicts, "fp", "left").select(
         "doc_id",
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -204,16 +210,18 @@ def near_duplicates(
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each class of linked rows: the one with the smallest
-    ``doc_id`` (a null counts as the largest, and of rows with the same id the text with
-    the smallest hash). Rows without n-grams belong to no class and all stay."""
+    ``doc_id`` (a null counts as the largest, of rows with the same id the text with the
+    smallest hash, and of rows with the same text too the one whose columns, written out,
+    have the smallest hash). Rows without n-grams belong to no class and all stay."""
     spark = documents.sparkSession
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
     at = scratch_dir(spark, "ngram-rows")
     # a class appears here once per id and text, with the number of such rows
-    near_duplicates(documents).where("root is not null").groupBy("root", "doc_id", "copy").agg(F.count(F.lit(1)).alias("n")).write.parquet(at)
+    classed = near_duplicates(documents).where("root is not null").withColumn("class", F.hex("root"))
+    classed.groupBy("class", "doc_id", "copy").agg(F.count(F.lit(1)).alias("n")).write.parquet(at)
     rows = spark.read.parquet(at)
-    first = rows.groupBy("root").agg(F.min(rank).alias("first"), F.sum("n").alias("all")).where("all > 1")
-    judged = rows.join(first, "root").select("doc_id", "copy", "n", (rank != F.col("first")).alias("goes"))
+    first = rows.groupBy("class").agg(F.min(rank).alias("first"), F.sum("n").alias("all")).where("all > 1")
+    judged = skew_safe_join(rows, first, "class").select("doc_id", "copy", "n", (rank != F.col("first")).alias("goes"))
     at = scratch_dir(spark, "ngram-dropped")
     judged.where("goes or n > 1").select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"), "goes").write.parquet(at)
     judged = spark.read.parquet(at)
@@ -226,9 +234,13 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     kept = by_row(dropped, "left_anti", documents)
     if repeated.isEmpty():
         return kept
-    return by_row(repeated, "left_anti", kept).unionByName(
-        by_row(repeated, "left_semi", kept).dropDuplicates(["doc_id", "text"])
+    # of rows alike in id and text the one that is written out with the smallest hash
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    alike = by_row(repeated, "left_semi", kept).select(
+        F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__copy"), whole.alias("__row"), F.xxhash64(F.to_json(whole)).alias("__rank")
     )
+    one = alike.groupBy("__doc", "__copy").agg(F.min_by("__row", "__rank").alias("__row")).select("__row.*")
+    return by_row(repeated, "left_anti", kept).unionByName(one)
 
 
 def _linked(ngram: int, similarity: float):
