@@ -242,6 +242,32 @@ def test_unreadable_files_are_reported(spark, tmp_path):
     assert tolerant(spark, "text", root).count() > 0
 
 
+@pytest.mark.parametrize("cut", [3, 200, -1, -4, -9])
+def test_cut_off_streams_are_found(spark, tmp_path, cut):
+    import gzip
+
+    from tierdown.sources import broken_streams, file_inventory, read_with_errors
+    from tierdown.sources.readable import tolerant
+
+    folder = tmp_path / "gz"
+    folder.mkdir()
+    body = "".join(f"line {n} {n * n}\n" for n in range(3000)).encode()
+    whole = gzip.compress(body)
+    (folder / "good.gz").write_bytes(whole)
+    (folder / "two members.gz").write_bytes(gzip.compress(body[:900]) + gzip.compress(body[900:]) + bytes(5))
+    (folder / "empty.gz").write_bytes(b"")
+    (folder / "cut.gz").write_bytes(whole[:cut])
+    hurt = bytearray(whole)
+    hurt[len(hurt) // 2] ^= 255
+    (folder / "hurt.gz").write_bytes(bytes(hurt))
+    (folder / "members.gz").write_bytes(whole + whole[:cut])
+    found = {Path(r.key).name: r.err for r in broken_streams(spark, str(folder)).collect()}
+    assert set(found) == {"cut.gz", "hurt.gz", "members.gz"} and "end" in found["cut.gz"]
+    read = lambda s: tolerant(s, "text", str(folder), schema="value string")
+    _, errors = read_with_errors(file_inventory(spark, str(folder)), read, broken_streams(spark, str(folder)))
+    assert sorted(Path(r.key).name for r in errors.collect()) == ["cut.gz", "hurt.gz", "members.gz"]
+
+
 # ---- prune ---------------------------------------------------------------------------
 
 
@@ -375,8 +401,9 @@ def test_files_keep_rows_without_a_proven_copy(spark, items, tmp_path, blocked,
 
 
 def test_only_backed_up_rows_may_go(spark, items):
-    held = spark.createDataFrame([(n,) for n in (5, 20, 21)], "id BIGINT")
-    keep, go = plans.split_for_prune(items, "ts", 240, AS_OF, held, "id")
+    held = items.where("id in (5, 20, 21, 22)").withColumn("destination", F.lit("a"))
+    held = held.withColumn("text", F.when(F.col("id") == 22, "another text").otherwise(F.col("text")))  # the key alone is there
+    keep, go = plans.split_for_prune(items, "ts", 240, AS_OF, held)
     assert ids(go) == [20, 21]
     assert len(ids(keep)) == 39 and keep.where("ts is null").count() == 1
 
@@ -401,12 +428,15 @@ def test_prune_by_partition(spark, items):
     assert again["pruned"] == 0
 
 
-def test_prune_by_partition_keeps_what_has_no_copy(spark, items):
+def test_prune_by_partition_keeps_what_has_no_copy(spark, items, tmp_path):
     table = partitioned(spark, items, "by_month_safe")
-    held = spark.createDataFrame([(n,) for n in range(0, 40) if n != 35], "id BIGINT")
-    report = plans.prune_partitions(spark, table, "ts", "month", 240, AS_OF, held, "id")
-    assert report == {"dropped_partitions": 0, "rewritten_partitions": 2, "pruned": 28}
-    assert set(ids(spark.table(table))) == set(range(11)) | {35, 100}
+    held = spark.table(table).where("id <> 35").withColumn("destination", F.lit("a"))
+    held = held.withColumn("text", F.when(F.col("id") == 36, "another text").otherwise(F.col("text")))
+    at = f"{tmp_path}/held"
+    held.write.parquet(at)
+    report = plans.prune_partitions(spark, table, "ts", "month", 240, AS_OF, spark.read.parquet(at))
+    assert report == {"dropped_partitions": 0, "rewritten_partitions": 2, "pruned": 27}
+    assert set(ids(spark.table(table))) == set(range(11)) | {35, 36, 100}
 
 
 # ---- whole runs ----------------------------------------------------------------------

@@ -38,7 +38,10 @@ from tierdown.operators import (
     unbacked,
     unread_items,
 )
-from tierdown.sources import POLICY_SCHEMA, file_ages, table_source
+from tierdown.plans.folders import write_bytes
+from tierdown.scratch import scratch_dir
+from tierdown.sources import POLICY_SCHEMA, broken_streams, file_ages, file_inventory, read_with_errors, table_source
+from tierdown.sources.readable import tolerant
 
 TWO_DESTINATIONS = ("s3://vault-a/backup", "s3://vault-b/backup/")
 
@@ -384,14 +387,58 @@ def linted_policies(spark, sf_dir):
     return linted.select("c_custkey", F.array_join("violations", "; ").alias("violations"))
 
 
+def _export_with_faults(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Good files of two formats, and beside them one of each that is cut off or damaged."""
+    base = scratch_dir(spark, "faults")
+    lines = table(spark, sf_dir, "documents").select(F.translate("text", "\r\n", "  ").alias("value"))
+    lines.write.option("compression", "gzip").text(f"{base}/gz/good")
+    table(spark, sf_dir, "nation").repartition(2).write.parquet(f"{base}/parquet/good")
+    for name, fmt in (("gz", "text"), ("parquet", "parquet")):
+        small = table(spark, sf_dir, "region")
+        small = small.select(F.to_json(F.struct("*")).alias("value")) if fmt == "text" else small
+        small.coalesce(1).write.format(fmt).option("compression", "gzip").save(f"{base}/whole-{name}")
+        # a handful of bytes: the file of the smallest table
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{name}").load(f"{base}/whole-{name}")
+        content = bytes(files.first().content)
+        hurt = content[: len(content) // 2] if name == "gz" else content[:4] + bytes(len(content) // 3) + content[4 + len(content) // 3 :]
+        write_bytes(spark, f"{base}/{name}/broken.{name}", hurt)
+    return {name: f"{base}/{name}" for name in ("gz", "parquet")}
+
+
 @query(
     "access_errors",
     """
+    SELECT 'gz' AS format, CAST(1 AS BIGINT) AS errors, 'broken.gz' AS broken, count(*) AS items FROM documents
+    UNION ALL SELECT 'parquet', 1, 'broken.parquet', count(*) FROM nation
+    """,
+)
+def access_errors(spark, sf_dir):
+    """Every file of two folders is read, and one of each is reported; the rows counted are
+    those of files without an error."""
+    found = None
+    for name, path in _export_with_faults(spark, sf_dir).items():
+        fmt = "text" if name == "gz" else "parquet"
+        schema = "value string" if name == "gz" else table(spark, sf_dir, "nation").schema
+        streams = broken_streams(spark, path) if name == "gz" else None
+        read = lambda s, fmt=fmt, schema=schema, path=path: tolerant(s, fmt, path, schema=schema)
+        good, errors = read_with_errors(file_inventory(spark, path), read, streams)
+        rows = good.select(F.col("_metadata.file_path").alias("key")).join(errors.select("key"), "key", "left_anti")
+        both = rows.select(F.lit(None).cast("string").alias("broken")).unionByName(errors.select(F.substring_index("key", "/", -1).alias("broken")))
+        one = both.agg(
+            F.lit(name).alias("format"), F.count("broken").alias("errors"), F.max("broken").alias("broken"), F.count_if(F.col("broken").isNull()).alias("items")
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(
+    "unread_items",
+    """
     SELECT doc_id AS key, 'access' AS operation, 'listed but not readable' AS err
     FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
     """,
 )
-def access_errors(spark, sf_dir):
+def unread(spark, sf_dir):
     listed = table(spark, sf_dir, "documents").select("doc_id")
     return unread_items(listed, table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 

@@ -38,3 +38,13 @@ def remove(spark: SparkSession, paths: Iterable[str]) -> int:
         files, folder = _opened(spark, path)
         removed += bool(files.delete(folder, True))
     return removed
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file, as it is."""
+    files, target = _opened(spark, path)
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()

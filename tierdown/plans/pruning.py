@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tierdown.functions.age import is_expired, is_retained
 from tierdown.operators.joins import skew_safe_join
-from tierdown.operators.linking import proven_digests, prune_safe, unbacked
+from tierdown.operators.linking import proven_digests
 from tierdown.plans import folders
 from tierdown.plans.copying import content_digest
 from tierdown.scratch import scratch_dir
@@ -29,23 +29,16 @@ class PruneMismatch(RuntimeError):
 
 
 def split_for_prune(
-    df: DataFrame,
-    ts: str,
-    hours: float,
-    as_of: datetime,
-    backed_up: DataFrame | None = None,
-    key: str | None = None,
+    df: DataFrame, ts: str, hours: float, as_of: datetime, copies: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(rows to keep, rows that may go).
 
-    With ``backed_up``, an expired row may go only if its ``key`` is among them.
-    Rows without an age, or without a key to prove a copy by, stay.
+    With ``copies`` an expired row may go only if they prove it (``split_proven``); without
+    them age alone decides. Rows without an age stay.
     """
-    old = df.where(is_expired(df, ts, hours, as_of))
-    young = df.where(is_retained(df, ts, hours, as_of))
-    if backed_up is None:
-        return young, old
-    return young.unionByName(unbacked(old, backed_up, key)), prune_safe(old, backed_up, key)
+    if copies is not None:
+        return split_proven(df, ts, hours, as_of, copies)
+    return df.where(is_retained(df, ts, hours, as_of)), df.where(is_expired(df, ts, hours, as_of))
 
 
 def split_proven(
@@ -143,11 +136,12 @@ def prune_partitions(
     partition: str,
     hours: float,
     as_of: datetime,
-    backed_up: DataFrame | None = None,
-    key: str | None = None,
+    copies: DataFrame | None = None,
 ) -> dict[str, int]:
     """Prune a table partitioned by one column; returns what was done.
 
+    With ``copies`` (the columns of the table and ``destination``) only rows go that one
+    destination holds as they are, and as often; a key alone proves nothing.
     Mixed partitions are staged in shared storage, counted, and only then replaced;
     dead ones are dropped last. After a failure at any point the same call finishes
     the work, since expired rows are found again.
@@ -161,14 +155,13 @@ def prune_partitions(
         return report
     touched = df.where(_any_of(partition, list(old)))
     items = {row[partition]: row["items"] for row in touched.groupBy(partition).agg(F.count(F.lit(1)).alias("items")).collect()}
-    if backed_up is None:
+    if copies is None:
         # where all rows are expired nothing can be left, so only mixed partitions are staged
         mixed = [v for v in old if old[v] < items[v]]
         keep = df.where(is_retained(df, ts, hours, as_of))
     else:
         mixed = list(old)
-        aged_rows = df.where(is_expired(df, ts, hours, as_of))
-        keep = df.where(is_retained(df, ts, hours, as_of)).unionByName(unbacked(aged_rows, backed_up, key))
+        keep, _ = split_proven(df, ts, hours, as_of, copies)
     left: dict = {}
     if mixed:
         stage = scratch_dir(spark, "prune-stage")

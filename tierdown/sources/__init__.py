@@ -2,11 +2,12 @@
 
 from tierdown.sources.inventory import file_inventory, object_reader
 from tierdown.sources.policies import POLICY_SCHEMA, read_policies
-from tierdown.sources.readable import decompress_read, read_with_errors
+from tierdown.sources.readable import broken_streams, decompress_read, read_with_errors
 from tierdown.sources.tables import event_stream, file_ages, table_source
 
 __all__ = [
     "POLICY_SCHEMA",
+    "broken_streams",
     "decompress_read",
     "event_stream",
     "file_ages",
