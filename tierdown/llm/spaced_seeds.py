@@ -137,16 +137,20 @@ def _leaks(
     hits = spark.read.parquet(at)
 
     sources = documents.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("same"), "text")
-    met = sources.join(hits, F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("same") == F.col("copy"))).select(
-        "doc_id", "copy", "item", "shift", _words(F.col("text")).alias("words")
+    # a text is taken apart once, however many hits it has; each hit goes on with the words
+    # beside the item only, which are no more than the longest item has
+    by_text = hits.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("item", "shift")).alias("hits"))
+    texts = sources.join(by_text, F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("same") == F.col("copy"))).select(
+        "doc_id", "copy", "hits", _words(F.col("text")).alias("words")
     )
-    met = met.join(items.withColumnRenamed("words", "item_text"), "item")
+    longest = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
     begin = F.greatest(F.lit(0), -F.col("shift"))
-    length = F.least(F.size("item_text"), F.size("words") - F.col("shift")) - begin
+    near = F.slice("words", F.col("shift") + begin + 1, F.lit(longest) - begin)
+    met = texts.select("doc_id", "copy", "words", F.explode("hits").alias("hit")).select("doc_id", "copy", "words", "hit.*")
+    met = met.select("doc_id", "copy", "item", "shift", near.alias("near")).join(items.withColumnRenamed("words", "item_text"), "item")
+    length = F.least(F.size("item_text") - begin, F.size("near"))
     equal = F.zip_with(
-        F.slice("item_text", begin + 1, length),
-        F.slice("words", F.col("shift") + begin + 1, length),
-        lambda a, b: F.when(a == b, 1).otherwise(0),
+        F.slice("item_text", begin + 1, length), F.slice("near", F.lit(1), length), lambda a, b: F.when(a == b, 1).otherwise(0)
     )
     total = lambda values: F.aggregate(values, F.lit(0), lambda x, y: x + y)
     size = F.least(F.lit(run), F.size("item_text"))
