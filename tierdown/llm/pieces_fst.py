@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED_WORDS = 800_000  # per worker; about 200 MB
+REMEMBERED_WORDS = 800_000  # per worker
+REMEMBERED_CHARS = 64  # of a word; longer ones are rarely met again
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # what the published unigram encoder takes off the least score
 
@@ -74,15 +75,20 @@ def _fields(message: bytes) -> Iterator[tuple[int, object]]:
 
 
 class _Remembered(dict):
-    """Ids, as 32-bit numbers, of words without spaces that have a space in front."""
+    """Ids, as 32-bit numbers, of words without spaces that have a space in front. A word of
+    more than ``REMEMBERED_CHARS`` is worked out and forgotten (in texts without spaces a
+    word can be a whole line), so a worker keeps at most about 400 MB, and about 200 MB of
+    words as long as they usually are."""
 
     def __init__(self, machine: Transducer):
         self.machine = machine
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        ids = self[word] = array("i", self.machine.path(" " + word)).tobytes()
+        ids = array("i", self.machine.path(" " + word)).tobytes()
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
     def __reduce__(self):  # what is remembered stays where it is
