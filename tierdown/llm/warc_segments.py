@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tierdown.scratch import scratch_dir
 
-SEGMENT_BYTES = 64 << 10
+SEGMENT_BYTES = 4 << 10  # pages are often longer, so that many are put together from segments
 CHUNK_BYTES = 16 << 10
 RECORDS_PER_FILE = 2000
 DATE = "2024-01-31T00:00:00Z"
