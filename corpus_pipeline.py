@@ -56,7 +56,8 @@ STAGES = [
     ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
-#: SQL has no transducer and no fitted model; the tests compare run() with brute force.
+#: SQL has no transducer and no fitted model; tests/llm/test_pipeline.py compares each
+#: stage of run() with a plain version of it.
 ORACLE_SQL = None
 
 
