@@ -714,3 +714,122 @@ def test_history_of_runs(spark, items, tmp_path, blocked):
     assert (merged.pruned, merged.skipped) == (2 * 29, 2 * 12)
     copies = spark.read.parquet(f"{tmp_path}/history/copies")
     assert copies.where("ok").count() == 2 and copies.where("not ok and err is not null").count() == 2
+
+
+# ---- objects of any size -----------------------------------------------------------------
+
+
+@pytest.fixture
+def tree(tmp_path):
+    """Hidden names, odd names, an empty file, a large one, a young one, a link in a circle."""
+    root = tmp_path / "tree"
+    contents = {
+        ".x/_y/z.bin": os.urandom(10_000),
+        "_hidden": b"hidden",
+        ".dot": b"dot",
+        "a b/100%/é=1.log": b"odd name",
+        "empty": b"",
+        "exact": os.urandom(2048),
+        "big": os.urandom(1_500_000),
+        "young": b"young",
+    }
+    for name, data in contents.items():
+        file = root / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(data)
+        stamp = time.time() - (1 if name == "young" else 48) * 3600
+        os.utime(file, (stamp, stamp))
+    (root / "no files" / "here").mkdir(parents=True)
+    (root / "a b" / "up").symlink_to(root)
+    return str(root), contents
+
+
+def test_a_walk_takes_every_name(spark, tree):
+    from tierdown.sources import walk_objects
+
+    root, contents = tree
+    for spelling in (root, root + "/", "file:" + root, "file://" + root):
+        files, errors = walk_objects(spark, spelling)
+        assert {r.rel_path: r["size"] for r in files.collect()} == {k: len(d) for k, d in contents.items()}
+        assert [(r.key, r.err) for r in errors.collect()] == [("a b/up", "a link to a folder is not followed")]
+    stamps = {r.rel_path: r.us for r in files.select("rel_path", F.unix_micros("mtime").alias("us")).collect()}
+    assert stamps == {k: os.stat(f"{root}/{k}").st_mtime_ns // 1000 for k in contents}
+    files, errors = walk_objects(spark, root + "/not there")
+    assert files.count() == 0 and [(r.key, r.operation) for r in errors.collect()] == [("", "access")]
+
+
+def _files(root):
+    return {str(p.relative_to(root)): p.read_bytes() for p in Path(root).rglob("*") if p.is_file()}
+
+
+@pytest.mark.parametrize("format", ["tar", "tar.gz"])
+def test_objects_go_through_chunks(spark, tree, tmp_path, blocked, format):
+    root, contents = tree
+    options = dict(hours=24, as_of=utc_now(), chunk_bytes=1024, format=format)
+    destinations = [blocked, f"{tmp_path}/v", f"{tmp_path}/w"]
+    outcomes, errors = plans.archive_chunks(spark, root, destinations, "r1", **options)
+    old = {k: d for k, d in contents.items() if k != "young"}
+    assert [o.ok for o in outcomes] == [False, True, True]
+    assert outcomes[1].bytes == outcomes[2].bytes == sum(map(len, old.values()))
+    assert outcomes[1].items == sum(max(1, -(-len(d) // 1024)) for d in old.values())
+    assert [r.key for r in errors.collect()] == ["a b/up"]
+
+    def digest(data):
+        return plans.composed_digest([hashlib.sha256(data[n : n + 1024]).hexdigest() for n in range(0, max(1, len(data)), 1024)])
+
+    manifest = plans.open_manifest(spark, f"{tmp_path}/w").collect()
+    assert {r.rel_path: (r.digest, r.whole) for r in manifest} == {k: (digest(d), True) for k, d in old.items()}
+    written, failed = plans.restore_chunks(spark, f"{tmp_path}/w", f"{tmp_path}/back")
+    assert {r.rel_path: r.digest for r in written.collect()} == {k: digest(d) for k, d in old.items()}
+    assert failed.count() == 0 and _files(f"{tmp_path}/back") == old
+    with pytest.raises(ValueError):
+        plans.archive_chunks(spark, root, [root + "/v"], "r1", **options)
+
+
+def test_the_newest_whole_copy_is_put_back(spark, tree, tmp_path, monkeypatch):
+    root, contents = tree
+    vault, options = f"{tmp_path}/v", dict(hours=24, as_of=utc_now(), chunk_bytes=1024)
+    plans.archive_chunks(spark, root, [vault], "r1", **options)
+    stamp = time.time() - 48 * 3600
+    for name in ("exact", "big"):
+        Path(root, name).write_bytes(contents[name][::-1])
+        os.utime(Path(root, name), (stamp, stamp))
+    # the second run lists the large object, but cannot read all of it
+    from tierdown.plans import objects
+
+    listed = objects.walk_objects
+
+    def shrinks(spark, path):
+        found = listed(spark, path)
+        Path(root, "big").write_bytes(b"cut" * 5000)
+        return found
+
+    monkeypatch.setattr(objects, "walk_objects", shrinks)
+    _, errors = plans.archive_chunks(spark, root, [vault], "r2", **options)
+    assert "big" in [r.key for r in errors.collect()]
+    assert {r.run_id: r.whole for r in plans.open_manifest(spark, vault).where("rel_path = 'big'").collect()} == {"r1": True, "r2": False}
+    plans.restore_chunks(spark, vault, f"{tmp_path}/back")
+    back = _files(f"{tmp_path}/back")
+    assert back["big"] == contents["big"] and back["exact"] == contents["exact"][::-1]
+    plans.restore_chunks(spark, vault, f"{tmp_path}/first", as_of_run="r1")
+    assert _files(f"{tmp_path}/first")["exact"] == contents["exact"]
+
+
+def test_altered_chunks_are_not_put_back(spark, tree, tmp_path):
+    root, contents = tree
+    plans.archive_chunks(spark, root, [f"{tmp_path}/v"], "r1", 24, utc_now(), chunk_bytes=1024)
+    held = spark.read.parquet(f"{tmp_path}/v/chunks/run_id=r1")
+    hit = (F.col("rel_path") == "big") & (F.col("chunk") == 7)
+    other = held.withColumn("content", F.when(hit, F.reverse(F.hex("content")).cast("binary")).otherwise(F.col("content")))
+    other.write.partitionBy("bucket").parquet(f"{tmp_path}/x/chunks/run_id=r1")
+    spark.read.parquet(f"{tmp_path}/v/manifest/run_id=r1").write.parquet(f"{tmp_path}/x/manifest/run_id=r1")
+    _, failed = plans.restore_chunks(spark, f"{tmp_path}/x", f"{tmp_path}/back")
+    assert [(r.key, r.err) for r in failed.collect()] == [("big", "chunk 7 differs from its digest")]
+    back = _files(f"{tmp_path}/back")
+    assert "big" not in back and len(back) == len(contents) - 2 and not [k for k in back if k.endswith(".part")]
+
+
+def test_no_objects(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    outcomes, errors = plans.archive_chunks(spark, f"{tmp_path}/in", [f"{tmp_path}/v"], "r1", 24, utc_now())
+    assert outcomes[0].ok and outcomes[0].items == 0 and errors.count() == 0

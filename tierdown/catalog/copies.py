@@ -20,6 +20,7 @@ from tierdown.catalog.selection import events, old_orders
 from tierdown.functions import archive_bucket
 from tierdown.operators import expired, restore_over, retained
 from tierdown.plans import (
+    archive_chunks,
     archive_objects,
     archive_sizes,
     archive_table,
@@ -27,6 +28,7 @@ from tierdown.plans import (
     backup_then_prune,
     backup_then_prune_files,
     open_archive,
+    open_manifest,
     point_view,
     prune_files,
     prune_generation,
@@ -34,13 +36,14 @@ from tierdown.plans import (
     read_copies,
     read_snapshot,
     restore,
+    restore_chunks,
     run_once,
     split_proven,
     stored_sizes,
     write_compressed,
 )
 from tierdown.scratch import scratch_dir
-from tierdown.sources import decompress_read, file_inventory
+from tierdown.sources import decompress_read, file_inventory, walk_objects
 
 
 def export_documents(spark: SparkSession, sf_dir: str) -> str:
@@ -82,6 +85,50 @@ def object_archive(spark, sf_dir):
     )
 
 
+@query(
+    "walk_hidden",
+    """
+    SELECT CASE WHEN doc_id % 2 = 0 THEN '.even' ELSE '_odd' END AS folder, source,
+           CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes
+    FROM documents GROUP BY ALL
+    """,
+)
+def walk_hidden(spark, sf_dir):
+    """A tree whose folders all have hidden names; the marks and checksums that writers leave
+    beside their files are found as well, and told apart by name."""
+    root = scratch_dir(spark, "objects")
+    docs = table(spark, sf_dir, "documents")
+    for folder, part in ((".even", 0), ("_odd", 1)):
+        lines = docs.where(F.pmod("doc_id", F.lit(2)) == part).select("source", F.translate("text", "\r\n", "  ").alias("value"))
+        lines.hint("rebalance", "source").write.partitionBy("source").text(f"{root}/{folder}/_tables")
+    files, _ = walk_objects(spark, root)
+    parts = files.where(F.col("rel_path").rlike("/part-[^/]*$"))
+    source = F.regexp_extract("rel_path", "/source=([^/]*)/", 1)
+    return parts.groupBy(F.substring_index("rel_path", "/", 1).alias("folder"), source.alias("source")).agg(
+        F.sum("size").cast("bigint").alias("bytes")
+    )
+
+
+@query(
+    "object_chunks",
+    """
+    SELECT source, md5(translate(text, chr(13) || chr(10), '  ')) AS line_md5, count(*) AS lines
+    FROM documents GROUP BY ALL
+    """,
+)
+def object_chunks(spark, sf_dir):
+    """Files cut into chunks of 64 KiB, archived, put together again elsewhere, and read."""
+    root, vault, target = export_documents(spark, sf_dir), scratch_dir(spark, "vault"), scratch_dir(spark, "target")
+    archive_chunks(spark, root, [vault], "run-1", 24.0, datetime(2100, 1, 1), chunk_bytes=64 << 10)
+    written, _ = restore_chunks(spark, vault, target)
+    # what was put back has to be what the manifest says
+    proven = written.join(open_manifest(spark, vault), ["rel_path", "size", "digest"], "left_semi").select("rel_path")
+    lines = spark.read.schema("value string, source string").text(target)
+    key = F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), F.col("_metadata.file_name"))
+    proven_lines = lines.withColumn("rel_path", key).join(proven, "rel_path", "left_semi")
+    return proven_lines.groupBy("source", F.md5("value").alias("line_md5")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query(
     "gzip_roundtrip",
     "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",

@@ -31,6 +31,7 @@ from tierdown.plans.cycle import (
     run_once,
     run_policies,
 )
+from tierdown.plans.objects import archive_chunks, composed_digest, open_manifest, restore_chunks
 from tierdown.plans.pruning import (
     PruneMismatch,
     point_view,
@@ -53,15 +54,18 @@ __all__ = [
     "PruneMismatch",
     "RunCancelled",
     "ThresholdExceeded",
+    "archive_chunks",
     "archive_objects",
     "archive_sizes",
     "archive_table",
     "backup",
     "backup_then_prune",
     "backup_then_prune_files",
+    "composed_digest",
     "copy_outcomes",
     "fingerprint",
     "open_archive",
+    "open_manifest",
     "plan_cycle",
     "point_view",
     "policy_options",
@@ -73,6 +77,7 @@ __all__ = [
     "record_run",
     "refuse_overlap",
     "restore",
+    "restore_chunks",
     "restore_objects",
     "run_once",
     "run_policies",

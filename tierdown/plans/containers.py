@@ -32,7 +32,7 @@ BUCKET = "bucket"
 RUN = "run_id"
 
 
-def _codec(format: str) -> str:
+def codec(format: str) -> str:
     # a plain container is stored plainly, the compressed ones with the same deflate codec
     if format not in FORMAT_EXTENSIONS:
         raise ValueError(f"format must be one of {tuple(FORMAT_EXTENSIONS)}, got {format}")
@@ -57,7 +57,7 @@ def _to_all(
         return spark.read.schema(stored).parquet(path)
 
     def write(rows: DataFrame, path: str) -> None:
-        write_compressed(rows, path, _codec(format), level, partition_by=[BUCKET])
+        write_compressed(rows, path, codec(format), level, partition_by=[BUCKET])
 
     for destination in destinations:
         path = f"{destination.rstrip('/')}/{RUN}={run_id}"

@@ -4,6 +4,7 @@ from tierdown.sources.inventory import file_inventory, object_reader
 from tierdown.sources.policies import POLICY_SCHEMA, read_policies
 from tierdown.sources.readable import broken_streams, decompress_read, read_with_errors
 from tierdown.sources.tables import event_stream, file_ages, table_source
+from tierdown.sources.walk import walk_objects
 
 __all__ = [
     "POLICY_SCHEMA",
@@ -16,4 +17,5 @@ __all__ = [
     "read_policies",
     "read_with_errors",
     "table_source",
+    "walk_objects",
 ]
