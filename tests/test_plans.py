@@ -833,3 +833,58 @@ def test_no_objects(spark, tmp_path):
     (tmp_path / "in").mkdir()
     outcomes, errors = plans.archive_chunks(spark, f"{tmp_path}/in", [f"{tmp_path}/v"], "r1", 24, utc_now())
     assert outcomes[0].ok and outcomes[0].items == 0 and errors.count() == 0
+
+
+# ---- restoring a few keys ----------------------------------------------------------------
+
+
+@pytest.fixture
+def indexed(spark, tmp_path):
+    """Keys scattered over the files, so that ranges alone exclude none of them."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 500 != 3, F.concat(F.lit("k"), F.md5(F.col("id").cast("string")))).alias("k"),
+        F.col("id").alias("v"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 40 * 86_400).cast("timestamp_ntz").alias("ts"),
+    )
+    plans.archive_table(rows, "ts", [f"{tmp_path}/v"], "r1")
+    plans.index_keys(spark, f"{tmp_path}/v", "k", "r1")
+    return rows, f"{tmp_path}/v"
+
+
+def test_only_files_that_can_hold_a_key_are_opened(spark, indexed):
+    rows, vault = indexed
+    wanted = rows.where("v IN (7, 47, 9000)").select("k").unionByName(spark.sql("SELECT * FROM VALUES ('kx'), (NULL), ('kx') AS t(k)"))
+    everything = plans.open_archive(spark, vault).inputFiles()
+    opened = plans.files_for_keys(spark, vault, "k", wanted).collect()
+    assert len(everything) >= 40 and 2 <= len(opened) <= 3
+    back = plans.restore_keys(spark, vault, "k", wanted)
+    assert sorted(r.v for r in back.collect()) == [7, 47, 9000]
+    assert len(back.inputFiles()) == len(opened)
+    assert back.columns == plans.restore(spark, vault, "k").columns
+
+
+def test_no_key_is_lost(spark, indexed):
+    rows, vault = indexed
+    # the whole table is wanted: too many keys for literals
+    back = plans.restore_keys(spark, vault, "k", rows.select("k"))
+    whole = plans.restore(spark, vault, "k").where("k IS NOT NULL")
+    assert back.count() == whole.count() == 19_960 and back.exceptAll(whole).count() == 0
+    assert plans.restore_keys(spark, vault, "k", spark.sql("SELECT 'none of them' AS k")).count() == 0
+    assert plans.restore_keys(spark, vault, "k", rows.limit(0).select("k")).count() == 0
+
+
+def test_runs_without_an_index_are_opened(spark, indexed):
+    rows, vault = indexed
+    again = rows.where("v < 100").withColumn("v", -F.col("v"))
+    plans.archive_table(again, "ts", [vault], "r2")
+    wanted = rows.where("v IN (7, 9000)").select("k")
+    assert sorted((r.v, r.run_id) for r in plans.restore_keys(spark, vault, "k", wanted).collect()) == [(-7, "r2"), (9000, "r1")]
+    assert sorted(r.v for r in plans.restore_keys(spark, vault, "k", wanted, as_of_run="r1").collect()) == [7, 9000]
+    # the first run is written again, with other rows, and its index is of files that are gone
+    plans.archive_table(rows.withColumn("v", F.col("v") + 1), "ts", [vault], "r1")
+    assert sorted(r.v for r in plans.restore_keys(spark, vault, "k", wanted, as_of_run="r1").collect()) == [8, 9001]
+
+
+def test_keys_without_any_index(spark, items, tmp_path):
+    plans.archive_table(items, "ts", [f"{tmp_path}/v"], "r1")
+    assert ids(plans.restore_keys(spark, f"{tmp_path}/v", "id", spark.sql("SELECT 5 AS id"))) == [5]

@@ -27,6 +27,7 @@ from tierdown.plans import (
     backup,
     backup_then_prune,
     backup_then_prune_files,
+    index_keys,
     open_archive,
     open_manifest,
     point_view,
@@ -37,6 +38,7 @@ from tierdown.plans import (
     read_snapshot,
     restore,
     restore_chunks,
+    restore_keys,
     run_once,
     split_proven,
     stored_sizes,
@@ -225,6 +227,31 @@ def restore_latest(spark, sf_dir):
     return newest.select("event_id", "props", "run_id", "bucket")
 
 
+@query(
+    "restore_keys",
+    f"""
+    WITH wanted AS (SELECT max(event_id) AS event_id FROM events WHERE event_type <> 'click' GROUP BY user_id)
+    SELECT event_id, CASE WHEN event_type = 'error' THEN 'again' ELSE props END AS props,
+           CASE WHEN event_type = 'error' THEN '0002' ELSE '0001' END AS run_id,
+           strftime(ts, '%Y-%m-%d') AS bucket
+    FROM events JOIN wanted USING (event_id) WHERE ts < {EVENTS_CUTOFF}
+    """,
+)
+def restore_some_keys(spark, sf_dir):
+    """The last event of each user that is no click, as far as it was archived; the first
+    run is indexed, files of the second one are opened since no index knows them."""
+    df = table(spark, sf_dir, "events")
+    old = expired(df, "ts", HOURS, EVENTS_AS_OF)
+    vault = scratch_dir(spark, "vault")
+    archive_table(old, "ts", [vault], "0001", "daily")
+    index_keys(spark, vault, "event_id", "0001", old.schema)
+    again = old.where("event_type = 'error'").withColumn("props", F.lit("again"))
+    archive_table(again, "ts", [vault], "0002", "daily")
+    wanted = df.where("event_type <> 'click'").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    newest = restore_keys(spark, vault, "event_id", wanted, schema=old.schema)
+    return newest.select("event_id", "props", "run_id", "bucket")
+
+
 @query(
     "restore_over",
     """

@@ -31,6 +31,7 @@ from tierdown.plans.cycle import (
     run_once,
     run_policies,
 )
+from tierdown.plans.keyindex import files_for_keys, index_keys, restore_keys
 from tierdown.plans.objects import archive_chunks, composed_digest, open_manifest, restore_chunks
 from tierdown.plans.pruning import (
     PruneMismatch,
@@ -63,7 +64,9 @@ __all__ = [
     "backup_then_prune_files",
     "composed_digest",
     "copy_outcomes",
+    "files_for_keys",
     "fingerprint",
+    "index_keys",
     "open_archive",
     "open_manifest",
     "plan_cycle",
@@ -78,6 +81,7 @@ __all__ = [
     "refuse_overlap",
     "restore",
     "restore_chunks",
+    "restore_keys",
     "restore_objects",
     "run_once",
     "run_policies",
