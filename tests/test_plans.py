@@ -888,3 +888,92 @@ def test_runs_without_an_index_are_opened(spark, indexed):
 def test_keys_without_any_index(spark, items, tmp_path):
     plans.archive_table(items, "ts", [f"{tmp_path}/v"], "r1")
     assert ids(plans.restore_keys(spark, f"{tmp_path}/v", "id", spark.sql("SELECT 5 AS id"))) == [5]
+
+
+# ---- mending a copy ----------------------------------------------------------------------
+
+
+@pytest.fixture(params=[True, False], ids=["containers", "plain"])
+def copies(request, spark, tmp_path):
+    """Two equal copies with nulls and repeated rows, and the rows they hold."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 50 != 0, F.col("id") % 1900).alias("id"),
+        F.when(F.col("id") % 7 != 0, F.concat(F.lit("text "), F.col("id") % 1900)).alias("text"),
+        (F.lit(AS_OF) - F.make_interval(days=F.col("id") % 10)).cast("timestamp_ntz").alias("ts"),
+    )
+    if request.param:
+        plans.archive_table(rows, "ts", [f"{tmp_path}/a", f"{tmp_path}/b"], "r1")
+    else:
+        plans.backup(rows.repartition(8, "id"), [f"{tmp_path}/a", f"{tmp_path}/b"], "r1")
+    return rows, f"{tmp_path}/a/run_id=r1", f"{tmp_path}/b/run_id=r1"
+
+
+def _stamps(path):
+    return {str(p): (p.stat().st_mtime_ns, p.stat().st_size) for p in Path(path).rglob("*.parquet")}
+
+
+def _holds(spark, path, rows):
+    held = spark.read.parquet(path).select("id", "text", "ts")
+    return held.count() == rows.count() and held.exceptAll(rows).count() == 0
+
+
+def test_an_equal_copy_is_left_alone(spark, copies):
+    rows, good, bad = copies
+    before = _stamps(bad)
+    done = plans.repair_copy(spark, good, bad, rows.schema)
+    assert (done.differing, done.added, done.dropped) == (0, 0, 0) and _stamps(bad) == before
+
+
+def test_only_what_differs_is_mended(spark, copies):
+    rows, good, bad = copies
+    ranges = plans.record_tree(spark, good, rows.schema)
+    one, other = sorted(_stamps(bad))[:2]
+    held = spark.read.parquet(one)
+    altered = held.withColumn("text", F.when(F.col("id") == held.where("id is not null").first().id, "altered").otherwise(F.col("text")))
+    altered.unionByName(altered.limit(3)).coalesce(1).write.parquet(f"{bad}-other")
+    (written,) = Path(f"{bad}-other").glob("*.parquet")
+    Path(one).write_bytes(written.read_bytes())
+    Path(one).with_name(f".{Path(one).name}.crc").unlink(missing_ok=True)
+    Path(other).unlink()
+    before = _stamps(bad)
+    spark.catalog.refreshByPath(bad)
+    done = plans.repair_copy(spark, good, bad, rows.schema)
+    assert 0 < done.differing and ranges == done.ranges
+    assert [Path(f).name for f in done.rewritten] == [Path(one).name] and done.unreadable == ()
+    after = _stamps(bad)
+    assert all(after[f] == before[f] for f in before if f != one) and one not in after
+    assert _holds(spark, bad, rows)
+    assert plans.repair_copy(spark, good, bad, rows.schema).differing == 0
+
+
+def test_files_that_cannot_be_read_are_replaced(spark, copies):
+    rows, good, bad = copies
+    one, other = sorted(_stamps(bad))[:2]
+    for file, content in ((one, b"no parquet at all"), (other, Path(other).read_bytes()[:-30])):
+        Path(file).write_bytes(content)
+        Path(file).with_name(f".{Path(file).name}.crc").unlink(missing_ok=True)
+    done = plans.repair_copy(spark, good, bad, rows.schema)
+    assert len(done.unreadable) == 2 and done.added > 0 and done.dropped == 0
+    assert one not in _stamps(bad) and _holds(spark, bad, rows)
+
+
+def test_a_repair_cut_off_before_the_removal_is_mended(spark, copies, monkeypatch):
+    rows, good, bad = copies
+    spark.read.parquet(sorted(_stamps(bad))[0]).withColumn("text", F.lit("new")).coalesce(1).write.parquet(f"{bad}-other")
+    (written,) = Path(f"{bad}-other").glob("*.parquet")
+    file = Path(sorted(_stamps(bad))[0])
+    file.write_bytes(written.read_bytes())
+    file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    from tierdown.plans import repair
+
+    def stops(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patched:
+        patched.setattr(repair.folders, "remove", stops)
+        with pytest.raises(KeyboardInterrupt):
+            plans.repair_copy(spark, good, bad, rows.schema)
+    spark.catalog.refreshByPath(bad)
+    assert spark.read.parquet(bad).count() > rows.count()
+    plans.repair_copy(spark, good, bad, rows.schema)
+    assert _holds(spark, bad, rows)

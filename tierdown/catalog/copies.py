@@ -36,6 +36,8 @@ from tierdown.plans import (
     prune_partitions,
     read_copies,
     read_snapshot,
+    record_tree,
+    repair_copy,
     restore,
     restore_chunks,
     restore_keys,
@@ -230,7 +232,7 @@ def restore_latest(spark, sf_dir):
 @query(
     "restore_keys",
     f"""
-    WITH wanted AS (SELECT max(event_id) AS event_id FROM events WHERE event_type <> 'click' GROUP BY user_id)
+    WITH wanted AS (SELECT min(event_id) AS event_id FROM events WHERE event_type <> 'click' GROUP BY user_id)
     SELECT event_id, CASE WHEN event_type = 'error' THEN 'again' ELSE props END AS props,
            CASE WHEN event_type = 'error' THEN '0002' ELSE '0001' END AS run_id,
            strftime(ts, '%Y-%m-%d') AS bucket
@@ -238,7 +240,7 @@ def restore_latest(spark, sf_dir):
     """,
 )
 def restore_some_keys(spark, sf_dir):
-    """The last event of each user that is no click, as far as it was archived; the first
+    """The first event of each user that is no click, as far as it was archived; the first
     run is indexed, files of the second one are opened since no index knows them."""
     df = table(spark, sf_dir, "events")
     old = expired(df, "ts", HOURS, EVENTS_AS_OF)
@@ -247,7 +249,7 @@ def restore_some_keys(spark, sf_dir):
     index_keys(spark, vault, "event_id", "0001", old.schema)
     again = old.where("event_type = 'error'").withColumn("props", F.lit("again"))
     archive_table(again, "ts", [vault], "0002", "daily")
-    wanted = df.where("event_type <> 'click'").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    wanted = df.where("event_type <> 'click'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
     newest = restore_keys(spark, vault, "event_id", wanted, schema=old.schema)
     return newest.select("event_id", "props", "run_id", "bucket")
 
@@ -270,6 +272,25 @@ def put_back(spark, sf_dir):
     return after.select("event_id", "ts", "event_type", "props")
 
 
+@query(
+    "repair_copy",
+    ORACLES["archive_roundtrip"],
+)
+def mended_copy(spark, sf_dir):
+    """A second copy with altered errors in one week and without the clicks of another is
+    mended from the first."""
+    old = expired(table(spark, sf_dir, "events"), "ts", HOURS, EVENTS_AS_OF)
+    vault, week = scratch_dir(spark, "vault"), archive_bucket("ts", "weekly")
+    altered = (week == "2024-W02") & (F.col("event_type") == "error")
+    lost = (week == "2024-W01") & (F.col("event_type") == "click")
+    hurt = old.withColumn("props", F.when(altered, F.lit("altered")).otherwise(F.col("props"))).where(~lost)
+    archive_table(old, "ts", [f"{vault}/a"], "run-1", "weekly")
+    archive_table(hurt, "ts", [f"{vault}/b"], "run-1", "weekly")
+    record_tree(spark, f"{vault}/a/run_id=run-1", old.schema)
+    repair_copy(spark, f"{vault}/a/run_id=run-1", f"{vault}/b/run_id=run-1", old.schema)
+    return restore(spark, f"{vault}/b", "event_id", schema=old.schema).drop("run_id")
+
+
 @query(
     "prune_keep",
     f"SELECT event_id, ts, user_id, event_type, value FROM events WHERE ts IS NULL OR ts >= {EVENTS_CUTOFF}",

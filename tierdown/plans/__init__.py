@@ -41,6 +41,7 @@ from tierdown.plans.pruning import (
     split_for_prune,
     split_proven,
 )
+from tierdown.plans.repair import Repair, RepairFailed, record_tree, repair_copy
 
 from tierdown.plans.journal import Journal
 from tierdown.plans.snapshots import FileTable, backup_then_prune_files, prune_files, read_snapshot
@@ -53,6 +54,8 @@ __all__ = [
     "Journal",
     "PolicyError",
     "PruneMismatch",
+    "Repair",
+    "RepairFailed",
     "RunCancelled",
     "ThresholdExceeded",
     "archive_chunks",
@@ -78,7 +81,9 @@ __all__ = [
     "read_copies",
     "read_snapshot",
     "record_run",
+    "record_tree",
     "refuse_overlap",
+    "repair_copy",
     "restore",
     "restore_chunks",
     "restore_keys",

@@ -128,9 +128,14 @@ def _text(field: T.StructField) -> Column:
     return column.cast("string")
 
 
+def row_code(schema: T.StructType) -> Column:
+    """A 64-bit code of a whole row."""
+    return F.xxhash64(*[c for f in schema.fields for c in _codes(f)])
+
+
 def fingerprint_columns(schema: T.StructType, size: str | None = None) -> list[Column]:
     """Aggregates that tell two sets of rows apart, whatever their order."""
-    code = F.xxhash64(*[c for f in schema.fields for c in _codes(f)])
+    code = row_code(schema)
     return [
         F.count(F.lit(1)).alias("items"),
         F.coalesce(F.sum(code.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("code_sum"),
