@@ -249,6 +249,16 @@ def test_merge_keeps_the_first_path_and_adds_up(spark):
     assert tuple(op.merge_results(df).first()) == (10, 13, "p2")
 
 
+def test_merged_errors_are_in_order_of_runs(spark):
+    rows = [(run, "backup", key, ok, "backup", "full", 1) for run in ("2", "1", None) for key, ok in (("b", False), ("a", False), ("c", True), ("d", None))]
+    merged = op.merge_errors(spark.createDataFrame(rows, OUTCOMES).repartition(3)).orderBy("position").collect()
+    assert [(r.position, r.run_id, r.path) for r in merged] == list(
+        (n, run, key) for n, (run, key) in enumerate((run, key) for run in (None, "1", "2") for key in "abd")
+    )
+    assert merged[3].message == "backup failed for a: full"
+    assert op.merge_errors(spark.createDataFrame([], OUTCOMES)).count() == 0
+
+
 # ---- breaker -------------------------------------------------------------------------
 
 

@@ -27,6 +27,7 @@ from tierdown.operators import (
     compression_stats,
     error_counts,
     error_report,
+    merge_errors,
     merge_results,
     phase_rates,
     run_summary,
@@ -275,6 +276,19 @@ def errors(spark, sf_dir):
     return error_report(event_outcomes(spark, sf_dir))
 
 
+@query(
+    "merge_errors",
+    f"""
+    WITH {EVENT_OUTCOMES_SQL}
+    SELECT key AS path, operation, err, operation || ' failed for ' || key || ': ' || err AS message, run_id,
+           row_number() OVER (ORDER BY run_id NULLS FIRST, key NULLS FIRST) - 1 AS position
+    FROM outcomes WHERE NOT ok
+    """,
+)
+def merged_errors(spark, sf_dir):
+    return merge_errors(event_outcomes(spark, sf_dir))
+
+
 @query(
     "error_counts",
     f"""

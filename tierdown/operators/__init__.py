@@ -6,6 +6,7 @@ from tierdown.operators.accounting import (
     compression_stats,
     error_counts,
     error_report,
+    merge_errors,
     merge_results,
     phase_rates,
     run_summary,
@@ -41,6 +42,7 @@ __all__ = [
     "expired",
     "expired_by_policy",
     "latest_copies",
+    "merge_errors",
     "merge_results",
     "overlap_guard",
     "phase_rates",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierdown.functions.rates import breaches, compression_ratio, failure_rate, space_saved
+from tierdown.operators.scans import running, sliced
 
 # Fixed value: the sentence about one failure.
 ERROR_SENTENCE = "%s failed for %s: %s"
@@ -145,8 +146,8 @@ def merge_results(
     return _grouped(results, by).agg(*sums)
 
 
-def error_report(outcomes: DataFrame) -> DataFrame:
-    """Every failure, one row each, with its sentence."""
+def error_report(outcomes: DataFrame, *others: Column | str) -> DataFrame:
+    """Every failure, one row each, with its sentence, and ``others`` if asked for."""
     failures = outcomes.where(~F.coalesce(F.col("ok"), F.lit(False)))
     path = F.col("key").cast("string")
     known = [F.coalesce(part, F.lit("")) for part in (F.col("operation"), path, F.col("err"))]
@@ -155,8 +156,24 @@ def error_report(outcomes: DataFrame) -> DataFrame:
         "operation",
         "err",
         F.format_string(ERROR_SENTENCE, *known).alias("message"),
+        *others,
     )
 
 
+def merge_errors(outcomes: DataFrame, order: Sequence[str] = ("run_id",), within: Sequence[str] = ("key",)) -> DataFrame:
+    """The errors of many runs as one list: those of the first run, then those of the next,
+    each with its ``position`` from 0 on. Within a run they are ordered by ``within``;
+    errors that are equal there come in any order.
+
+    The list stays a table. It is numbered by a sliced running count, so no task sees
+    more than its slice of it.
+    """
+    failures = outcomes.where(~F.coalesce(F.col("ok"), F.lit(False)))
+    keys = [*order, *(name for name in within if name not in order)]
+    rows = sliced(failures, [], keys, kept=[*order, *(c for c in failures.columns if c not in order)])
+    numbered = running(rows, {"position": ("sum", F.lit(1).cast("bigint"))})
+    return error_report(numbered, *order, (F.col("position") - 1).alias("position"))
+
+
 def error_counts(outcomes: DataFrame) -> DataFrame:
     return error_report(outcomes).groupBy("operation").agg(F.count(F.lit(1)).alias("errors"))
