@@ -977,3 +977,20 @@ def test_a_repair_cut_off_before_the_removal_is_mended(spark, copies, monkeypatc
     assert spark.read.parquet(bad).count() > rows.count()
     plans.repair_copy(spark, good, bad, rows.schema)
     assert _holds(spark, bad, rows)
+
+
+def test_only_archived_objects_are_removed(spark, tree, tmp_path):
+    root, contents = tree
+    vault, now = f"{tmp_path}/v", utc_now()
+    with pytest.raises(ValueError):
+        plans.prune_objects(spark, root, [], 24, now)
+    plans.archive_chunks(spark, root, [vault], "r1", 24, now, chunk_bytes=1024)
+    stamp = time.time() - 30 * 3600
+    for name, data in (("late", b"not archived"), ("exact", b"x" * 2048)):
+        Path(root, name).write_bytes(data)
+        os.utime(Path(root, name), (stamp, stamp))
+    removed, unproven, errors = plans.prune_objects(spark, root, [vault], 24, now)
+    assert {r.rel_path: r["size"] for r in removed.collect()} == {k: len(d) for k, d in contents.items() if k not in ("young", "exact")}
+    assert set(_files(root)) == {"young", "late", "exact"} and errors.count() == 0
+    assert plans.prune_objects(spark, root, [vault], 24, now)[0].count() == 0
+    assert sorted(r.rel_path for r in unproven.collect()) == ["exact", "late"]

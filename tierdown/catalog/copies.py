@@ -33,6 +33,7 @@ from tierdown.plans import (
     point_view,
     prune_files,
     prune_generation,
+    prune_objects,
     prune_partitions,
     read_copies,
     read_snapshot,
@@ -122,9 +123,11 @@ def walk_hidden(spark, sf_dir):
 
 @query("object_chunks", _LINES_SQL)
 def object_chunks(spark, sf_dir):
-    """Files cut into chunks of 64 KiB, archived, put together again elsewhere, and read."""
+    """Files cut into chunks of 64 KiB, archived, removed, put together again elsewhere, and read."""
     root, vault, target = export_documents(spark, sf_dir), scratch_dir(spark, "vault"), scratch_dir(spark, "target")
-    archive_chunks(spark, root, [vault], "run-1", 24.0, datetime(2100, 1, 1), chunk_bytes=64 << 10)
+    later = datetime(2100, 1, 1)
+    archive_chunks(spark, root, [vault], "run-1", 24.0, later, chunk_bytes=64 << 10)
+    prune_objects(spark, root, [vault], 24.0, later)
     written, _ = restore_chunks(spark, vault, target)
     # what was put back has to be what the manifest says
     proven = written.join(open_manifest(spark, vault), ["rel_path", "size", "digest"], "left_semi").select("rel_path")

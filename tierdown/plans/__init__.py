@@ -32,7 +32,7 @@ from tierdown.plans.cycle import (
     run_policies,
 )
 from tierdown.plans.keyindex import files_for_keys, index_keys, restore_keys
-from tierdown.plans.objects import archive_chunks, composed_digest, open_manifest, restore_chunks
+from tierdown.plans.objects import archive_chunks, composed_digest, open_manifest, prune_objects, restore_chunks
 from tierdown.plans.pruning import (
     PruneMismatch,
     point_view,
@@ -77,6 +77,7 @@ __all__ = [
     "policy_options",
     "prune_files",
     "prune_generation",
+    "prune_objects",
     "prune_partitions",
     "read_copies",
     "read_snapshot",

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -267,3 +268,58 @@ def restore_chunks(
     written = spark.read.parquet(at)
     failed = written.where("err IS NOT NULL").select(F.col("rel_path").alias("key"), F.lit("restore").alias("operation"), "err")
     return written.where("err IS NULL").drop("err"), refused.unionByName(failed)
+
+
+def _remover(root: str):
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_root(root)
+        for batch in batches:
+            faults = []
+            for key, size, us in zip(*(batch.column(n).to_pylist() for n in ("rel_path", "size", "us"))):
+                path = below(base, key)
+                info = store.get_file_info(path)
+                fault = None
+                if info.type == pafs.FileType.File:
+                    if (info.size, info.mtime_ns // 1000) != (size, us):
+                        fault = "changed since it was listed"
+                    else:
+                        try:
+                            store.delete_file(path)
+                        except OSError as problem:
+                            fault = str(problem).splitlines()[0]
+                # what is gone already was removed by an attempt of this task that was lost
+                faults.append(fault)
+            given = [batch.column(n) for n in ("rel_path", "size")]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(faults, pa.string())], names=["rel_path", "size", "err"])
+
+    return remove
+
+
+def prune_objects(
+    spark: SparkSession, root: str, vaults: Sequence[str], hours: float, as_of: datetime
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Remove the files below ``root`` that are older than the cutoff and archived as they are.
+
+    Returns (files removed: ``rel_path, size``; expired files that stay because no vault
+    holds a whole copy of the same size and time; ``prune`` errors). A file that has
+    changed since it was archived, or since it was listed, stays. Files are removed by
+    tasks; one that a lost task had removed already counts as removed.
+    """
+    files, _ = walk_objects(spark, root)
+    before = (cutoff(as_of, hours) - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    us = F.unix_micros("mtime").alias("us")
+    old = files.select("rel_path", "size", us).where(F.col("us") < before)
+    same = ["rel_path", "size", "us"]
+    proven = None
+    for vault in vaults:
+        whole = open_manifest(spark, vault).where("whole").select("rel_path", "size", us)
+        proven = whole if proven is None else proven.unionByName(whole)
+    if proven is None:
+        raise ValueError("without a vault nothing is proven")
+    at = scratch_dir(spark, "removed")
+    removable = old.join(proven.distinct(), same, "left_semi")
+    removable.mapInArrow(_remover(root), "rel_path string, size long, err string").write.parquet(at)
+    done = spark.read.schema("rel_path string, size long, err string").parquet(at)
+    errors = done.where("err IS NOT NULL").select(F.col("rel_path").alias("key"), F.lit("prune").alias("operation"), "err")
+    unproven = old.join(proven.distinct(), same, "left_anti").select("rel_path", "size")
+    return done.where("err IS NULL").drop("err"), unproven, errors
