@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierdown.llm.components import components
-from tierdown.llm.difference_cover import removed_passages
+from tierdown.llm.difference_cover import _chunked, removed_passages
 from tierdown.llm.line_frequency import drop_boilerplate_lines
 from tierdown.llm.ngram_join import banding, near_duplicates, one_of_each
 from tierdown.llm.quality_cascade import RULES, cascade, measured_order, quality_verdicts
@@ -92,6 +92,16 @@ def test_passages_equal_brute_force(spark, chunk_bytes):
     assert sum(r.n_removed for r in found) > 100
 
 
+def test_repeated_rows_are_spread_over_chunks(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(7, text)] * 60 + [(None, text)] * 60 + [(7, None), (None, ""), (9, text)]
+    df = documents(spark, rows).repartition(12)
+    chunks = _chunked(df, 1 << 24).groupBy("doc_id", "text").agg(F.count_distinct("chunk").alias("n")).collect()
+    assert {(r.doc_id, r.n > 3) for r in chunks if r.text == text} == {(7, True), (None, True), (9, False)}
+    found = removed_passages(df, with_text=True).collect()
+    assert sorted((tuple(r) for r in found), key=str) == removed(rows)
+
+
 def test_passages_of_other_sizes_and_wrong_covers(spark):
     rows = mutated(seed=8)
     found = removed_passages(documents(spark, rows), window=8, period=3, cover=(0, 1), with_text=True).collect()

@@ -134,7 +134,10 @@ def _chunked(documents: DataFrame, chunk_bytes: int) -> DataFrame:
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(2 * partitions, total // chunk_bytes)
     doc_id, text = F.col("doc_id").cast("long"), F.col("text")
-    return documents.select(F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).alias("chunk"), doc_id.alias("doc_id"), "text")
+    # rows that repeat an id and a text go different ways by the task that reads them, so
+    # that no number of them makes a chunk large; a task that is tried again has its number
+    place = F.xxhash64(doc_id, text, F.spark_partition_id())
+    return documents.select(F.pmod(place, F.lit(chunks)).alias("chunk"), doc_id.alias("doc_id"), "text")
 
 
 def _ids(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
