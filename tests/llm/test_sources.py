@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -222,6 +223,21 @@ def test_repeated_rows_and_no_rows_of_an_archive(spark):
     assert archived_pages(df.limit(0)).count() == 0
 
 
+def test_revisits_name_a_record_that_is_there(spark):
+    rows = [(1, "http://h/first", "same"), (2, "http://h/second", "same"), (None, None, "same"), (3, None, "other"), (4, "http://h/4", "other")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    at = scratch_dir(spark, "test-warc")
+    write_archives(df, at)
+    found = []
+    for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(at).collect():
+        found += [headers for headers, _ in records(gzip.decompress(r.content))]
+    stored = {(h["warc-target-uri"], h["warc-date"], h["warc-payload-digest"]) for h in found if h["warc-type"] == "response"}
+    revisits = [h for h in found if h["warc-type"] == "revisit"]
+    named = {(h["warc-refers-to-target-uri"], h["warc-refers-to-date"], h["warc-payload-digest"]) for h in revisits}
+    assert len(stored) == 2 and len(revisits) == 3 and named == stored
+    assert len({h["warc-record-id"] for h in found}) == len(found)
+
+
 def test_broken_archives_are_refused():
     with pytest.raises(ValueError):
         dechunked(b"5\r\nabc\r\n0\r\n\r\n")

@@ -107,10 +107,11 @@ def _record_id(*parts: object) -> str:
 
 
 def segments(
-    page_id: int | None, url: str | None, payload: bytes, number: int, first: tuple[int, int] | None, segment_bytes: int = SEGMENT_BYTES
+    page_id: int | None, url: str | None, payload: bytes, number: int, first: tuple[int, str | None] | None, segment_bytes: int = SEGMENT_BYTES
 ) -> list[bytes]:
-    """The records of one page. ``number`` is this row's own; ``first`` is page and number
-    of the response for this payload, None if no other page has it."""
+    """The records of one page. ``number`` is this row's own; ``first`` is page and url of
+    the response for this payload, None if no other page has it. Revisits name it by its
+    target and date, since no record id is known outside the task that writes it."""
     digest = digest32(payload)
     own = _record_id(page_id, digest, number)
     shared = [
@@ -123,7 +124,7 @@ def segments(
     if first is not None and page_id != first[0]:
         headers = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), *shared, http]
         headers.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-        headers.append(("WARC-Refers-To", _record_id(first[0], digest, first[1])))
+        headers += [("WARC-Refers-To-Target-URI", _one_line(first[1])), ("WARC-Refers-To-Date", DATE)]
         return [record(headers, _HTTP)]
     block = _HTTP + chunked(payload)
     parts = [block[at : at + segment_bytes] for at in range(0, len(block), segment_bytes)]
@@ -154,7 +155,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")
     ).withColumns({"payload": F.sha1(F.encode("html", "UTF-8")), "number": F.monotonically_increasing_id()})
-    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "number"))
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     # payloads of one page need no partner; the table of the others is written, so that
     # Spark knows whether it is small enough to be broadcast
     at = scratch_dir(spark, "warc-copies")
@@ -167,7 +168,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
         for batch in batches:
             for row in range(len(batch)):
                 page_id, url, html, number, first = (column[row].as_py() for column in batch.columns)
-                first = (first["page_id"], first["number"]) if first else None
+                first = (first["page_id"], first["url"]) if first else None
                 built = segments(page_id, url, html.encode("utf-8", "surrogatepass"), number, first, segment_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array(built, pa.binary())], names=["record"])
 
