@@ -408,6 +408,20 @@ def test_only_backed_up_rows_may_go(spark, items):
     assert len(ids(keep)) == 39 and keep.where("ts is null").count() == 1
 
 
+def test_a_proof_is_written_once(spark, items, tmp_path):
+    held = items.where("id in (5, 20, 21, 22)").withColumn("destination", F.lit("a"))
+    held = held.withColumn("text", F.when(F.col("id") == 22, "another text").otherwise(F.col("text")))
+    at = f"{tmp_path}/proven"
+    sizes = {r.id: r.size for r in items.where("id in (20, 21)").collect()}
+    assert plans.write_proven(items, "ts", 240, AS_OF, held, at, "size") == (2, sum(sizes.values()))
+    kept = plans.keep_unproven(items, "ts", 240, AS_OF, spark.read.parquet(at))
+    assert ids(kept) == ids(plans.split_for_prune(items, "ts", 240, AS_OF, held)[0])
+    assert "a" not in {c for c in kept.columns} and kept.columns == items.columns
+    # nothing held proves nothing, and an earlier proof is replaced
+    assert plans.write_proven(items, "ts", 240, AS_OF, held.limit(0), at) == (0, 0)
+    assert plans.keep_unproven(items, "ts", 240, AS_OF, spark.read.parquet(at)).count() == items.count()
+
+
 def partitioned(spark, items, name):
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     df = items.withColumn("month", F.date_format("ts", "yyyy-MM"))

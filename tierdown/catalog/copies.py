@@ -17,7 +17,7 @@ from tierdown.catalog.registry import (
     table,
 )
 from tierdown.catalog.selection import events, old_orders
-from tierdown.functions import archive_bucket
+from tierdown.functions import archive_bucket, is_expired
 from tierdown.operators import expired, restore_over, retained
 from tierdown.plans import (
     archive_chunks,
@@ -71,20 +71,34 @@ def _folder(key: str):
     return F.regexp_extract(key, "^source=([^/]*)/", 1)
 
 
-@query("file_inventory", _EXPORT_SQL)
-def inventory(spark, sf_dir):
-    files = file_inventory(spark, export_documents(spark, sf_dir))
-    return files.groupBy(_folder("rel_path").alias("source")).agg(
-        F.sum("size").cast("bigint").alias("bytes")
-    )
-
-
 _LINES_SQL = """
     SELECT source, md5(translate(text, chr(13) || chr(10), '  ')) AS line_md5, count(*) AS lines
     FROM documents GROUP BY ALL
 """
 
 
+@query(
+    "file_inventory",
+    f"""
+    SELECT e.source, line_md5, lines, bytes, bytes AS expired_bytes, CAST(0 AS BIGINT) AS early_bytes
+    FROM ({_EXPORT_SQL}) e JOIN ({_LINES_SQL}) l ON e.source = l.source
+    """,
+)
+def inventory(spark, sf_dir):
+    """Sizes and ages of the files listed, and the lines that are read below the keys listed."""
+    root = export_documents(spark, sf_dir)
+    files = file_inventory(spark, root).withColumn("source", _folder("rel_path"))
+    late, early = (F.when(is_expired(files, "mtime", 24.0, datetime(year, 1, 1)), F.col("size")).otherwise(0) for year in (2100, 1990))
+    sizes = files.groupBy("source").agg(
+        *[F.sum(c).cast("bigint").alias(name) for name, c in (("bytes", F.col("size")), ("expired_bytes", late), ("early_bytes", early))]
+    )
+    text = spark.read.schema("value string, source string").text(root)
+    key = F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), F.col("_metadata.file_name"))
+    listed = text.withColumn("rel_path", key).join(files.select("rel_path"), "rel_path", "left_semi")
+    each = listed.groupBy("source", F.md5("value").alias("line_md5")).agg(F.count(F.lit(1)).alias("lines"))
+    return each.join(sizes, "source")
+
+
 @query("object_archive", _LINES_SQL)
 def object_archive(spark, sf_dir):
     root, vault = export_documents(spark, sf_dir), scratch_dir(spark, "vault")
@@ -152,16 +166,22 @@ def gzip_roundtrip(spark, sf_dir):
 @query(
     "copy_ratios",
     """
-    SELECT CAST(sum(strlen(text)) AS BIGINT) AS original_bytes, true AS smaller FROM documents
+    SELECT source, md5(text) AS text_md5, count(*) AS items, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS original_bytes,
+           true AS smaller
+    FROM documents GROUP BY ALL
     """,
 )
 def copy_ratios(spark, sf_dir):
+    """The sizes of a compressed copy, beside what the copy holds."""
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.octet_length("text").cast("bigint").alias("bytes")
+        "source", "text", F.octet_length("text").cast("bigint").alias("bytes")
     )
     outcomes = backup(docs, [scratch_dir(spark, "copy")], "run-1", "gzip", 6, "bytes")
-    smaller = F.col("compression_ratio").between(1, 99) & (F.col("space_saved") > 0)
-    return stored_sizes(spark, outcomes).select("original_bytes", smaller.alias("smaller"))
+    ratio = F.col("stored_bytes") * 100 / F.col("original_bytes")
+    smaller = (F.abs(F.col("compression_ratio") - ratio) < 1e-6) & (F.abs(F.col("space_saved") + ratio - 100) < 1e-6) & (ratio < 100)
+    sizes = stored_sizes(spark, outcomes).select("destination", "original_bytes", smaller.alias("smaller"))
+    held = read_copies(spark, outcomes, docs.schema).groupBy("destination", "source", F.md5("text").alias("text_md5"))
+    return held.agg(F.count(F.lit(1)).alias("items")).join(sizes, "destination").drop("destination")
 
 
 @query(
@@ -201,7 +221,9 @@ def archive_roundtrip(spark, sf_dir):
 @query(
     "archive_sizes",
     f"""
-    SELECT strftime(o_orderdate, '%Y-%m') AS bucket, count(*) AS items, true AS stored
+    SELECT strftime(o_orderdate, '%Y-%m') AS bucket, count(*) AS items, true AS stored,
+           CAST(sum(o_orderkey) AS BIGINT) AS key_sum, CAST(min(o_orderkey) AS BIGINT) AS first_key, CAST(max(o_orderkey) AS BIGINT) AS last_key,
+           CAST(bit_xor(o_orderkey) AS BIGINT) AS keys_xor
     FROM orders WHERE o_orderdate < {ORDERS_CUTOFF} GROUP BY 1
     """,
 )
@@ -209,9 +231,17 @@ def container_sizes(spark, sf_dir):
     vault = scratch_dir(spark, "vault")
     old = old_orders(spark, sf_dir)
     archive_table(old, "o_orderdate", [vault], "run-1", "monthly", "tar")
-    sizes = archive_sizes(open_archive(spark, vault, old.schema))
-    stored = (F.col("files") > 0) & (F.col("archive_size") > 0)
-    return sizes.select("bucket", "items", stored.alias("stored"))
+    archive = open_archive(spark, vault, old.schema)
+    sizes = archive_sizes(archive)
+    # what the containers are said to take is what is stored
+    on_disk = file_inventory(spark, vault).agg(F.sum("size")).first()[0]
+    whole = sizes.agg(F.sum("archive_size")).first()[0] == on_disk
+    stored = (F.col("files") > 0) & (F.col("archive_size") > 0) & F.lit(whole)
+    key = F.col("o_orderkey").cast("bigint")
+    held = archive.groupBy("bucket").agg(
+        F.sum(key).alias("key_sum"), F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.bit_xor(key).alias("keys_xor")
+    )
+    return sizes.select("bucket", "items", stored.alias("stored")).join(held, "bucket")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from tierdown.functions import (
     archive_extension,
     archive_name,
     extension_for,
+    is_expired,
     merge_destinations,
     relative_key,
 )
@@ -443,10 +446,22 @@ def unread(spark, sf_dir):
     return unread_items(listed, table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 
 
-@query("table_file_ages", "SELECT count(*) AS items, true AS all_dated FROM lineitem")
+@query(
+    "table_file_ages",
+    """
+    SELECT l_returnflag, count(*) AS items, CAST(sum(l_orderkey) AS BIGINT) AS key_sum, count(*) AS expired_items,
+           CAST(0 AS BIGINT) AS early_items, (SELECT count(*) FROM lineitem) AS file_items
+    FROM lineitem GROUP BY l_returnflag
+    """,
+)
 def table_file_ages(spark, sf_dir):
-    files = file_ages(table(spark, sf_dir, "lineitem"))
-    dated = F.col("mtime").isNotNull() & (F.col("size") > 0)
-    return files.agg(
-        F.sum("items").cast("bigint").alias("items"), F.bool_and(dated).alias("all_dated")
-    )
+    """Rows by the age of the file that holds them: all are old in 2100 and none in 1990."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", F.col("_metadata.file_path").alias("file_path"))
+    files = file_ages(table(spark, sf_dir, "lineitem")).where("size > 0")
+    late, early = (is_expired(files, "mtime", 24.0, datetime(year, 1, 1)) for year in (2100, 1990))
+    dated = rows.join(files.select("file_path", "items", late.alias("late"), early.alias("early")), "file_path")
+    known = files.agg(F.sum("items")).first()[0]
+    return dated.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("l_orderkey").cast("bigint").alias("key_sum"),
+        F.count_if("late").alias("expired_items"), F.count_if("early").alias("early_items"),
+    ).withColumn("file_items", F.lit(known).cast("bigint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierdown.operators.joins import skew_safe_join
@@ -23,16 +23,25 @@ def unbacked(expired_rows: DataFrame, backed_up: DataFrame, key: str) -> DataFra
     return skew_safe_join(expired_rows, _distinct_keys(backed_up, key), key, "left_anti")
 
 
-def proven_digests(old: DataFrame, held: DataFrame, digest: str, destination: str) -> DataFrame:
-    """Digests of expired rows that some destination holds as often as they are needed.
+def proven_counts(old: DataFrame, held: DataFrame, digest: str, destination: str, size: str | Column | None = None) -> DataFrame:
+    """``<digest>, items, amount`` of expired rows that some destination holds as often as
+    they are needed; ``amount`` is the sum of ``size`` over them.
 
     Of rows that are alike a copy must hold as many; where it holds fewer, all of them
     stay. Both sides combine map-side, so a row that repeats very often is one count.
     """
-    needed = old.groupBy(digest).agg(F.count(F.lit(1)).alias("needed"))
+    weight = F.lit(0) if size is None else size
+    needed = old.groupBy(digest).agg(
+        F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(weight), F.lit(0)).cast("bigint").alias("amount")
+    )
     copies = held.groupBy(destination, digest).agg(F.count(F.lit(1)).alias("n"))
     most = copies.groupBy(digest).agg(F.max("n").alias("held"))
-    return needed.join(most, digest).where("held >= needed").select(digest)
+    return needed.join(most, digest).where("held >= items").select(digest, "items", "amount")
+
+
+def proven_digests(old: DataFrame, held: DataFrame, digest: str, destination: str) -> DataFrame:
+    """The digests of ``proven_counts`` alone."""
+    return proven_counts(old, held, digest, destination).select(digest)
 
 
 def unread_items(inventory: DataFrame, read: DataFrame, key: str) -> DataFrame:

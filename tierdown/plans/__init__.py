@@ -35,11 +35,13 @@ from tierdown.plans.keyindex import files_for_keys, index_keys, restore_keys
 from tierdown.plans.objects import archive_chunks, composed_digest, open_manifest, prune_objects, restore_chunks
 from tierdown.plans.pruning import (
     PruneMismatch,
+    keep_unproven,
     point_view,
     prune_generation,
     prune_partitions,
     split_for_prune,
     split_proven,
+    write_proven,
 )
 from tierdown.plans.repair import Repair, RepairFailed, record_tree, repair_copy
 
@@ -70,6 +72,7 @@ __all__ = [
     "files_for_keys",
     "fingerprint",
     "index_keys",
+    "keep_unproven",
     "open_archive",
     "open_manifest",
     "plan_cycle",
@@ -95,4 +98,5 @@ __all__ = [
     "split_proven",
     "stored_sizes",
     "write_compressed",
+    "write_proven",
 ]

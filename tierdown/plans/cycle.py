@@ -26,7 +26,8 @@ from tierdown.plans.copying import (
     refuse_overlap,
     source_folders,
 )
-from tierdown.plans.pruning import interrupted, path_exists, prune_generation, split_proven
+from tierdown.plans.pruning import interrupted, keep_unproven, path_exists, prune_generation, write_proven
+from tierdown.scratch import scratch_dir
 
 COUNTERS = (
     "succeeded", "failed", "skipped", "backed_up", "pruned", "kept", "copies", "total_bytes",
@@ -147,7 +148,7 @@ def backup_then_prune(
     metrics["skipped"] = counts["total"] - counts["old"]
     result = CycleResult(run_id, metrics)
 
-    backed_up: DataFrame | None = None
+    complete, proven = not enable_backup, None
     if enable_backup:
         if not destinations:
             raise ValueError("a backup destination is required when backup is on")
@@ -162,14 +163,10 @@ def backup_then_prune(
             safe, safe_bytes = counts["old"], counts["bytes"]
         elif key is None:
             safe, safe_bytes = 0, 0
-            backed_up = old.where(F.lit(False))
         else:
             backed_up = read_copies(spark, result.copies, df.schema, only_good=False)
-            amount = F.lit(0) if size is None else F.col(size)
-            row = split_proven(df, ts, hours, as_of, backed_up)[1].agg(
-                F.count(F.lit(1)), F.coalesce(F.sum(amount), F.lit(0)).cast("bigint")
-            ).first()
-            safe, safe_bytes = row[0], row[1]
+            proven = scratch_dir(spark, "proven")
+            safe, safe_bytes = write_proven(df, ts, hours, as_of, backed_up, proven, size)
         metrics["copies"] = sum(c.ok for c in result.copies)
         metrics["succeeded"] = metrics["backed_up"] = safe
         metrics["failed"] = counts["old"] - safe
@@ -183,11 +180,11 @@ def backup_then_prune(
             raise BackupFailed(f"all backups failed: {errors}")
 
     _stop_if_asked(should_stop, "the prune")
-    if backed_up is None or prune_unbacked:
+    if complete or prune_unbacked:
         kept = retained(df, ts, hours, as_of)
         expected = counts["total"] - counts["old"]
     else:
-        kept, _ = split_proven(df, ts, hours, as_of, backed_up)
+        kept = df if proven is None else keep_unproven(df, ts, hours, as_of, spark.read.parquet(proven))
         expected = counts["total"] - metrics["backed_up"]
     metrics["kept"] = prune_generation(kept, expected, kept_path)
     metrics["pruned"] = counts["total"] - metrics["kept"]

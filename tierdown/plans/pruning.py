@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tierdown.functions.age import is_expired, is_retained
 from tierdown.operators.joins import skew_safe_join
-from tierdown.operators.linking import proven_digests
+from tierdown.operators.linking import proven_counts, proven_digests
 from tierdown.plans import folders
 from tierdown.plans.copying import content_digest
 from tierdown.scratch import scratch_dir
@@ -49,12 +49,39 @@ def split_proven(
     ``copies`` has the columns of ``df`` and ``destination``. An expired row may go only
     if one destination holds rows with exactly its content, and as many of them.
     """
+    old, held = _digested(df, ts, hours, as_of, copies)
+    proven = proven_digests(old, held, "_digest", "destination")
+    goes = skew_safe_join(old, proven, "_digest", "left_semi").select(*df.columns)
+    return keep_unproven(df, ts, hours, as_of, proven), goes
+
+
+def _digested(df: DataFrame, ts: str, hours: float, as_of: datetime, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
     digest = content_digest(df.schema)
-    old = df.where(is_expired(df, ts, hours, as_of)).withColumn("_digest", digest)
-    proven = proven_digests(old, copies.withColumn("_digest", digest), "_digest", "destination")
-    young = df.where(is_retained(df, ts, hours, as_of))
-    stays = skew_safe_join(old, proven, "_digest", "left_anti").select(*df.columns)
-    return young.unionByName(stays), skew_safe_join(old, proven, "_digest", "left_semi").select(*df.columns)
+    return df.where(is_expired(df, ts, hours, as_of)).withColumn("_digest", digest), copies.withColumn("_digest", digest)
+
+
+def write_proven(
+    df: DataFrame, ts: str, hours: float, as_of: datetime, copies: DataFrame, path: str, size: str | Column | None = None
+) -> tuple[int, int]:
+    """Writes ``proven_counts`` of ``split_proven`` to ``path``; returns the number of rows that
+    may go and the sum of ``size`` over them.
+
+    Copies are read, digested and matched once. What is counted here and what
+    ``keep_unproven`` leaves out afterwards come from the same table, whatever becomes of
+    the copies in between.
+    """
+    old, held = _digested(df, ts, hours, as_of, copies)
+    observation = Observation()
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name)
+    proven_counts(old, held, "_digest", "destination", size).observe(observation, total("items"), total("amount")).write.mode("overwrite").parquet(path)
+    return observation.get["items"], observation.get["amount"]
+
+
+def keep_unproven(df: DataFrame, ts: str, hours: float, as_of: datetime, proven: DataFrame) -> DataFrame:
+    """Rows that are not expired, and expired rows whose content is not in ``proven``."""
+    old = df.where(is_expired(df, ts, hours, as_of)).withColumn("_digest", content_digest(df.schema))
+    stays = skew_safe_join(old, proven.select("_digest"), "_digest", "left_anti").select(*df.columns)
+    return df.where(is_retained(df, ts, hours, as_of)).unionByName(stays)
 
 
 def interrupted(spark: SparkSession, path: str) -> bool:

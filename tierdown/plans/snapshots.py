@@ -33,7 +33,8 @@ from tierdown.plans import folders
 from tierdown.plans.copying import BackupFailed, CopyOutcome, backup, read_copies, refuse_overlap
 from tierdown.plans.cycle import COUNTERS, CycleResult, ThresholdExceeded, new_run_id
 from tierdown.plans.journal import Journal
-from tierdown.plans.pruning import PruneMismatch, split_proven
+from tierdown.plans.pruning import PruneMismatch, interrupted, keep_unproven, path_exists, write_proven
+from tierdown.scratch import scratch_dir
 from tierdown.sources.inventory import file_inventory
 
 STATE = "_tierdown"
@@ -273,18 +274,20 @@ def backup_then_prune_files(
         rows = table.read(going)
         return rows.where(is_expired(rows, ts, hours, as_of))
 
+    def prove(outcomes: list[CopyOutcome], path: str) -> tuple[int, int]:
+        held = read_copies(spark, outcomes, table.schema, only_good=False)
+        return write_proven(table.read(going), ts, hours, as_of, held, path, size)
+
     def copy() -> dict:
         outcomes = backup(expired_rows(), destinations, run_id, algorithm)
         safe, stays = found["expired"], found["stays_in_mixed"]
         amount = F.coalesce(F.sum(weight), F.lit(0)).cast("bigint")
-        complete = any(o.ok and o.items == found["expired"] for o in outcomes)
+        complete, proven = any(o.ok and o.items == found["expired"] for o in outcomes), None
         if complete:
             moved = expired_rows().agg(amount).first()[0]
         else:
-            rows = table.read(going)
-            held = read_copies(spark, outcomes, table.schema, only_good=False)
-            gone = split_proven(rows, ts, hours, as_of, held)[1].agg(F.count(F.lit(1)), amount).first()
-            safe, moved = gone[0], gone[1]
+            proven = scratch_dir(spark, "proven")
+            safe, moved = prove(outcomes, proven)
             stays += found["expired"] - safe
         metrics = _metrics(found, outcomes, safe, moved)
         # a run that fails here has no record of this step, so that its next attempt copies anew
@@ -292,7 +295,7 @@ def backup_then_prune_files(
             raise ThresholdExceeded(CycleResult(run_id, metrics, outcomes), error_threshold_percent)
         if found["expired"] and not safe:
             raise BackupFailed("; ".join(f"{o.destination}: {o.err}" for o in outcomes))
-        return {"outcomes": [asdict(o) for o in outcomes], "complete": complete, "metrics": metrics, "stays": stays}
+        return {"outcomes": [asdict(o) for o in outcomes], "proven": proven, "complete": complete, "metrics": metrics, "stays": stays}
 
     copied = journal.once("copied", copy)
     metrics, outcomes = copied["metrics"], [CopyOutcome(**o) for o in copied["outcomes"]]
@@ -301,8 +304,11 @@ def backup_then_prune_files(
     def kept() -> DataFrame | None:
         if copied["complete"]:
             return _kept_of_mixed(table, found, hours, as_of)
-        held = read_copies(spark, outcomes, table.schema, only_good=False)
-        return split_proven(table.read(going), ts, hours, as_of, held)[0]
+        proven = copied.get("proven") or scratch_dir(spark, "proven")
+        # the shared folder may have been cleared since
+        if not path_exists(spark, proven) or interrupted(spark, proven):
+            prove(outcomes, proven)
+        return keep_unproven(table.read(going), ts, hours, as_of, spark.read.parquet(proven))
 
     report = _pruned(table, journal, found, kept, copied["stays"])
     metrics["pruned"], metrics["kept"] = report["pruned"], report["kept"]
