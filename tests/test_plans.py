@@ -189,6 +189,62 @@ def test_inventory(spark, folder):
     assert "content" not in plan.split("ReadSchema")[-1]
 
 
+def most_rows_dealt(df):
+    """(rows of the result, most rows that one exchange of its plan wrote), without broadcasts."""
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = df.collect()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    written, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            written.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        nodes += [node.children().apply(n) for n in range(node.children().size())]
+    return rows, max(written)
+
+
+def test_rows_are_summed_by_file_before_they_meet_its_age(spark, tmp_path):
+    from tierdown.catalog import QUERIES
+
+    flags, table = ("A", "N", None), tmp_path / "lineitem.parquet"
+    rows = [(None if n % 7 == 0 else n % 50, flags[n % 3]) for n in range(6000)] + [(None, "keyless")] * 3
+    spark.createDataFrame(rows, "l_orderkey BIGINT, l_returnflag STRING").repartition(4).write.parquet(str(table))
+    first, *others = sorted(table.glob("*.parquet"))
+    old = spark.read.parquet(str(first)).collect()
+    assert len(others) == 3 and old
+    os.utime(first, (86400 * 3653, 86400 * 3653))  # early in 1980
+    expected = {
+        flag: (len(keys), sum(k for k in keys if k is not None) if any(k is not None for k in keys) else None,
+               len(keys), sum(r.l_returnflag == flag for r in old), len(rows))
+        for flag in (*flags, "keyless")
+        for keys in [[k for k, f in rows if f == flag]]
+    }
+    found, dealt = most_rows_dealt(QUERIES["table_file_ages"](spark, str(tmp_path)))
+    assert {r.l_returnflag: (r["items"], r.key_sum, r.expired_items, r.early_items, r.file_items) for r in found} == expected
+    # a file's rows come to one row for each flag and task, however many they are
+    assert dealt <= 4 * 4 * 4
+
+
+def test_rows_of_sound_files_are_counted_before_errors_are_looked_up(spark, tmp_path):
+    from tierdown.catalog import QUERIES
+
+    spark.range(3000).selectExpr("id AS doc_id", "string(id) AS text").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("nation", "region"):
+        spark.range(25).selectExpr("id AS n", "string(id) AS name").write.parquet(f"{tmp_path}/{name}.parquet")
+    found, dealt = most_rows_dealt(QUERIES["access_errors"](spark, str(tmp_path)))
+    assert {(r.format, r.errors, r.broken, r["items"]) for r in found} == {
+        ("gz", 1, "broken.gz", 3000), ("parquet", 1, "broken.parquet", 25)
+    }
+    assert dealt < 100
+
+
 def test_object_archive_round_trip(spark, folder, tmp_path):
     root, contents = folder
     outcomes, oversize = plans.archive_objects(

@@ -417,7 +417,7 @@ def _export_with_faults(spark: SparkSession, sf_dir: str) -> dict[str, str]:
 )
 def access_errors(spark, sf_dir):
     """Every file of two folders is read, and one of each is reported; the rows counted are
-    those of files without an error."""
+    those of files without an error. They are counted by file before errors are looked up."""
     found = None
     for name, path in _export_with_faults(spark, sf_dir).items():
         fmt = "text" if name == "gz" else "parquet"
@@ -425,10 +425,11 @@ def access_errors(spark, sf_dir):
         streams = broken_streams(spark, path) if name == "gz" else None
         read = lambda s, fmt=fmt, schema=schema, path=path: tolerant(s, fmt, path, schema=schema)
         good, errors = read_with_errors(file_inventory(spark, path), read, streams)
-        rows = good.select(F.col("_metadata.file_path").alias("key")).join(errors.select("key"), "key", "left_anti")
-        both = rows.select(F.lit(None).cast("string").alias("broken")).unionByName(errors.select(F.substring_index("key", "/", -1).alias("broken")))
+        held = good.groupBy(F.col("_metadata.file_path").alias("key")).agg(F.count(F.lit(1)).alias("items"))
+        rows = held.join(errors.select("key"), "key", "left_anti").select(F.lit(None).cast("string").alias("broken"), "items")
+        both = rows.unionByName(errors.select(F.substring_index("key", "/", -1).alias("broken"), F.lit(0).alias("items")))
         one = both.agg(
-            F.lit(name).alias("format"), F.count("broken").alias("errors"), F.max("broken").alias("broken"), F.count_if(F.col("broken").isNull()).alias("items")
+            F.lit(name).alias("format"), F.count("broken").alias("errors"), F.max("broken").alias("broken"), F.coalesce(F.sum("items"), F.lit(0)).alias("items")
         )
         found = one if found is None else found.unionByName(one)
     return found
@@ -455,13 +456,19 @@ def unread(spark, sf_dir):
     """,
 )
 def table_file_ages(spark, sf_dir):
-    """Rows by the age of the file that holds them: all are old in 2100 and none in 1990."""
-    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", F.col("_metadata.file_path").alias("file_path"))
+    """Rows by the age of the file that holds them: all are old in 2100 and none in 1990.
+
+    Rows are summed by file before they meet its age: dealt by file, all rows of a large
+    file would be one task's work.
+    """
+    path = F.col("_metadata.file_path").alias("file_path")
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", path)
+    held = rows.groupBy("l_returnflag", "file_path").agg(F.count(F.lit(1)).alias("items"), F.sum("l_orderkey").alias("key_sum"))
     files = file_ages(table(spark, sf_dir, "lineitem")).where("size > 0")
-    late, early = (is_expired(files, "mtime", 24.0, datetime(year, 1, 1)) for year in (2100, 1990))
-    dated = rows.join(files.select("file_path", "items", late.alias("late"), early.alias("early")), "file_path")
+    late, early = (F.when(is_expired(files, "mtime", 24.0, datetime(year, 1, 1)), F.col("items")).otherwise(0) for year in (2100, 1990))
+    dated = held.join(files.select("file_path", "mtime"), "file_path")
     known = files.agg(F.sum("items")).first()[0]
+    sums = {"items": F.col("items"), "key_sum": F.col("key_sum"), "expired_items": late, "early_items": early}
     return dated.groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("items"), F.sum("l_orderkey").cast("bigint").alias("key_sum"),
-        F.count_if("late").alias("expired_items"), F.count_if("early").alias("early_items"),
+        *[F.sum(c).cast("bigint").alias(name) for name, c in sums.items()]
     ).withColumn("file_items", F.lit(known).cast("bigint"))
