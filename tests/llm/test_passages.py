@@ -222,6 +222,23 @@ def test_components_of_chains_and_stars(spark):
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
 
 
+def test_rounds_of_components_run_few_tasks(spark):
+    session = spark.newSession()  # of its own, so that no other test sees the settings
+    for key, value in (("shuffle.partitions", 64), ("adaptive.coalescePartitions.enabled", "false"), ("autoBroadcastJoinThreshold", -1)):
+        session.conf.set(f"spark.sql.{key}", value)
+    edges = session.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    session.sparkContext.setJobGroup("rounds", "rounds of components")
+    try:
+        found = {r.node: r.component for r in components(edges).collect()}
+    finally:
+        session.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == dict.fromkeys(range(41), 0)
+    tracker = session.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("rounds") for s in tracker.getJobInfo(job).stageIds}
+    ran = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    assert 64 < ran < 5000  # twice as many when each round read all partitions again
+
+
 def test_lines_go_by_their_share_of_the_host(spark):
     menu, rare = "Home | About", "Only here"
     rows = [(f"{menu}\npage {i}\n\n{menu}" + f"\n{rare}" * (i < 2), "big.org", i) for i in range(20)]

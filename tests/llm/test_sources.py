@@ -9,6 +9,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 from html.parser import HTMLParser
 
 import numpy as np
@@ -17,7 +18,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tierdown.llm import pieces_fst, spaced_seeds
+from tierdown.llm import factorization, pieces_fst, spaced_seeds
 from tierdown.llm.credentials import KINDS, credential_spans, linked
 from tierdown.llm.factorization import Features, features, fitted, held_out, quality_scores, trained
 from tierdown.llm.page_template import main_text, nested, page_texts, site_templates
@@ -459,6 +460,30 @@ def test_classifier_learns_and_leaves_held_out_rows(spark):
     assert isinstance(features(next(blocks(pa.array([""])))), Features)
 
 
+def test_the_sample_is_never_held_as_python_numbers(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * k) % 5003}" for k in range(1, 300))) for i in range(1, 1500)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(factorization, "fitted", lambda sample, *_: seen.append((tracemalloc.get_traced_memory()[1], sample)))
+    tracemalloc.start()
+    try:
+        trained(docs, labels)
+    finally:
+        tracemalloc.stop()
+    (most, (sample,)), n = seen[0], len(seen[0][1][0].index)
+    assert n > 300_000 and sample.bounds[-1] == n == len(sample.value)
+    assert most < 24 * n  # an index and a value have 8 bytes; as a Python number one has 36
+
+
+def test_a_sample_in_parts_fits_the_same_model():
+    whole = ["one two two three!", "A B c d e", "so it goes", "", "x%% y%% z%%", "plain words. and more"] * 30
+    labels = np.array([1.0, 1, 1, 0, 0, 1] * 30)
+    parts = [features(next(blocks(pa.array(texts))), 8) for texts in (whole, whole[:70], whole[70:])]
+    one, two = fitted(parts[:1], labels, bits=8), fitted(parts[1:], labels, bits=8)
+    assert one.bias == two.bias and (one.linear == two.linear).all() and (one.factors == two.factors).all()
+
+
 def test_scores_do_not_depend_on_the_layout(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -2,8 +2,10 @@
 
 Every round rewrites the edges so that nodes point at the smallest node they know of;
 the number of rounds grows with the logarithm of the longest chain. Nothing is
-collected: edges stay a table, and each round's lineage is cut with ``checkpoint()``
-in the shared folder.
+collected: edges stay a table, written in the shared folder after each round. Such a table
+is read by as many tasks as its size asks for, and its last step runs once; with
+``checkpoint()`` each round read all shuffle partitions again and ran that step twice, and
+the driver keeps figures of every task.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierdown.scratch import shared_root
+from tierdown.operators.scans import written
 
 MOST_ROUNDS = 60  # chains of 2 ** 60 nodes; a guard against endless loops only
 
@@ -19,15 +21,13 @@ MOST_ROUNDS = 60  # chains of 2 ** 60 nodes; a guard against endless loops only
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for each node of an edge, the component being its smallest
     node. Loops and repeated edges are allowed; edges with a null are ignored."""
-    spark = edges.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_root(spark))
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     # from here on a > b: each node points at a smaller one
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(MOST_ROUNDS):
         if _settled(edges):
             break
-        edges = _small_star(_large_star(edges)).checkpoint()
+        edges = written(_small_star(_large_star(edges)), "edges")
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
@@ -38,9 +38,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _settled(edges: DataFrame) -> bool:
     """Whether each node points at one smaller node which points nowhere: rounds keep what
     is connected together, so such stars are the components."""
-    once = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b"))
-    centres = once.select(F.col("b").alias("a")).distinct()
-    return once.where("n > 1").isEmpty() and once.select("a").join(centres, "a", "left_semi").isEmpty()
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("points")), F.struct(F.col("b").alias("node"), F.lit(None).cast("boolean").alias("points")))
+    nodes = edges.select(F.explode(ends).alias("end")).groupBy("end.node").agg(F.count("end.points").alias("points"), F.count(F.lit(1)).alias("ends"))
+    return not nodes.agg(F.max((F.col("points") > 0) & (F.col("ends") > 1))).first()[0]
 
 
 def _beside_least(edges: DataFrame, all_edges: DataFrame, how: str) -> DataFrame:
@@ -60,6 +60,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of these."""
-    linked = _beside_least(edges, edges, "inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    least = edges.groupBy("a").agg(F.min("b").alias("b"))
-    return linked.unionByName(least).where("a > b").distinct()
+    # the edge to the least itself stays as it is
+    linked = _beside_least(edges, edges, "inner")
+    return linked.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()

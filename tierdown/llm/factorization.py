@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,8 +178,8 @@ def fitted(samples: list[Features], labels: np.ndarray, bits: int = HASH_BITS, f
     scale = 1 / np.sqrt(dense.shape[1])
     counts = np.concatenate([np.diff(f.bounds) for f in samples])
     first = np.concatenate(([0], np.cumsum(counts)))
-    index = np.concatenate([f.index for f in samples]).astype(np.int64)
-    value = np.concatenate([f.value for f in samples]).astype(np.float64)
+    # features stay as narrow as they came; only those of a batch are widened
+    index, value = (parts[0] if len(parts) == 1 else np.concatenate(parts) for parts in ([f.index for f in samples], [f.value for f in samples]))
     seen_w, seen_v, seen_b = np.full(size, 1e-2), np.full((size, factors), 1e-2), 1e-2
     for _ in range(epochs):
         order = random.permutation(len(labels))
@@ -186,7 +187,7 @@ def fitted(samples: list[Features], labels: np.ndarray, bits: int = HASH_BITS, f
             rows = order[begin : begin + BATCH]
             spans = np.concatenate([np.arange(first[r], first[r + 1]) for r in rows])
             at = np.concatenate((index[spans], dense[rows].ravel()))
-            x = np.concatenate((value[spans], np.full(dense[rows].size, scale)))
+            x = np.concatenate((value[spans].astype(np.float64), np.full(dense[rows].size, scale)))
             of = np.concatenate((np.repeat(np.arange(len(rows)), counts[rows]), np.repeat(np.arange(len(rows)), dense.shape[1])))
             v = model.factors[at].astype(np.float64)
             held = v * x[:, None]
@@ -245,15 +246,11 @@ def trained(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     rows = texts.mapInArrow(extract, row).toArrow().sort_by("doc_id")
     if not len(rows):
         return fitted([], np.zeros(0), bits)
-    sample = [
-        Features(
-            np.concatenate(([0], np.cumsum([len(i) for i in rows.column("index").to_pylist()]))),
-            rows.column("index").combine_chunks().flatten().to_numpy(),
-            rows.column("value").combine_chunks().flatten().to_numpy(),
-            rows.column("statistics").combine_chunks().flatten().to_numpy().reshape(len(rows), len(STATISTICS)),
-        )
-    ]
-    return fitted(sample, rows.column("quality").to_numpy().astype(np.float64), bits)
+    # the lists are read where Arrow holds them: as Python numbers they are nine times the size
+    flat = lambda name: rows.column(name).combine_chunks().flatten().to_numpy()
+    bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(rows.column("index")).to_numpy(), dtype=np.int64)))
+    sample = Features(bounds, flat("index"), flat("value"), flat("statistics").reshape(len(rows), len(STATISTICS)))
+    return fitted([sample], rows.column("quality").to_numpy().astype(np.float64), bits)
 
 
 def quality_scores(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
